@@ -9,6 +9,7 @@ from oriel.llm.common import table
 from oriel.llm.decontaminate import decontaminate
 from oriel.llm.lines import line_dedup
 from oriel.llm.mixing import mix
+from oriel.llm.order_minhash import near_duplicate_classes
 from oriel.llm.quality import quality_rules
 from oriel.llm.tokens import token_output
 
@@ -35,12 +36,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
