@@ -11,6 +11,7 @@ from oriel.llm.lines import line_dedup
 from oriel.llm.mixing import mix
 from oriel.llm.order_minhash import near_duplicate_classes
 from oriel.llm.quality import quality_rules
+from oriel.llm.run_index import exact_dedup
 from oriel.llm.tokens import token_output
 
 
@@ -19,6 +20,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered")
@@ -42,6 +47,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_run_index": op3_run_index,
     "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_files": op8_token_files,

@@ -10,16 +10,19 @@ class SuffixArray:
 
     ``order`` holds suffix positions in sorted order. ``levels[k]`` ranks every position by its first
     ``unit * 2**k`` symbols: two positions have equal ranks there exactly if those symbols are equal.
-    Callers end each text with separators that occur once, so that no match crosses texts.
+    Callers end each text with a separator, so that no match crosses texts: one that occurs once, or
+    ``alone`` marks all keys that reach a separator, and equal ones of them are ordered by position.
     """
 
-    def __init__(self, keys: np.ndarray, unit: int = 1):
+    def __init__(self, keys: np.ndarray, unit: int = 1, alone: np.ndarray | None = None):
         n = len(keys)
         self.unit, self.n = unit, n
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         first = np.ones(n, bool)
         first[1:] = ordered[1:] != ordered[:-1]
+        if alone is not None:
+            first |= alone[order]
         starts = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         rank = np.empty(n + 1, np.int64)
         rank[n] = -1
