@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from oriel.llm.common import table
 from oriel.llm.decontaminate import decontaminate
+from oriel.llm.html_text import extract_main_text
 from oriel.llm.lines import line_dedup
 from oriel.llm.mixing import mix
 from oriel.llm.order_minhash import near_duplicate_classes
 from oriel.llm.quality import quality_rules
 from oriel.llm.run_index import exact_dedup
 from oriel.llm.tokens import token_output
+from oriel.llm.toxicity import score_toxicity
+from oriel.llm.url_filter import filter_urls
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,15 +23,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).drop("score")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -47,8 +62,11 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_main_text": op2_main_text,
     "op3_run_index": op3_run_index,
+    "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
