@@ -41,13 +41,14 @@ def assigned_split(seed: int, *group: str | Column) -> Column:
 
 def difference_hash(pixels: str | Column, rows: int = 8, columns: int = 9) -> Column:
     """64 bits of a ``rows`` by ``columns`` grid in row order: whether each right neighbour is larger, first bit highest."""
-    x = col(pixels)
     places = F.array(*(F.lit(r * columns + c) for r in range(rows) for c in range(columns - 1)))
-    return F.aggregate(
-        places,
-        F.lit(0).cast("long"),
-        lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(F.when(F.element_at(x, i + 2) > F.element_at(x, i + 1), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))),
-    )
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def bits(x: Column) -> Column:
+        return F.aggregate(places, none, lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(F.when(F.element_at(x, i + 2) > F.element_at(x, i + 1), one).otherwise(none)))
+
+    # The pixels are bound once, or they would be made anew for every bit.
+    return F.element_at(F.transform(F.array(col(pixels)), bits), 1)
 
 
 def text_grid(c: str | Column, cells: int = 72) -> Column:
