@@ -23,7 +23,7 @@ def allow_list_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang", ok.alias("allowed")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-_PATH = r"regexp_replace(regexp_replace(url, '^https?://[^/]*', CASE WHEN page_id % 5 = 0 THEN '/' WHEN page_id % 7 = 0 THEN 'a/..' WHEN page_id % 11 = 0 THEN 'a\b' ELSE 'root' END), '[?#].*$', '')"
+_PATH = r"CASE WHEN page_id % 5 = 0 THEN '/' WHEN page_id % 7 = 0 THEN 'a/..' WHEN page_id % 11 = 0 THEN 'a\b' ELSE 'root' END || regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', '')"
 
 
 @query(rf"""SELECT page_id, path, parts > 0 AND left(path, 1) <> '/' AND NOT contains(path, '\') AND NOT list_contains(string_split(path, '/'), '..') AS safe
@@ -116,9 +116,9 @@ def geometry_validation(spark, sf_dir):
     return e.select("vec_id", G.polygon_error(shifted, F.lit(35.0), F.lit(35.0)).alias("error"), G.shoelace_area("points").alias("area"))
 
 
-@query("""SELECT doc_id, list_filter([CASE WHEN s = 'human_reviewed' AND who = '' THEN 'reviewer_required' END, CASE WHEN s = 'human_reviewed' AND NOT regexp_matches(at, '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN 'zoned_time_required' END,
-CASE WHEN s = 'provisional' AND (who <> '' OR at <> '') THEN 'provisional_has_reviewer' END, CASE WHEN s = 'ambiguous' AND note = '' THEN 'notes_required' END], lambda x: x IS NOT NULL) AS errors FROM (
-SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 9 > 0 THEN 'human_reviewed' WHEN quality = 1 THEN 'ambiguous' ELSE 'provisional' END AS s, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'reviewer' END AS who, CASE WHEN doc_id % 3 = 0 THEN '2024-05-01T10:00:00Z' WHEN doc_id % 3 = 1 THEN '2024-05-01T10:00:00' ELSE '' END AS at, CASE WHEN toxic = 1 THEN 'note' ELSE '' END AS note FROM labels)""")
+@query("""SELECT doc_id, list_filter([CASE WHEN s = 'human_reviewed' AND who = '' THEN 'reviewer_required' END, CASE WHEN s = 'human_reviewed' AND NOT regexp_matches(at_, '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN 'zoned_time_required' END,
+CASE WHEN s = 'provisional' AND (who <> '' OR at_ <> '') THEN 'provisional_has_reviewer' END, CASE WHEN s = 'ambiguous' AND note = '' THEN 'notes_required' END], lambda x: x IS NOT NULL) AS errors FROM (
+SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 9 > 0 THEN 'human_reviewed' WHEN quality = 1 THEN 'ambiguous' ELSE 'provisional' END AS s, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'reviewer' END AS who, CASE WHEN doc_id % 3 = 0 THEN '2024-05-01T10:00:00Z' WHEN doc_id % 3 = 1 THEN '2024-05-01T10:00:00' ELSE '' END AS at_, CASE WHEN toxic = 1 THEN 'note' ELSE '' END AS note FROM labels)""")
 def review_state(spark, sf_dir):
     i = F.col("doc_id")
     rows = table(spark, sf_dir, "labels").select(
