@@ -8,27 +8,23 @@ from pyspark.sql import functions as F
 from oriel.functions.expressions import col
 from oriel.functions.hashing import seeded_key
 from oriel.operators.validate import checked_range
+from oriel.plans.tables import written
 
 
 def seeded_order(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return rows.withColumn("order_key", seeded_key(seed, key))
 
 
-def ranked(rows: DataFrame, order: list[str], run_rows: int = 100_000) -> DataFrame:
+def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``rank`` from 1 in the order of ``order`` (unique), without one task for all rows.
 
     Rows are dealt by range; sizes of ranges, one row each, give every range its first rank.
     """
-    spark = rows.sparkSession
-    part = F.spark_partition_id()
-    from oriel.plans.tables import written
-
-    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part), "ranges")
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy("_part").orderBy(*order)
-    del spark, run_rows
     return dealt.join(F.broadcast(starts), "_part").withColumn("rank", (F.col("_before") + F.row_number().over(within)).cast("long")).drop("_part", "_before")
 
 
@@ -55,9 +51,6 @@ def budget_select(rows: DataFrame, order: str, size: str, budget: int, most: int
                 break
             left -= r[size]
             taken.append(r[order])
-        else:
-            if len(step) < most - len(taken) + len(step):
-                continue
     spark = rows.sparkSession
     chosen = spark.createDataFrame([(k, i + 1) for i, k in enumerate(taken)], f"{order} string, take int")
     return rows.join(F.broadcast(chosen), order)
@@ -66,9 +59,9 @@ def budget_select(rows: DataFrame, order: str, size: str, budget: int, most: int
 def holdout_head(ranked_rows: DataFrame, share: float = 0.1) -> DataFrame:
     """Adds ``part``: the first max(1, round(share * n)) ranks (ties to even) are ``validation``, the others
     ``train``; an error if that leaves no training row."""
-    n = ranked_rows.agg(F.count(F.lit(1)).alias("n")).withColumn("head", F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(share)).cast("int")))
-    head = F.when(F.col("n") > F.col("head"), F.col("head")).otherwise(F.raise_error(F.lit("no training rows left")).cast("int"))
-    return ranked_rows.join(F.broadcast(n), how="inner").withColumn("part", F.when(F.col("rank") <= head, "validation").otherwise("train")).drop("n", "head")
+    n = ranked_rows.agg(F.count(F.lit(1)).alias("_n")).withColumn("_head", F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(share)).cast("int")))
+    head = F.when(F.col("_n") > F.col("_head"), F.col("_head")).otherwise(F.raise_error(F.lit("no training rows left")).cast("int"))
+    return ranked_rows.join(F.broadcast(n), how="inner").withColumn("part", F.when(F.col("rank") <= head, "validation").otherwise("train")).drop("_n", "_head")
 
 
 def ratio_mix(main: DataFrame, extra: DataFrame, ratio: int, name: str) -> DataFrame:
@@ -76,12 +69,12 @@ def ratio_mix(main: DataFrame, extra: DataFrame, ratio: int, name: str) -> DataF
     filled in order and from the start again; names are unique by place."""
     if ratio not in (2, 4):
         raise ValueError("ratio must be 2 or 4")
-    sizes = main.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(extra.agg(F.count(F.lit(1)).alias("m"))), how="inner")
-    need = F.greatest(F.lit(1), F.bround(F.col("n") / F.lit(float(ratio))).cast("int"))
+    sizes = main.agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(extra.agg(F.count(F.lit(1)).alias("_m"))), how="inner")
+    need = F.greatest(F.lit(1), F.bround(F.col("_n") / F.lit(float(ratio))).cast("int"))
     # Each extra row makes its own places, so nothing is generated in one task.
-    rows = extra.join(F.broadcast(sizes), how="inner").withColumn("need", need).filter("rank <= need")
-    places = rows.withColumn("place", F.explode(F.expr("sequence(cast(rank AS int) - 1, need - 1, cast(m AS int))")))
-    return places.withColumn("target_name", F.format_string("%04d_%s", "place", F.col(name).cast("string"))).drop("n", "m", "need")
+    rows = extra.join(F.broadcast(sizes), how="inner").withColumn("_need", need).filter("rank <= _need")
+    places = rows.withColumn("place", F.explode(F.expr("sequence(cast(rank AS int) - 1, _need - 1, cast(_m AS int))")))
+    return places.withColumn("target_name", F.format_string("%04d_%s", "place", F.col(name).cast("string"))).drop("_n", "_m", "_need")
 
 
 def best_threshold(reports: DataFrame, threshold: str = "threshold") -> DataFrame:
