@@ -14,8 +14,8 @@ from oriel.llm.suffix import SuffixArray
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 
-#: Words that one suffix array covers; a longer text has one of its own.
-BLOCK_WORDS = 1 << 20
+#: Bytes of text that one suffix array covers, and the last text that passes them.
+BLOCK_BYTES = 1 << 20
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")
 
@@ -66,24 +66,26 @@ def repetition(texts: list[list[bytes]], least: int, window: int = 5) -> tuple[n
     return counted[0], counted[1], np.maximum.reduceat(longest, first)
 
 
-def measure(texts: list, least: int, block_words: int = BLOCK_WORDS) -> dict[str, np.ndarray]:
-    raw = [text_bytes(t) for t in texts]
-    words = [b.split() for b in raw]
-    found = {k: np.zeros(len(raw), np.int64) for k in COUNTS}
-    for i, (b, w) in enumerate(zip(raw, words, strict=True)):
-        solid = b.translate(None, SPACE)
-        found["n_words"][i] = len(w)
-        found["word_chars"][i] = len(solid.decode("utf-8", "surrogatepass"))
-        found["n_symbols"][i] = len(b) - len(b.translate(None, SYMBOLS))
-        lines = [x for x in b.split(b"\n") if x.strip(SPACE)]
-        found["n_dup_lines"][i] = len(lines) - len(set(lines))
+def measure(texts: list, least: int, block_bytes: int = BLOCK_BYTES) -> dict[str, np.ndarray]:
+    """All counts of each text; words are made and compared for about ``block_bytes`` of text at a time."""
+    found = {k: np.zeros(len(texts), np.int64) for k in COUNTS}
     i = 0
-    while i < len(words):
+    while i < len(texts):
+        words: list[list[bytes]] = []
         j, size = i, 0
-        while j < len(words) and (j == i or size + len(words[j]) <= block_words):
-            size += len(words[j])
+        while j < len(texts) and (j == i or size < block_bytes):
+            b = text_bytes(texts[j])
+            w = b.split()
+            solid = b.translate(None, SPACE)
+            found["n_words"][j] = len(w)
+            found["word_chars"][j] = len(solid.decode("utf-8", "surrogatepass"))
+            found["n_symbols"][j] = len(b) - len(b.translate(None, SYMBOLS))
+            lines = [x for x in b.split(b"\n") if x.strip(SPACE)]
+            found["n_dup_lines"][j] = len(lines) - len(set(lines))
+            words.append(w)
+            size += len(b)
             j += 1
-        found["n_repeat_words"][i:j], found["n_covered"][i:j], found["longest_repeat"][i:j] = repetition(words[i:j], least)
+        found["n_repeat_words"][i:j], found["n_covered"][i:j], found["longest_repeat"][i:j] = repetition(words, least)
         i = j
     return found
 

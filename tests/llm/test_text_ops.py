@@ -28,7 +28,7 @@ def test_quality_matches_brute_force():
     got = Q.measure(t, 8)
     for i, x in enumerate(t):
         assert (got["n_words"][i], got["n_repeat_words"][i], got["n_covered"][i], got["longest_repeat"][i], got["n_dup_lines"][i]) == Q.brute_force(x)
-    small = Q.measure(t, 8, block_words=50)
+    small = Q.measure(t, 8, block_bytes=50)
     assert all((small[k] == got[k]).all() for k in Q.COUNTS)
 
 
