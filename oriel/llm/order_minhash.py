@@ -184,11 +184,70 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     return n / (total - n)
 
 
-FEATURES = "doc_id long, h1 long, h2 long, n_shingles int, keys array<long>, lanes binary"
+#: Texts, picked by hash, whose labels tell which labels are common, and common labels that are told at most.
+SAMPLED_TEXTS, COMMON_LABELS = 20_000, 400_000
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, two hashes of the words, number of shingles, sketch keys and lanes; null where there are no words."""
+def common_labels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Labels that stand in several of about ``SAMPLED_TEXTS`` different texts, sorted, in how many they stand, and
+    how many rows there are for each sampled one. They only make the order of labels good: any order is exact.
+    """
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+                labels, _ = shingle_labels(*word_hashes(batch.column("text").slice(i, j - i).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array(labels.view(np.int64))], names=["label"])
+
+    each = max(1, docs.count() // SAMPLED_TEXTS)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(each)) == 0).select("text").distinct()
+    counts = some.mapInArrow(label, "label long").groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = counts.orderBy(F.col("n").desc(), "label").limit(COMMON_LABELS).toPandas()
+    labels, n = rows["label"].to_numpy(np.int64).view(_U), rows["n"].to_numpy(np.int64)
+    order = np.argsort(labels)
+    return labels[order], n[order], each
+
+
+def rare_prefixes(labels: np.ndarray, n_shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labels of each text that come first when rare ones lead, and how many of them each text has.
+
+    Two texts of a similarity of 0.8 share at least 4/5 of the labels of either. So the first label that they
+    share is among the first n - ceil(4n / 5) + 1 of both, in any order that is the same for all texts.
+    """
+    text_of = np.repeat(np.arange(len(n_shingles)), n_shingles)
+    count = np.zeros(len(labels), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, labels), len(common) - 1)
+        count = np.where(common[at] == labels, counts[at], 0)
+    order = np.lexsort((labels, count, text_of))
+    size = np.where(n_shingles > 0, n_shingles - (4 * n_shingles + 4) // 5 + 1, 0)
+    place = np.arange(len(labels)) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles)
+    return labels[order][place < size[text_of]], size
+
+
+#: 64-bit words of a text's parity bits.
+PARITY_WORDS = 4
+
+
+def parities(labels: np.ndarray, n_shingles: np.ndarray) -> np.ndarray:
+    """For each text that has labels the parity of how many fall on each of 256 bits. Two texts differ in at
+    least as many labels as they differ in bits."""
+    some = n_shingles > 0
+    first = (np.cumsum(n_shingles) - n_shingles)[some]
+    out = np.zeros((len(first), PARITY_WORDS), _U)
+    bit = _U(1) << ((labels >> _U(11)) & _U(63))
+    word = (labels >> _U(17)) & _U(PARITY_WORDS - 1)
+    for k in range(PARITY_WORDS if len(first) else 0):
+        out[:, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, _U(0)), first)
+    return out
+
+
+PARITIES = [f"p{k}" for k in range(PARITY_WORDS)]
+FEATURES = f"doc_id long, h1 long, h2 long, n_shingles int, keys array<long>, lanes binary, prefix array<long>, {', '.join(f'{p} long' for p in PARITIES)}"
+
+
+def features(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """doc_id, two hashes of the words, number of shingles, sketch keys, lanes, rare labels and parities; null where there are no words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,14 +272,20 @@ def features(docs: DataFrame) -> DataFrame:
             spread[1:] = np.cumsum(some * SKETCHES)
             key_lists = pa.ListArray.from_arrays(pa.array(spread), pa.array(keys.reshape(-1).view(np.int64)))
             lane_rows = iter(lanes)
+            rare, sizes = rare_prefixes(labels, n, common, counts)
+            rare_lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(rare.view(np.int64)))
+            bits = np.zeros((len(n), PARITY_WORDS), np.int64)
+            bits[some] = parities(labels, n).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *both, pa.array(n.astype(np.int32)), key_lists, pa.array([next(lane_rows).tobytes() if x else None for x in some], pa.binary())],
-                names=["doc_id", "h1", "h2", "n_shingles", "keys", "lanes"],
+                [batch.column("doc_id"), *both, pa.array(n.astype(np.int32)), key_lists, pa.array([next(lane_rows).tobytes() if x else None for x in some], pa.binary()), rare_lists, *(pa.array(bits[:, k].copy()) for k in range(PARITY_WORDS))],
+                names=["doc_id", "h1", "h2", "n_shingles", "keys", "lanes", "prefix", *PARITIES],
             )
 
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").filter("doc_id IS NOT NULL").mapInArrow(make, FEATURES)
 
 
+#: Ids of single texts that are sent to all tasks at most, instead of a shuffle of all texts.
+BROADCAST_IDS = 200_000
 #: Rows of a bucket that are compared with each other at once; larger buckets are dealt into such
 #: blocks at random, differently for each sketch and round.
 BLOCK = 1024
@@ -267,6 +332,21 @@ def nearest(node: np.ndarray, group: np.ndarray, size: np.ndarray, lanes: np.nda
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def by_blocks(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
+    """``found`` of runs of whole blocks; rows are sorted by block."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        block = held["block"].to_numpy()
+        whole = int(np.searchsorted(block, block[-1])) if len(block) else 0  # the last block may go on
+        if whole:
+            yield found(held.slice(0, whole).combine_chunks())
+            held = held.slice(whole)
+    if held is not None and held.num_rows:
+        yield found(held.combine_chunks())
+
+
 def proposals(members: DataFrame, number: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, that the blocks of ``members`` (block, node, group, n, lanes) propose."""
     width = SKETCHES * KEPT
@@ -285,22 +365,52 @@ def proposals(members: DataFrame, number: int) -> DataFrame:
             both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
-        held: pa.Table | None = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            held = rows if held is None else pa.concat_tables([held, rows])
-            block = held["block"].to_numpy()
-            whole = int(np.searchsorted(block, block[-1])) if len(block) else 0  # the last block may go on
-            if whole:
-                yield found(held.slice(0, whole).combine_chunks())
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield found(held.combine_chunks())
+        return by_blocks(batches, found)
 
     dealt = members.repartition("block").sortWithinPartitions("block", "node").select("block", "node", "group", "n", "lanes")
     return dealt.mapInArrow(propose, "a long, b long").distinct()
 
 
+def rare_pairs(block: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, part: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Pairs (low, high) of one block and of different groups that may have a similarity of 0.8: by sizes, by
+    the places of the shared label and by parities. Rows are sorted by block; a ``part`` of -1 meets its like."""
+    out = []
+    stop = np.searchsorted(block, block, side="right")
+    at, shift = np.arange(len(block)), 1
+    while len(at := at[at + shift < stop[at]]):
+        i, j = at, at + shift
+        good = (group[i] != group[j]) & ((part[i] != part[j]) | (part[i] < 0))
+        i, j = i[good], j[good]
+        total = size[i] + size[j]
+        # Of total labels at least 4/9 are shared: no more than what follows the first shared one.
+        good = 9 * np.minimum(size[i] - place[i], size[j] - place[j]) >= 4 * total
+        i, j, total = i[good], j[good], total[good]
+        good = 9 * np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= total
+        i, j = i[good], j[good]
+        out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
+        shift += 1
+    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+
+
+def rest_of_pairs(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ``nodes`` (node, group, n, prefix, parities) of different groups: all
+    that may have a similarity of 0.8, as they share one of their rare labels.
+    """
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: pa.Table) -> pa.RecordBatch:
+            block, node, group, n, place, part = (rows[c].to_numpy() for c in ("block", "node", "group", "n", "place", "part"))
+            bits = np.stack([rows[p].to_numpy() for p in PARITIES], 1).view(_U)
+            both = rare_pairs(block, node, group, n.astype(np.int64), place.astype(np.int64), part, bits)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+        return by_blocks(batches, found)
+
+    rows = nodes.select("node", "group", "n", *PARITIES, F.posexplode("prefix").alias("place", "label"))
+    met = rows.select(F.col("label").alias("block"), "node", "group", "n", "place", F.lit(-1).alias("part"), *PARITIES).repartition("block").sortWithinPartitions("block")
+    return met.mapInArrow(pair, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts (doc_id, text) are as similar as ``least`` by banded alignment."""
 
@@ -332,16 +442,17 @@ def near_duplicate_classes(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
     apart. Proposed pairs are verified by banded alignment of their occurrence-labelled five-word
     shingles and linked at a similarity of 0.8 or more; classes are the connected components of
     links. Further rounds look at buckets that hold several classes: each text proposes its next partners of
-    other classes, until a round links nothing or ``max_rounds`` have passed. So a round proposes a fixed
-    number of pairs for each text and bucket, however many texts share it, and never all pairs; two
-    classes stay apart only if none of their links was among these.
+    other classes, until a round links nothing or ``max_rounds`` have passed. These rounds find most links
+    cheaply. All pairs of different classes that are left are then met by their rare labels, by which no
+    pair of a similarity of 0.8 is missed, and tested too: classes are exact.
 
     Null, empty and blank texts have no words and are classes of their own. Rows that share a doc_id
     share a class; rows with a null doc_id come back with a null class, as representatives. An empty
     table gives no rows; columns other than doc_id and text are left alone.
     """
     docs = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")
-    all_rows = written(features(docs), "features")
+    common, counts_of, each = common_labels(docs)
+    all_rows = written(features(docs, common, counts_of), "features")
     worded = all_rows.filter("n_shingles > 0")
     contents = written(worded.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("count"), F.min("doc_id").alias("rep")), "contents")
     nodes = worded.join(contents.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
@@ -376,6 +487,20 @@ def near_duplicate_classes(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
         if new.isEmpty():
             break
         classes = components(links)
+
+    # All pairs of different classes that may still link: every one is tested, so that no link crosses classes.
+    rest = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "prefix", *PARITIES)
+    rest = rest.withColumn("group", F.col("node")) if classes is None else rest.join(classes, "node", "left").withColumn("group", F.coalesce("class", "node"))
+    pairs = written(rest_of_pairs(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    more = ids.join(meeting, "doc_id", "left_anti")
+    n_more = more.count()
+    if n_more:
+        more = F.broadcast(more) if n_more <= BROADCAST_IDS else more
+        texts = texts.unionByName(docs.join(more, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    new = written(verified(pairs, texts), "links")
+    if not new.isEmpty():
+        classes = components(links.unionByName(new))
     return membership(all_rows, contents, classes)
 
 

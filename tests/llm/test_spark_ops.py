@@ -185,3 +185,30 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns and max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 2
     last = c.token_stage(spark, mixed, SF).collect()
     assert Counter(r["doc_id"] for r in last) == Counter(r["doc_id"] for r in mixed.collect())
+
+
+def family(n, words=120, most=14, seed=5):
+    """Copies of one text with separate edits, and their classes by comparing all pairs."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        at = r.randrange(words)
+        for k in range(r.randrange(most)):
+            w[(at + k * 3) % words] = f"e{i}x{k}" if r.random() < 0.6 else f"s{r.randrange(6)}"
+        rows.append((i, " ".join(w)))
+    labels = [order_minhash.shingle_labels(*order_minhash.word_hashes([t]))[0] for _, t in rows]
+    of = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            if of[a] != of[b] and order_minhash.aligned_similarity(labels[a], labels[b]) >= 0.8 - 1e-12:
+                low, high = sorted((of[a], of[b]))
+                of = [low if x == high else x for x in of]
+    return rows, labels, of
+
+
+def test_near_duplicate_classes_are_whole(spark):
+    rows, _, want = family(250)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), max_rounds=1).collect()}
+    assert [got[i] for i in range(250)] == want and 1 < len(set(want)) < 250
