@@ -295,9 +295,9 @@ BLOCK = 1024
 PARTNERS, SMALL, LEAST_LANES = 3, 8, 14
 
 
-def nearest(node: np.ndarray, group: np.ndarray, size: np.ndarray, lanes: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text of a block partners of other groups, as pairs (low, high): its most alike ones, after
-    those of earlier rounds. In a large block the first round proposes the hub instead, the text that is most
+def nearest(node: np.ndarray, group: np.ndarray, size: np.ndarray, lanes: np.ndarray, number: int, tested: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of a block partners of other groups, as pairs (low, high): its most alike ones but
+    those that it was ``tested`` with (a list for each text, or null). In a large block the first round proposes the hub instead, the text that is most
     alike to all others, as copies with separate edits are nearest to what they were made from.
 
     Texts of the largest group, if it has several, don't propose: the others propose to them.
@@ -312,6 +312,11 @@ def nearest(node: np.ndarray, group: np.ndarray, size: np.ndarray, lanes: np.nda
     ratio = np.minimum(size[:, None], size[None, :]) / np.maximum(size[:, None], size[None, :])
     score[(group[:, None] == group[None, :]) | (ratio < SIMILARITY)] = -1
     rows = np.arange(n)
+    at = {x: i for i, x in enumerate(node.tolist())} if tested else {}
+    for i, others in enumerate(tested or []):
+        for x in others or ():
+            if (j := at.get(x)) is not None:
+                score[i, j] = -1
     left, right = [], []
 
     def propose(partner: np.ndarray):
@@ -322,11 +327,9 @@ def nearest(node: np.ndarray, group: np.ndarray, size: np.ndarray, lanes: np.nda
     if n > SMALL and number == 0:
         propose(np.full(n, alike.argmax()))
     else:
-        first, turns = (PARTNERS * number, PARTNERS) if n <= SMALL else (number - 1, 1)
-        for turn in range(min(first + turns, n - 1)):
+        for _ in range(min(PARTNERS if n <= SMALL else 1, n - 1)):
             best = score.argmax(1)
-            if turn >= first:
-                propose(best)
+            propose(best)
             score[rows, best] = -1
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
     return np.minimum(a, b), np.maximum(a, b)
@@ -348,7 +351,7 @@ def by_blocks(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBat
 
 
 def proposals(members: DataFrame, number: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that the blocks of ``members`` (block, node, group, n, lanes) propose."""
+    """Distinct pairs (a, b), a < b, that the blocks of ``members`` (block, node, group, n, lanes, tested) propose."""
     width = SKETCHES * KEPT
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,17 +360,18 @@ def proposals(members: DataFrame, number: int) -> DataFrame:
             edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
             node, group, size = rows["node"].to_numpy(), rows["group"].to_numpy(), rows["n"].to_numpy().astype(float)
             lanes = np.frombuffer(b"".join(rows["lanes"].to_pylist()), np.uint8).reshape(-1, width)
+            tested = rows["tested"].to_pylist()
             out = []
             for x, y in zip(edges, np.append(edges[1:], len(block)), strict=True):
                 if y - x > 1 and (group[x:y] != group[x]).any():
-                    out.append(nearest(node[x:y], group[x:y], size[x:y], lanes[x:y], number))
+                    out.append(nearest(node[x:y], group[x:y], size[x:y], lanes[x:y], number, tested[x:y]))
             a, b = (np.concatenate([p[k] for p in out]) if out else np.empty(0, np.int64) for k in (0, 1))
             both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
         return by_blocks(batches, found)
 
-    dealt = members.repartition("block").sortWithinPartitions("block", "node").select("block", "node", "group", "n", "lanes")
+    dealt = members.repartition("block").sortWithinPartitions("block", "node").select("block", "node", "group", "n", "lanes", "tested")
     return dealt.mapInArrow(propose, "a long, b long").distinct()
 
 
@@ -472,15 +476,13 @@ def near_duplicate_classes(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
     links, classes = None, None
     for number in range(max_rounds):
         if classes is None:
-            rows = members.withColumn("group", F.col("node"))
+            rows = members.withColumn("group", F.col("node")).withColumn("tested", F.lit(None).cast("array<long>"))
         else:
             grouped = members.join(classes, "node", "left").withColumn("group", F.coalesce("class", "node")).drop("class")
             open_ = grouped.groupBy("sketch", "key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("sketch", "key")
-            rows = grouped.join(open_, ["sketch", "key"])
-        pairs = proposals(blocks(rows, number), number)
-        if links is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+            both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            rows = grouped.join(open_, ["sketch", "key"]).join(both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tested")), "node", "left")
+        pairs = written(proposals(blocks(rows, number), number), "pairs")
         tested = pairs if links is None else tested.unionByName(pairs)
         new = written(verified(pairs, texts), "links")
         links = new if links is None else links.unionByName(new)

@@ -185,3 +185,21 @@ def test_toxic_grammar():
 
 def test_crc_of_ids():
     assert zlib.crc32(np.array([2], "<u4")) == zlib.crc32(b"\x02\0\0\0")
+
+
+def test_best_untested_partners_are_proposed():
+    import numpy as np
+
+    from oriel.llm import order_minhash as m
+
+    # Two classes of four texts each; text 4 is most like text 0, then 1, 2 and 3.
+    lanes = np.zeros((8, 48), np.uint8)
+    for i in range(8):
+        lanes[i, 40:] = i + 1
+    for i in range(4):
+        lanes[i, : 4 * i] = 100 + i
+    lanes[5:, :40] = 50
+    node, group, size = np.arange(8), np.array([0] * 4 + [4] * 4), np.full(8, 100.0)
+    pairs = lambda *x: set(zip(*(p.tolist() for p in m.nearest(node, group, size, lanes, 1, *x)), strict=True))
+    assert {(0, 4), (1, 4), (2, 4)} <= pairs()
+    assert (0, 4) not in (got := pairs([[4], None, None, None, [0], None, None, None])) and {(1, 4), (2, 4), (3, 4)} <= got
