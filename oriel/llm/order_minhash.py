@@ -396,9 +396,12 @@ def rare_pairs(block: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
 
 
-def rest_of_pairs(nodes: DataFrame) -> DataFrame:
+def rest_of_pairs(nodes: DataFrame, hot: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ``nodes`` (node, group, n, prefix, parities) of different groups: all
     that may have a similarity of 0.8, as they share one of their rare labels.
+
+    Labels of ``hot`` (label) that over ``BLOCK`` nodes hold are dealt into parts of about that many, and each
+    two parts meet in a block, so that no task has to hold all nodes of a label and every pair still meets.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +414,15 @@ def rest_of_pairs(nodes: DataFrame) -> DataFrame:
         return by_blocks(batches, found)
 
     rows = nodes.select("node", "group", "n", *PARITIES, F.posexplode("prefix").alias("place", "label"))
-    met = rows.select(F.col("label").alias("block"), "node", "group", "n", "place", F.lit(-1).alias("part"), *PARITIES).repartition("block").sortWithinPartitions("block")
+    counts = rows.join(F.broadcast(hot), "label").groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > BLOCK)
+    rows = rows.join(F.broadcast(counts), "label", "left")
+    cold = rows.filter("members IS NULL").select(F.col("label").alias("block"), "node", "group", "n", "place", F.lit(-1).alias("part"), *PARITIES)
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = rows.filter("members IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("node", "label"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    warm = dealt.select(
+        F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "group", "n", "place", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("part"), *PARITIES
+    )
+    met = cold.unionByName(warm).repartition("block").sortWithinPartitions("block")
     return met.mapInArrow(pair, "a long, b long").distinct()
 
 
@@ -493,7 +504,9 @@ def near_duplicate_classes(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
     # All pairs of different classes that may still link: every one is tested, so that no link crosses classes.
     rest = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "prefix", *PARITIES)
     rest = rest.withColumn("group", F.col("node")) if classes is None else rest.join(classes, "node", "left").withColumn("group", F.coalesce("class", "node"))
-    pairs = written(rest_of_pairs(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
+    frequent = common[counts_of * each > BLOCK // 2].view(np.int64)
+    hot = docs.sparkSession.createDataFrame([(x,) for x in frequent.tolist()], "label long")
+    pairs = written(rest_of_pairs(rest, hot).join(tested, ["a", "b"], "left_anti"), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     more = ids.join(meeting, "doc_id", "left_anti")
     n_more = more.count()

@@ -212,3 +212,15 @@ def test_near_duplicate_classes_are_whole(spark):
     rows, _, want = family(250)
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), max_rounds=1).collect()}
     assert [got[i] for i in range(250)] == want and 1 < len(set(want)) < 250
+
+
+def test_no_pair_of_a_hot_label_is_missed(spark, monkeypatch):
+    rows, labels, _ = family(120)
+    monkeypatch.setattr(order_minhash, "BLOCK", 16)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    common, counts, each = order_minhash.common_labels(docs)
+    hot = spark.createDataFrame([(x,) for x in common.view("int64").tolist()], "label long")
+    nodes = order_minhash.features(docs, common, counts).withColumnsRenamed({"doc_id": "node", "n_shingles": "n"}).withColumn("group", F.col("node"))
+    got = {tuple(r) for r in order_minhash.rest_of_pairs(nodes, hot).collect()}
+    want = {(b, a) for a in range(120) for b in range(a) if order_minhash.aligned_similarity(labels[a], labels[b]) >= 0.8 - 1e-12}
+    assert want and want <= got and each == 1
