@@ -516,7 +516,8 @@ def near_duplicate_classes(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
     new = written(verified(pairs, texts), "links")
     if not new.isEmpty():
         classes = components(links.unionByName(new))
-    return membership(all_rows, contents, classes)
+    lost = docs.filter("doc_id IS NULL").selectExpr("doc_id", "cast(NULL AS long) AS class_id", "true AS representative")
+    return membership(all_rows, contents, classes).unionByName(lost)
 
 
 def membership(all_rows: DataFrame, contents: DataFrame, classes: DataFrame) -> DataFrame:

@@ -224,3 +224,8 @@ def test_no_pair_of_a_hot_label_is_missed(spark, monkeypatch):
     got = {tuple(r) for r in order_minhash.rest_of_pairs(nodes, hot).collect()}
     want = {(b, a) for a in range(120) for b in range(a) if order_minhash.aligned_similarity(labels[a], labels[b]) >= 0.8 - 1e-12}
     assert want and want <= got and each == 1
+
+
+def test_near_duplicates_keep_rows_without_id(docs):
+    got = [tuple(r) for r in order_minhash.near_duplicate_classes(docs).filter("doc_id IS NULL").collect()]
+    assert got == [(None, None, True)]
