@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oriel.llm.common import text_bytes
+from oriel.llm.common import text_bytes, written
 
 #: Words are runs of digits, letters a-z and everything beyond ASCII, after lower-casing A-Z.
 #: In UTF-8 each byte of a character beyond ASCII is 0x80 or more, so words can be found on bytes.
@@ -142,12 +142,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, autom
     ).withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, judged in one scan with all their columns kept."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns kept; each row is judged by its own text.
+
+    One scan judges them, but if the benchmark has over ``automaton_bytes``, rows are numbered and written first.
+    """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    if (items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]) > AUTOMATON_BYTES:
-        bad = decontaminate(docs, benchmark, window).filter("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+    if (items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]) > automaton_bytes:
+        numbered = written(docs.withColumn("_clean_row", F.monotonically_increasing_id()), "numbered")
+        judged = decontaminate(numbered.select(F.col("_clean_row").alias("doc_id"), "text"), benchmark, window, automaton_bytes)
+        bad = judged.filter("contaminated").select(F.col("doc_id").alias("_clean_row"))
+        return numbered.join(bad, "_clean_row", "left_anti").select(*docs.columns)
     own = [(r["item_id"], r["text"]) for r in items.toLocalIterator()]
 
     def clean(batches):

@@ -229,3 +229,11 @@ def test_no_pair_of_a_hot_label_is_missed(spark, monkeypatch):
 def test_near_duplicates_keep_rows_without_id(docs):
     got = [tuple(r) for r in order_minhash.near_duplicate_classes(docs).filter("doc_id IS NULL").collect()]
     assert got == [(None, None, True)]
+
+
+def test_keep_clean_judges_each_row_in_blocks_too(spark, bench):
+    d = frame(spark, [(None, LONG), (1, LONG), (1, "quite another text"), (None, "clean")])
+    want = [("clean",), ("quite another text",)]
+    for limit in (decontaminate.AUTOMATON_BYTES, 100):
+        got = decontaminate.keep_clean(d, bench, automaton_bytes=limit)
+        assert sorted(tuple(r) for r in got.select("text").collect()) == want and got.columns == d.columns
