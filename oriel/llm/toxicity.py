@@ -26,7 +26,7 @@ REPORTS = "said says claimed reported wrote quoted called allegedly sagte behaup
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.,;:!?\n|]")
-#: ASCII that isn't a letter becomes a space, so that patterns with a leading space match at starts of words.
+#: ASCII that isn't a letter becomes a space, to count words.
 FOLD = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 #: Output classes of a clause with an insult or a threat.
@@ -140,7 +140,9 @@ class Grammar:
         line = f" {low.encode('utf-8', 'surrogatepass').translate(FOLD).decode('latin-1')} "
         n_words = max(1, len(line.split()))
         out[1] = math.log1p(n_words) / 10
-        if next(self.machine.iter(line), None) is None:
+        # The words that the grammar reads, so that none of its patterns is passed over.
+        probe = f" {' '.join(WORD.findall(low))} ".encode("utf-8", "surrogatepass").decode("latin-1")
+        if next(self.machine.iter(probe), None) is None:
             return out
         counts, sums = np.zeros(len(CLASSES)), np.zeros(len(CLASSES))
         for clause in CLAUSE_END.split(low):

@@ -203,3 +203,12 @@ def test_best_untested_partners_are_proposed():
     pairs = lambda *x: set(zip(*(p.tolist() for p in m.nearest(node, group, size, lanes, 1, *x)), strict=True))
     assert {(0, 4), (1, 4), (2, 4)} <= pairs()
     assert (0, 4) not in (got := pairs([[4], None, None, None, [0], None, None, None])) and {(1, 4), (2, 4), (3, 4)} <= got
+
+
+def test_grammar_is_run_on_words_after_other_punctuation():
+    from oriel.llm.toxicity import Grammar
+
+    g = Grammar({"idiot": 3.0, "isn't.": 2.0})
+    for text in ("¡idiota!", "“idiot”", "«idiot»", "so—idiot", "du\u00a0idiot", "isn't"):
+        assert g.clause(text)[1] > 0 and g.features(text)[0] == 1, text
+    assert g.features("¡clean!")[0] == 0
