@@ -1,26 +1,71 @@
-"""Written tables that end a lineage, for iterative plans."""
+"""Written tables that end a lineage, for iterative plans, and the shared folder that holds them."""
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only on one machine (a ``local`` master) whose session names no shared folder, as in tests.
 LOCAL_SHARED = "file:///tmp/checkpoints"
 
+#: Folders that ``written`` made and that still stand, in order.
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; on a cluster it must be set."""
     value = spark.conf.get("spark.checkpoint.dir", None)
     if not value:
-        spark.conf.set("spark.checkpoint.dir", LOCAL_SHARED)
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         value = LOCAL_SHARED
     return value.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it is removed by ``drop_folders``, at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/oriel-{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/oriel-{name}-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read again, so that its lineage ends there."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` returned and that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/oriel-" in path:
+            delete_path(spark, path)
+
+
+def folder_mark() -> int:
+    """How many folders stand, for ``drop_folders`` to go back to."""
+    return len(_FOLDERS)
+
+
+def drop_folders(mark: int = 0) -> None:
+    """Delete all folders made since ``mark``; results that still read them end with this."""
+    while len(_FOLDERS) > mark:
+        spark, path = _FOLDERS.pop()
+        try:
+            delete_path(spark, path)
+        except Exception:  # noqa: BLE001  # the session has ended: nothing can be deleted through it
+            continue
+
+
+atexit.register(drop_folders)

@@ -126,14 +126,16 @@ def replayed(actual: DataFrame, expected: DataFrame, key: list[str]) -> DataFram
 
 
 def watchdog_stream(frames: DataFrame, limit_ms: int = 500) -> DataFrame:
-    """On a stream: one row for each stream key and batch of its frames, and a ``failure`` row when no frame came
-    for ``limit_ms`` of processing time. State is one count per key."""
+    """On a stream: one row for each stream key and batch of its frames, and one ``failure`` row when no frame came
+    for ``limit_ms`` of processing time. State is one count per key; it outlasts a failure, so that a stream
+    that comes back goes on counting. It never ends by itself: stop the query, or give it a deadline.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             total = state.get[0]
-            state.remove()
+            state.update((total,))  # without a new timeout: a silence is told once
             yield pd.DataFrame({"stream": [key[0]], "frames": [total], "state": ["failure"]})
             return
         total = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)

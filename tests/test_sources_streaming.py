@@ -1,6 +1,7 @@
 """Readers and sinks over small files, and streams against their batch forms."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,7 +116,16 @@ def test_watchdog_stream_counts(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("user_id < 3")
     src = str(tmp_path / "in")
     events.coalesce(1).write.parquet(src)
-    out = S.watchdog_stream(S.event_frames(spark.readStream.schema(events.schema).parquet(src)), 10_000)
-    q = out.writeStream.outputMode("update").format("memory").queryName("dog").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination()
-    assert sum(r["frames"] for r in spark.table("dog").collect() if r["state"] == "fresh") == events.count()
+    want = {r["user_id"]: r["count"] for r in events.groupBy("user_id").count().collect()}
+    out = S.watchdog_stream(S.event_frames(spark.readStream.schema(events.schema).parquet(src)), 500)
+    # A processing-time timeout asks for batches for ever, so the test has a deadline and stops the query.
+    q = out.writeStream.outputMode("update").format("memory").queryName("dog").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        rows, until = [], time.time() + 60
+        while time.time() < until and sum(r["state"] == "failure" for r in rows) < len(want):
+            time.sleep(0.3)
+            rows = spark.table("dog").collect()
+    finally:
+        q.stop()
+    assert {r["stream"]: r["frames"] for r in rows if r["state"] == "fresh"} == want
+    assert sorted((r["stream"], r["frames"]) for r in rows if r["state"] == "failure") == sorted(want.items())
