@@ -2,35 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_SHARED = "file:///tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    value = spark.conf.get("spark.checkpoint.dir", None)
-    if not value:
-        spark.conf.set("spark.checkpoint.dir", LOCAL_SHARED)
-        value = LOCAL_SHARED
-    return value.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/oriel-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that its lineage ends there."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from oriel.plans.tables import drop_folders, drop_table, folder_mark, shared_dir, shared_path, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +17,6 @@ def text_bytes(text) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def hash64(data: bytes) -> int:
-    """A signed 64-bit fingerprint that is equal in every process."""
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values; works on uint64 arrays."""
     x = x.copy()
@@ -56,12 +26,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that ``written`` returned and that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/oriel-" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

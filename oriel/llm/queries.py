@@ -92,6 +92,19 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(w) AS bigint) AS n_words, CAST(coalesce(n_hit, 0) AS bigint) AS n_hit, CAST(coalesce(n_items, 0) AS bigint) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op3_run_index": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, o, substr(h, 2 * o + 1, 910) AS c FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199, 256)) AS o FROM d WHERE len(h) >= 400)),
+w AS (SELECT doc_id, o + i AS i, md5_number(substr(c, 2 * i + 1, 400)) AS t FROM (SELECT doc_id, o, c, unnest(range(len(c) // 2 - 199)) AS i FROM p)),
+again AS (SELECT t FROM w GROUP BY t HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w SEMI JOIN again USING (t)),
+run AS (SELECT doc_id, i, sum(CASE WHEN i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+span AS (SELECT doc_id, k, min(i) AS first, max(i) + 200 AS stop FROM run GROUP BY doc_id, k),
+gap AS (SELECT doc_id, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY k), 0) AS pos, first AS stop FROM span UNION ALL SELECT doc_id, max(stop), NULL FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN stop IS NULL THEN substr(h, 2 * pos + 1) ELSE substr(h, 2 * pos + 1, 2 * (stop - pos)) END, '' ORDER BY pos) AS h FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(stop - first) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS bigint) AS n_bytes, CAST(coalesce(n_removed, 0) AS bigint) AS n_removed, CAST(coalesce(n_spans, 0) AS bigint) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
     "op5_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 k AS (SELECT unnest([5, 8, 61]) AS size),

@@ -21,8 +21,8 @@ ANCHOR = 32
 PIECE = 1 << 20
 #: Bytes of contexts that one index covers, if whole groups of an anchor allow it.
 INDEX_BYTES = 2 << 20
-#: Distinct contexts of an anchor from which it is dealt by single windows.
-WIDE = 8192
+#: Distinct contexts of an anchor that one index holds; those of an anchor with more are cut anew by longer anchors.
+WIDE = 1024
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -148,9 +148,11 @@ def anchored(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
 class RunIndex:
     """Run-length compressed Burrows-Wheeler transform of ``texts``, with samples at the ends of runs.
 
-    At the head (end) of each run of equal preceding symbols the longest common prefix with the row above
-    (below) is sampled; all other rows follow from the samples, one symbol less for each step through
-    the text. So ``statistics`` streams a text's matching statistics from the samples alone.
+    ``heads`` and ``starts`` are the runs: the symbol that precedes all rows of a run, and its first row; they
+    alone give the texts back (``texts``). At the head (end) of each run the longest common prefix with the row above
+    (below) is sampled. A step through the transform from a row inside of a run lengthens that prefix by
+    one symbol, so all others follow from the samples: ``statistics`` streams the texts past them.
+    The suffix array isn't kept.
     """
 
     #: Symbols in a key, of 9 bits each: bytes count from 1, 0 ends a text.
@@ -178,7 +180,8 @@ class RunIndex:
         before[begins[order]] = -1  # the start of a text follows nothing
         same = (before[1:] == before[:-1]) & (before[1:] >= 0)
         head, tail = np.append(True, ~same), np.append(~same, True)
-        self.n, self.runs = n, int(head.sum())
+        self.n, self.starts = n, np.flatnonzero(head)
+        self.heads = before[self.starts].astype(np.int16)
         head[0] = tail[-1] = False
         up, down = np.flatnonzero(head), np.flatnonzero(tail)
         self.above = (order[up], self.prefix(sa, data, left, order[up - 1], order[up]))
@@ -206,6 +209,33 @@ class RunIndex:
             out = np.maximum(out, sample[known] - (at - known))
         return out
 
+    def texts(self) -> list[bytes]:
+        """The texts again, from the runs alone, by stepping back from the end of each."""
+        sizes = np.diff(np.append(self.starts, self.n))
+        symbols = np.unique(self.heads[self.heads >= 0])
+        # The first row of each symbol's suffixes, after those of all smaller symbols (0 for the ends of texts).
+        total = {int(c): int(sizes[self.heads == c].sum()) for c in symbols}
+        first, at = {}, len(self.first)
+        for c in sorted(total):
+            first[c] = at
+            at += total[c]
+        before = np.zeros(len(sizes), np.int64)  # rows of the run's symbol in earlier runs
+        for c in symbols:
+            mine = np.flatnonzero(self.heads == c)
+            before[mine] = np.cumsum(sizes[mine]) - sizes[mine]
+        out = []
+        for row in range(len(self.first)):
+            text = bytearray()
+            while True:
+                run = int(np.searchsorted(self.starts, row, side="right")) - 1
+                c = int(self.heads[run])
+                if c < 0:
+                    break
+                text.append(c - 1)
+                row = first[c] + int(before[run]) + row - int(self.starts[run])
+            out.append(bytes(text[::-1]))
+        return out
+
 
 def repeated_ranges(texts: list[bytes], weights: list[int], length: int = LENGTH) -> list[list[int]]:
     """For each text, the windows of ``length`` bytes that occur anywhere else, as first and last ones in turn.
@@ -227,7 +257,7 @@ def repeated_ranges(texts: list[bytes], weights: list[int], length: int = LENGTH
 
 
 def indexed(rows: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """(anchor, context, first, ranges) from (anchor, context, weight, bytes): repeated windows of each context.
+    """(anchor, context, ranges) from (anchor, context, weight, bytes): repeated windows of each context.
 
     Contexts of an anchor meet in one task; several anchors share an index of about ``index_bytes``.
     """
@@ -261,7 +291,7 @@ def indexed(rows: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYTE
             yield found(pa.concat_tables(held))
 
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "context", "weight", "bytes")
-    return dealt.mapInArrow(search, "anchor long, context long, ranges array<int>").selectExpr("anchor", "context", "0 AS first", "ranges")
+    return dealt.mapInArrow(search, "anchor long, context long, ranges array<int>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -279,73 +309,124 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str) ->
     return a.unionByName(b)
 
 
+CUTS = "anchor long, context long, weight long, wide boolean, bytes binary"
+RECUT = "above_anchor long, above_context long, first int, anchor long, context long, weight long, bytes binary"
+
+
+def recut(rows: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Contexts (anchor, context, weight, bytes) cut anew by anchors of ``anchor`` bytes: what they were cut from, the
+    first window there, and their own anchor, context, weight and bytes. Where anchors are whole windows,
+    bytes are null, as all contexts of an anchor are equal."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column("bytes").to_pylist()
+            old = [batch.column(c).to_numpy() for c in ("anchor", "context", "weight")]
+            i = 0
+            while i < len(data):
+                j, size = i, 0
+                while j < len(data) and (j == i or size < PIECE):
+                    size += len(data[j])
+                    j += 1
+                sizes = np.array([len(x) for x in data[i:j]])
+                ends = np.cumsum(sizes)
+                flat = b"".join(data[i:j])
+                first, last, _, h, c = contexts(np.frombuffer(flat, np.uint8), np.repeat(ends, sizes), length, anchor)
+                who = np.searchsorted(ends, first, side="right")
+                # Equal windows have equal anchors of either length, so both make the key.
+                key = mix64(h.view(_U) + old[0][i:j][who].view(_U) * _U(0x9FB21C651E98DF25)).view(np.int64)
+                whole = [flat[f : e + length] for f, e in zip(first.tolist(), last.tolist(), strict=True)] if anchor < length else [None] * len(first)
+                columns = [old[0][i:j][who], old[1][i:j][who], (first - (ends - sizes)[who]).astype(np.int32), key, c, old[2][i:j][who]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(whole, pa.binary())], names=["above_anchor", "above_context", "first", "anchor", "context", "weight", "bytes"])
+                i = j
+
+    return rows.select("anchor", "context", "weight", "bytes").mapInArrow(cut, RECUT)
+
+
+def ranges_of(rows: DataFrame, length: int, anchors: list[int], wide: int) -> DataFrame:
+    """(anchor, context, ranges) from CUTS: by an index for each anchor, and for wide ones from shorter contexts,
+    which are cut by the next of ``anchors``; the last of them is as long as a window, and leaves none wide."""
+    out = indexed(rows.filter("NOT wide"), length)
+    if not anchors:
+        return out
+    below = written(recut(rows.filter("wide"), length, anchors[0]), "recut")
+    if below.isEmpty():
+        return out
+    folded = written(below.groupBy("anchor", "context").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"), F.any_value("bytes").alias("bytes")), "folded")
+    widths = folded.groupBy("anchor").agg(F.count(F.lit(1)).alias("width"))
+    known = folded.join(widths, "anchor")
+    alone = known.filter("width = 1 AND weight > 1").select("anchor", "context", "n", F.when(F.lit(len(anchors) == 1), F.lit(0)).otherwise(F.octet_length("bytes") - length).alias("last"))
+    found = alone.select("anchor", "context", "n", F.array(F.lit(0), F.col("last")).alias("ranges"))
+    if len(anchors) > 1:
+        more = known.filter("width > 1").select("anchor", "context", "weight", (F.col("width") > wide).alias("wide"), "bytes")
+        n = folded.select("anchor", "context", "n")
+        found = found.unionByName(ranges_of(written(more, "cuts"), length, anchors[1:], wide).join(n, ["anchor", "context"]))
+    # Ranges go back to the contexts that were cut; frequent short contexts meet theirs apart.
+    places = spread_join(below.drop("weight", "bytes"), written(found, "found"), ["anchor", "context"], "n")
+    back = places.select(F.col("above_anchor").alias("anchor"), F.col("above_context").alias("context"), F.transform("ranges", lambda x: x + F.col("first")).alias("ranges"))
+    return out.unionByName(back.groupBy("anchor", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+
+
 def repeated_contexts(docs: DataFrame, length: int, anchor: int, wide: int) -> tuple[DataFrame, DataFrame]:
-    """Places of all contexts whose anchor occurs more than once, and the repeated windows of each context."""
+    """Places of all contexts whose anchor occurs more than once, and the repeated windows of each context.
+
+    ``alike`` marks places whose anchor has one context only: all of its windows repeat, and no index is asked.
+    """
     texts = keyed(docs)
     everything = written(anchored(texts, length, anchor), "anchors")
-    counts = written(everything.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    counts = everything.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
+    counts = written(counts.select("anchor", "n", (F.col("low") == F.col("high")).alias("alike")), "counts")
     shared = written(spread_join(everything, counts, ["anchor"], "n"), "shared")
     drop_table(everything)
-    distinct = shared.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "row", "start", "shape")).alias("at"))
+    distinct = shared.filter("NOT alike").groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "row", "start", "shape")).alias("at"))
     distinct = written(distinct, "contexts")
     widths = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("width")).filter(F.col("width") > wide).select("anchor", F.lit(True).alias("is_wide"))
-    chosen = distinct.join(F.broadcast(widths) if widths.count() <= 10_000 else widths, "anchor", "left")
+    n_wide = widths.count()
+    chosen = distinct.join(F.broadcast(widths) if n_wide <= 10_000 else widths, "anchor", "left")
     wanted = chosen.groupBy(F.col("at.doc_id").alias("_d"), F.col("at.row").alias("_r")).agg(F.collect_list(F.struct("at.start", "at.shape", "anchor", "context", "weight", F.coalesce("is_wide", F.lit(False)).alias("wide"))).alias("cut"))
     # Rows that share doc_id and text are one here; their contexts carry the weight of both.
     source = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).select("text", "cut")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("weight", pa.int64()), ("first", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("bytes", pa.binary())])
+        schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("weight", pa.int64()), ("wide", pa.bool_()), ("bytes", pa.binary())])
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+        # Rows of equal doc_id and text cut the same contexts, whose weight is 2 or more: once is enough, as far as
+        # they follow each other, and more change nothing.
+        done: set[tuple[int, int]] = set()
         for batch in batches:
             rows: list[tuple] = []
-            done: set[tuple[int, int]] = set()  # equal rows of the table cut the same contexts
             for text, cut in zip(batch.column("text").to_pylist(), batch.column("cut").to_pylist(), strict=True):
                 b = text_bytes(text)
+                mine = [(c["anchor"], c["context"]) for c in cut]
+                if done.issuperset(mine):
+                    continue
+                done = set(mine)
                 for c in cut:
-                    if (key := (c["anchor"], c["context"])) in done:
-                        continue
-                    done.add(key)
                     s, n = c["start"], (c["shape"] & 0xFFFF) + 1
-                    if c["wide"]:
-                        for k in range(n):
-                            w = hashlib.blake2b(b[s + k : s + k + length], digest_size=16).digest()
-                            rows.append((*key, c["weight"], k, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True), None))
-                    else:
-                        rows.append((*key, c["weight"], None, None, None, b[s : s + n - 1 + length]))
+                    rows.append((c["anchor"], c["context"], c["weight"], c["wide"], b[s : s + n - 1 + length]))
                 if len(rows) > 10_000:
                     yield out(rows)
                     rows = []
             if rows:
                 yield out(rows)
 
-    cuts = source.mapInArrow(extract, "anchor long, context long, weight long, first int, w1 long, w2 long, bytes binary")
-    n_wide = widths.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if n_wide:
-        cuts = written(cuts, "cuts")
-    ranges = indexed(cuts.filter("bytes IS NOT NULL"), length)
-    if n_wide:
-        # Anchors of very many contexts: their windows meet one by one, each by its own hash.
-        windows = cuts.filter("bytes IS NULL")
-        again = written(windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1"), "wide")
-        found = spread_join(windows.select("anchor", "context", "first", "w1", "w2"), again, ["w1", "w2"], "n")
-        ranges = ranges.unionByName(found.selectExpr("anchor", "context", "first", "array(0, 0) AS ranges"))
-    return shared, ranges
+    cuts = source.mapInArrow(extract, CUTS)
+    return shared, ranges_of(written(cuts, "cuts"), length, [(anchor + length) // 2, length], wide) if n_wide else indexed(cuts, length)
 
 
 def removed_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wide: int = WIDE) -> DataFrame:
     """(doc_id, row, ranges): windows of each text that start anywhere else too, as first and last starts in turn."""
     shared, ranges = repeated_contexts(docs, length, anchor, wide)
     # A context's ranges as one row; contexts that very many places hold meet these apart.
-    weights = shared.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"))
-    shifted = ranges.select("anchor", "context", F.transform("ranges", lambda x: x + F.col("first")).alias("ranges"))
-    whole = written(shifted.groupBy("anchor", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges")).join(weights, ["anchor", "context"]), "ranges")
-    places = spread_join(shared.select("doc_id", "row", "start", "anchor", "context"), whole, ["anchor", "context"], "n")
+    weights = shared.filter("NOT alike").groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"))
+    whole = written(ranges.groupBy("anchor", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges")).join(weights, ["anchor", "context"]), "ranges")
+    places = spread_join(shared.filter("NOT alike").select("doc_id", "row", "start", "anchor", "context"), whole, ["anchor", "context"], "n")
     moved = places.select("doc_id", "row", F.transform("ranges", lambda x: x + F.col("start")).alias("ranges"))
-    return moved.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    plain = shared.filter("alike").select("doc_id", "row", F.array(F.col("start"), F.col("start") + F.col("shape").bitwiseAND(0xFFFF)).alias("ranges"))
+    return moved.unionByName(plain).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def merged_spans(ranges, length: int) -> list[tuple[int, int]]:

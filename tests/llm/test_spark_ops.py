@@ -58,6 +58,19 @@ def test_exact_dedup_matches_brute_force(spark, docs):
         assert got == Counter(run_index.brute_force([t for _, t in ROWS]))
 
 
+def test_wide_anchors_are_cut_anew(spark):
+    r = random.Random(8)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(190))
+    parts = ["".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(6)]
+    texts = [r.choice(parts)[-k:] + shared + r.choice(parts)[:k] + "".join(r.choice("xyz") for _ in range(9)) for k in (4, 9, 12, 30) for _ in range(25)]
+    texts += [shared + parts[0], shared + parts[0], "short", "", None, "é" * 150, "é" * 150 + "a"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = run_index.brute_force(texts)
+    for wide in (1, 10):
+        got = {r["doc_id"]: tuple(r)[1:5] for r in run_index.exact_dedup(d, wide=wide).collect()}
+        assert [got[i] for i in range(len(texts))] == want, wide
+
+
 def test_decontamination_in_blocks(docs, bench):
     one = decontaminate.decontaminate(docs, bench).drop("spans")
     many = decontaminate.decontaminate(docs, bench, automaton_bytes=100).drop("spans")
