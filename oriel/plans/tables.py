@@ -58,14 +58,14 @@ def folder_mark() -> int:
     return len(_FOLDERS)
 
 
-def drop_folders(mark: int = 0) -> None:
-    """Delete all folders made since ``mark``; results that still read them end with this."""
-    while len(_FOLDERS) > mark:
-        spark, path = _FOLDERS.pop()
+def drop_folders(mark: int = 0, keep: int = 0) -> None:
+    """Delete all folders made since ``mark`` but for the last ``keep``; results that still read them end with this."""
+    for spark, path in _FOLDERS[mark : len(_FOLDERS) - keep]:
         try:
             delete_path(spark, path)
         except Exception:  # noqa: BLE001  # the session has ended: nothing can be deleted through it
             continue
+    del _FOLDERS[mark : len(_FOLDERS) - keep]
 
 
 atexit.register(drop_folders)
