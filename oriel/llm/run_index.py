@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oriel.llm.common import drop_table, mix64, text_bytes, written
+from oriel.llm.common import drop_table, mix64, spread_join, text_bytes, written
 from oriel.llm.suffix import SuffixArray
 
 LENGTH = 200
@@ -298,17 +298,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
 
 
-def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str) -> DataFrame:
-    """Inner join with ``keys``, unique in ``on``; keys with over a thousandth of their summed ``count``
-    are at most 1,000 and are broadcast, the others meet their rows by key."""
-    total = keys.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
-    bound = max(2000.0, total / 1000)
-    hot = keys.filter(F.col(count) > bound)
-    a = rows.join(F.broadcast(hot), on)
-    b = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.filter(F.col(count) <= bound), on)
-    return a.unionByName(b)
-
-
 CUTS = "anchor long, context long, weight long, wide boolean, bytes binary"
 RECUT = "above_anchor long, above_context long, first int, anchor long, context long, weight long, bytes binary"
 
