@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oriel.llm.common import written
+from oriel.llm.common import free_name, with_row_key, written
 
 #: Words are what lies between ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,8 @@ SOURCE_BLOCKS, BLOCK_WORDS = 1024, 1 << 20
 RUN_DOCS = 4096
 #: Cells of [0, slots) by which slots meet sources.
 CELLS = 4096
+#: Bits of the hash that shuffles a source.
+HASH_BITS = 60
 
 
 def ranked_sources(sizes: DataFrame) -> DataFrame:
@@ -119,32 +121,32 @@ def with_sources(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFra
 def streams(rows: DataFrame) -> DataFrame:
     """Adds ``at``: where a document starts in the shuffled stream of words of its source.
 
-    The order is by a hash of doc_id and text. Its highest bits deal each source into runs of about
-    ``RUN_DOCS`` documents; sums of runs come first, then the order within each run.
+    The order is by a hash of doc_id and text, of ``HASH_BITS`` bits. Its highest bits deal each source into
+    runs of about ``RUN_DOCS`` documents; sums of runs come first, then the order within each run.
     """
-    run = F.floor((F.shiftrightunsigned("h", 24).cast("double") / F.lit(float(1 << 40))) * F.ceil(F.col("n_docs") / RUN_DOCS)).cast("long")
+    run = F.floor((F.col("h").cast("double") / F.lit(float(1 << HASH_BITS))) * F.ceil(F.col("n_docs") / RUN_DOCS)).cast("long")
     rows = rows.withColumn("run", run)
     earlier = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = rows.groupBy("key", "run").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    order = Window.partitionBy("key", "run").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key", "run").orderBy("h", "doc_id", "size", "row_a", "row_b").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("within", F.coalesce(F.sum("size").over(order), F.lit(0))).join(runs, ["key", "run"]).withColumn("at", F.col("before") + F.col("within")).drop("run", "before", "within")
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and the words that the mix takes of it.
-
-    Null and empty texts have size 0 and are taken 0 times. The shuffled stream of each source is cut
-    into equal blocks; the schedule gives every slot the next block of its source, from the start again
-    once the stream has ended, and the last slot of a source only the words left to its target. As
-    targets stop at twice the source, no document is taken over twice. Repeated rows count as documents
-    of their own; equal ones may share what is taken between them in either order, with equal sums.
-    An empty table gives no rows. Clashing extra columns are left alone. Runs agree.
+def decisions(keyed: DataFrame, a: str, b: str, share: float, weights: tuple[float, ...]) -> DataFrame:
+    """What the mix does with each row of ``keyed``, whose columns ``a`` and ``b`` tell rows apart: row_a, row_b,
+    doc_id, size, source_size, target, taken and first_slot.
+
+    The shuffled stream of each source is cut into equal blocks; every slot of the schedule takes the next block of
+    its source, from the start again once the stream has ended, and the last slot of a source only the words left to
+    its target. A document is taken in the slots whose blocks hold its words, first in ``first_slot``.
     """
-    sized = docs.select(
+    sized = keyed.select(
+        F.col(a).alias("row_a"),
+        F.col(b).alias("row_b"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("doc_id", "text").alias("h"),
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+        F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text").cast("string"))), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
     )
     sized = written(sized, "sizes")
     sources = written(blocks(targets(ranked_sources(sized), share, weights=weights)), "sources")
@@ -153,9 +155,36 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = WEIGHT
     # Each document occurs in the first and in the second pass over its source.
     passes = rows.filter("size > 0").withColumn("from", F.explode(F.array(F.col("at"), F.col("at") + F.col("source_size")))).filter("from < quota")
     pieces = passes.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / F.col("block")).cast("long"), F.floor((F.least(F.col("from") + F.col("size"), F.col("quota")) - 1) / F.col("block")).cast("long"))))
-    slots = schedule(sources)
-    placed = pieces.join(slots, ["key", "rank"])
+    placed = pieces.join(schedule(sources), ["key", "rank"])
     overlap = F.least(F.col("from") + F.col("size"), (F.col("rank") + 1) * F.col("block"), F.col("quota")) - F.greatest(F.col("from"), F.col("rank") * F.col("block"))
-    taken = placed.groupBy("doc_id", "h", "at", "key").agg(F.sum(overlap).cast("long").alias("taken"))
-    out = rows.alias("r").join(taken.alias("t"), F.expr("r.doc_id <=> t.doc_id AND r.h = t.h AND r.at = t.at AND r.key = t.key AND r.size > 0"), "left")
-    return out.selectExpr("r.doc_id", "r.size", "r.source_size", "r.target", "coalesce(t.taken, 0L) AS taken")
+    taken = placed.groupBy("row_a", "row_b").agg(F.sum(overlap).cast("long").alias("taken"), F.min("slot").alias("first_slot"))
+    out = rows.join(taken, ["row_a", "row_b"], "left")
+    return out.select("row_a", "row_b", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot")
+
+
+def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, the words that the mix takes of it, and the first
+    slot of the schedule that takes any (null if none).
+
+    Null and empty texts have size 0 and are taken 0 times. As targets stop at twice the source, no document is
+    taken over twice. Very long texts are one row of sizes and lie in as many blocks as they need. Repeated rows
+    count as documents of their own; equal ones may share what is taken between them in either order, with equal
+    sums. An empty table gives no rows. Clashing extra columns are left alone. Runs agree.
+    """
+    keyed, a, b = with_row_key(docs)
+    return decisions(keyed, a, b, share, weights).drop("row_a", "row_b")
+
+
+def mixture(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes any of their words: not at all, once or twice, with all
+    their columns; each task's rows in the order of the slots that take them first.
+
+    A document of which the mix takes over its size in words stands twice. A source's last document may be
+    taken in part and then stands whole. Each row goes by its own decision, whatever doc_id or text it shares.
+    """
+    keyed, a, b = with_row_key(docs)
+    times, slot = free_name(keyed.columns, "_times"), free_name(keyed.columns, "_slot")
+    chosen = decisions(keyed, a, b, share, weights).filter("taken > 0")
+    chosen = chosen.select(F.col("row_a").alias(a), F.col("row_b").alias(b), F.when(F.col("taken") > F.col("size"), 2).otherwise(1).alias(times), F.col("first_slot").alias(slot))
+    rows = keyed.join(chosen, [a, b])
+    return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).sortWithinPartitions(slot).select(*(F.col(f"`{c}`") for c in docs.columns))

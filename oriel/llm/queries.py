@@ -122,6 +122,26 @@ SELECT doc_id, CAST(n_words AS bigint) AS n_words, CAST(word_chars AS bigint) AS
        CAST(n_repeat_words AS bigint) AS n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_covered <= 0.15 * n_words AND NOT far AS kept, CAST(n_covered AS bigint) AS n_covered
 FROM m""",
+    "op7_mix_sources": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS bigint) AS size, CAST('0x' || substr(md5(concat_ws(':', doc_id, text)), 1, 15) AS bigint) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS bigint) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS key FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][key % 3 + 1] AS double) AS weight, 2.0::double * source_size AS most, sum(source_size) OVER () * 1.5::double AS budget FROM s),
+r AS (SELECT *, (budget - coalesce(sum(most) OVER earlier, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level FROM w
+      WINDOW earlier AS (ORDER BY most / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT arg_min(level, (most / weight, key)) AS level FROM r WHERE most / weight >= level),
+t AS (SELECT source, key, source_size, coalesce(least(most, lv.level * weight), most) AS target FROM r, lv),
+q AS (SELECT *, least(CAST(round(target) AS bigint), 2 * source_size) AS quota, greatest(1, least(1048576, source_size // 1024)) AS block FROM t),
+c AS (SELECT *, CAST(ceil(quota / block) AS bigint) AS n_slots FROM q),
+e AS (SELECT *, CAST(sum(n_slots) OVER (ORDER BY key) AS bigint) AS stop, CAST(sum(n_slots) OVER () AS bigint) AS n FROM c),
+g AS (SELECT n, (SELECT x FROM unnest(range(1, n + 1)) AS u(x) WHERE gcd(x, n) = 1 ORDER BY abs(x - greatest(1, round(n * (sqrt(5) - 1) / 2))), x LIMIT 1) AS step FROM (SELECT max(n) AS n FROM e)),
+k AS (SELECT slot, (slot * step) % n AS point FROM g, unnest(range(n)) AS u(slot)),
+sl AS (SELECT slot, key, row_number() OVER (PARTITION BY key ORDER BY slot) - 1 AS rank FROM k JOIN e ON point >= stop - n_slots AND point < stop),
+a AS (SELECT d.doc_id, d.size, e.key, e.source_size, target, quota, block, CAST(sum(d.size) OVER (PARTITION BY e.key ORDER BY h, d.doc_id) AS bigint) - d.size AS pos FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+p AS (SELECT doc_id, key, size, quota, block, pos + x * source_size AS pos FROM a, unnest([0, 1]) AS u(x) WHERE size > 0),
+o AS (SELECT doc_id, key, pos // block AS low, (least(pos + size, quota) - 1) // block AS high, least(pos + size, quota) - pos AS words FROM p WHERE pos < quota),
+taken AS (SELECT doc_id, sum(words) AS taken FROM o GROUP BY doc_id),
+first_slots AS (SELECT doc_id, min(slot) AS first_slot FROM o JOIN sl ON o.key = sl.key AND rank BETWEEN low AND high GROUP BY doc_id)
+SELECT a.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS bigint) AS taken, first_slot FROM a LEFT JOIN taken USING (doc_id) LEFT JOIN first_slots USING (doc_id)""",
     "op9_line_dedup": r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 w AS (SELECT doc_id, i, l[i + 1] || chr(10) || l[i + 2] || chr(10) || l[i + 3] AS t FROM (SELECT doc_id, l, unnest(range(len(l) - 2)) AS i FROM d WHERE len(l) >= 3)),
