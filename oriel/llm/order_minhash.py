@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oriel.llm.common import mix64, written
+from oriel.llm.common import free_name, mix64, spread_join, written
 from oriel.llm.graph import components
 
 SHINGLE_WORDS = 5
@@ -24,21 +24,26 @@ _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = mix64(np.arange(1, 257, dtype=_U)) | _U(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, _U)
-    x = 1
-    for i in range(n):
-        out[i] = x
-        x = x * base & 0xFFFFFFFFFFFFFFFF
+#: A random value for each byte at each of the first places of a word; later places are mixed as they come.
+_PLACES = 48
+_VALUES = mix64(mix64(np.arange(1, _PLACES * 256 + 1, dtype=_U)) + _U(0x9E3779B97F4A7C15))
+
+
+def byte_values(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A random value for each byte of ``data`` at its place ``at`` in its word, alike for all texts."""
+    near = at < _PLACES
+    out = _VALUES[np.where(near, at, 0) * 256 + data]
+    if not near.all():
+        far = np.flatnonzero(~near)
+        out[far] = mix64(mix64(at[far].astype(_U) * _U(256) + data[far].astype(_U)) + _U(0xD1B54A32D192ED03))
     return out
 
 
 def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased words of ``texts``, in order, and the number of words of each text.
 
-    Words lie between ASCII white space. A word's hash sums its bytes times powers of a constant.
+    Words lie between ASCII white space. A word's hash mixes the sum of random values, one for each of its bytes
+    by the byte and its place; unlike sums of powers, no regular pattern of bytes cancels out.
     """
     raw = [b"" if t is None else t.lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
@@ -55,10 +60,10 @@ def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     n_words = np.diff(np.append(np.searchsorted(first, begin), len(first)))
     stop = np.flatnonzero(space & np.append(False, inside[:-1]))
     size = stop - first
-    at = np.arange(len(data)) - np.repeat(np.append(0, first), np.diff(np.concatenate([[0], first, [len(data)]])))
-    value = (data.astype(_U) + _U(1)) * _powers(0x9E3779B97F4A7C15, int(size.max()) + 1)[np.minimum(at, size.max())]
-    value[space] = 0
-    return mix64(np.add.reduceat(value, first) + size.astype(_U)), n_words
+    letters = np.flatnonzero(inside)
+    ends = np.cumsum(size)
+    at = np.arange(len(letters)) - np.repeat(ends - size, size)
+    return mix64(np.add.reduceat(byte_values(data[letters], at), ends - size) + size.astype(_U)), n_words
 
 
 #: Bytes of text that are hashed at once, if no text alone has more; memory follows this, not the batch.
@@ -200,7 +205,7 @@ def common_labels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(labels.view(np.int64))], names=["label"])
 
     each = max(1, docs.count() // SAMPLED_TEXTS)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(each)) == 0).select("text").distinct()
+    some = docs.filter(F.pmod("k1", F.lit(each)) == 0).select("text").distinct()
     counts = some.mapInArrow(label, "label long").groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = counts.orderBy(F.col("n").desc(), "label").limit(COMMON_LABELS).toPandas()
     labels, n = rows["label"].to_numpy(np.int64).view(_U), rows["n"].to_numpy(np.int64)
@@ -243,11 +248,12 @@ def parities(labels: np.ndarray, n_shingles: np.ndarray) -> np.ndarray:
 
 
 PARITIES = [f"p{k}" for k in range(PARITY_WORDS)]
-FEATURES = f"doc_id long, h1 long, h2 long, n_shingles int, keys array<long>, lanes binary, prefix array<long>, {', '.join(f'{p} long' for p in PARITIES)}"
+FEATURES = f"k1 long, k2 long, doc_id long, h1 long, h2 long, n_shingles int, keys array<long>, lanes binary, prefix array<long>, {', '.join(f'{p} long' for p in PARITIES)}"
 
 
 def features(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, two hashes of the words, number of shingles, sketch keys, lanes, rare labels and parities; null where there are no words."""
+    """k1, k2 and doc_id as they are, two hashes of the words, number of shingles, sketch keys, lanes, rare labels and
+    parities; null where there are no words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,15 +283,19 @@ def features(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFra
             bits = np.zeros((len(n), PARITY_WORDS), np.int64)
             bits[some] = parities(labels, n).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *both, pa.array(n.astype(np.int32)), key_lists, pa.array([next(lane_rows).tobytes() if x else None for x in some], pa.binary()), rare_lists, *(pa.array(bits[:, k].copy()) for k in range(PARITY_WORDS))],
-                names=["doc_id", "h1", "h2", "n_shingles", "keys", "lanes", "prefix", *PARITIES],
+                [*(batch.column(c) for c in ("k1", "k2", "doc_id")), *both, pa.array(n.astype(np.int32)), key_lists, pa.array([next(lane_rows).tobytes() if x else None for x in some], pa.binary()), rare_lists, *(pa.array(bits[:, k].copy()) for k in range(PARITY_WORDS))],
+                names=["k1", "k2", "doc_id", "h1", "h2", "n_shingles", "keys", "lanes", "prefix", *PARITIES],
             )
 
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").filter("doc_id IS NOT NULL").mapInArrow(make, FEATURES)
+    return docs.select("k1", "k2", "doc_id", "text").mapInArrow(make, FEATURES)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(k1, k2, doc_id, text): 128 bits that tell different rows apart by doc_id and text, nulls too."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", F.coalesce("doc_id", F.lit(-1))).alias("k2"), "doc_id", "text")
 
 
-#: Ids of single texts that are sent to all tasks at most, instead of a shuffle of all texts.
-BROADCAST_IDS = 200_000
 #: Rows of a bucket that are compared with each other at once; larger buckets are dealt into such
 #: blocks at random, differently for each sketch and round.
 BLOCK = 1024
@@ -427,7 +437,7 @@ def rest_of_pairs(nodes: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts (doc_id, text) are as similar as ``least`` by banded alignment."""
+    """The pairs (a, b) whose texts (node, text) are as similar as ``least`` by banded alignment."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -445,7 +455,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
                 keep = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(align, "a long, b long")
 
 
@@ -461,24 +471,37 @@ def near_duplicate_classes(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
     cheaply. All pairs of different classes that are left are then met by their rare labels, by which no
     pair of a similarity of 0.8 is missed, and tested too: classes are exact.
 
-    Null, empty and blank texts have no words and are classes of their own. Rows that share a doc_id
-    share a class; rows with a null doc_id come back with a null class, as representatives. An empty
-    table gives no rows; columns other than doc_id and text are left alone.
+    Rows go by their texts: different texts that share a doc_id, or have none, are documents of their own. Of each
+    class the row of the lowest doc_id (of equal ones that of the lowest hash, rows without doc_id last) is
+    the representative; rows of the same doc_id and text are both one. A class without any doc_id has a null
+    class_id. Null, empty and blank texts have no words and are classes of their own. Very long texts are hashed
+    whole, one at a time. An empty table gives no rows; columns other than doc_id and text are left alone.
     """
-    docs = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")
+    return classified(docs, max_rounds).select("doc_id", "class_id", "representative")
+
+
+def classified(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
+    """(k1, k2, doc_id, class_id, representative, worded) for each row; see ``near_duplicate_classes``."""
+    docs = keyed(docs)
     common, counts_of, each = common_labels(docs)
     all_rows = written(features(docs, common, counts_of), "features")
     worded = all_rows.filter("n_shingles > 0")
-    contents = written(worded.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("count"), F.min("doc_id").alias("rep")), "contents")
-    nodes = worded.join(contents.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    keyed = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "lanes", F.posexplode("keys").alias("sketch", "key"))
-    counts = keyed.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = written(keyed.join(counts, ["sketch", "key"]), "members")
-
-    # Whole texts are shuffled once, and only those that meet others are kept for all rounds. Rows that share a
-    # doc_id share a text here: the lowest one.
-    meeting = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = written(docs.join(meeting, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("rep")
+    contents = written(worded.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("count"), first).withColumn("node", F.monotonically_increasing_id()), "contents")
+    holders = contents.select("node", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"))
+    nodes = worded.join(holders, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    keys = nodes.select("node", F.col("n_shingles").alias("n"), "lanes", F.posexplode("keys").alias("sketch", "key"))
+    counts = keys.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = written(keys.join(counts, ["sketch", "key"]), "members")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(node, text) of the nodes ``wanted``."""
+        chosen = holders.join(wanted, "node", "left_semi")
+        return docs.join(chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "text")
+
+    # Whole texts are shuffled once, and only those that meet others are kept for all rounds.
+    meeting = members.select("node").distinct()
+    texts = written(texts_of(meeting), "texts")
 
     def blocks(rows: DataFrame, number: int) -> DataFrame:
         part = F.pmod(F.xxhash64("node", "sketch", F.lit(number)), F.ceil(F.col("members") / BLOCK).cast("long"))
@@ -502,46 +525,44 @@ def near_duplicate_classes(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
         classes = components(links)
 
     # All pairs of different classes that may still link: every one is tested, so that no link crosses classes.
-    rest = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "prefix", *PARITIES)
+    rest = nodes.select("node", F.col("n_shingles").alias("n"), "prefix", *PARITIES)
     rest = rest.withColumn("group", F.col("node")) if classes is None else rest.join(classes, "node", "left").withColumn("group", F.coalesce("class", "node"))
     frequent = common[counts_of * each > BLOCK // 2].view(np.int64)
     hot = docs.sparkSession.createDataFrame([(x,) for x in frequent.tolist()], "label long")
     pairs = written(rest_of_pairs(rest, hot).join(tested, ["a", "b"], "left_anti"), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    more = ids.join(meeting, "doc_id", "left_anti")
-    n_more = more.count()
-    if n_more:
-        more = F.broadcast(more) if n_more <= BROADCAST_IDS else more
-        texts = texts.unionByName(docs.join(more, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    more = written(ids.join(meeting, "node", "left_anti"), "more")
+    if not more.isEmpty():
+        texts = texts.unionByName(texts_of(more))
     new = written(verified(pairs, texts), "links")
     if not new.isEmpty():
         classes = components(links.unionByName(new))
-    lost = docs.filter("doc_id IS NULL").selectExpr("doc_id", "cast(NULL AS long) AS class_id", "true AS representative")
-    return membership(all_rows, contents, classes).unionByName(lost)
-
-
-def membership(all_rows: DataFrame, contents: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each row's class: by its content's representative, then by its component."""
-    copies = contents.filter("count > 1").select("h1", "h2", "count", "rep")
-    total = copies.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
-    bound = max(1000.0, total / 1000)  # at most 1,000 contents lie above it
-    hot = F.broadcast(copies.filter(F.col("count") > bound).select("h1", "h2", F.col("rep").alias("hot_rep")))
-    rows = all_rows.select("doc_id", "h1", "h2").join(hot, ["h1", "h2"], "left")
-    known = rows.filter("hot_rep IS NOT NULL").select("doc_id", F.col("hot_rep").alias("rep"))
-    rest = rows.filter("hot_rep IS NULL").join(copies.filter(F.col("count") <= bound).select("h1", "h2", "rep"), ["h1", "h2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    # A component's members are few rows for each hot content, so they are spread by content first.
-    out = rest.unionByName(known)
+    return membership(all_rows, contents, classes)
+
+
+def membership(all_rows: DataFrame, contents: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Each row's class: contents get theirs first, one row each; rows then meet their contents, frequent ones apart."""
+    named = contents.withColumn("class", F.col("node"))
     if classes is not None:
-        out = out.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
-    else:
-        out = out.select("doc_id", F.col("rep").alias("class_id"))
-    return out.withColumn("representative", F.col("doc_id") == F.col("class_id"))
+        named = contents.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        lowest = named.groupBy("class").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        named = spread_join(named, lowest, ["class"], "n", "left").withColumn("rep", F.coalesce("low", "rep"))
+    named = written(named.select("h1", "h2", "count", F.col("rep.doc_id").alias("class_id"), F.col("rep.k1").alias("r1"), F.col("rep.k2").alias("r2")), "named")
+    rows = all_rows.select("k1", "k2", "doc_id", "h1", "h2", (F.col("n_shingles") > 0).alias("worded"))
+    met = spread_join(rows.filter("worded"), named, ["h1", "h2"], "count")
+    out = met.select("k1", "k2", "doc_id", "class_id", F.expr("k1 = r1 AND k2 = r2").alias("representative"), "worded")
+    return out.unionByName(rows.filter("NOT worded").select("k1", "k2", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("representative"), "worded"))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that represent their classes, with all columns; of rows that share a
-    doc_id one stays. Rows with a null doc_id stay."""
-    kept = near_duplicate_classes(docs).filter("representative").select(F.col("doc_id").alias("_kept")).distinct()
-    lost = docs.filter("doc_id IS NULL")
-    stay = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(lost)
+    """The rows of ``docs`` that represent their classes, with all columns.
+
+    Of rows of the same doc_id and text one stays, with its other columns; different texts of one doc_id, and rows
+    without a doc_id, are judged by their own text. Rows without words all stay.
+    """
+    a, b = free_name(docs.columns, "_k1"), free_name(docs.columns, "_k2")
+    own = docs.select("*", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias(a), F.xxhash64(F.lit(7), F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias(b))
+    kept = classified(docs).filter("representative AND worded").select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
+    wordless = ~F.coalesce(F.col("text").cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    stay = own.join(kept, [a, b], "left_semi").dropDuplicates([a, b])
+    return stay.unionByName(own.filter(wordless)).select(*(F.col(f"`{c}`") for c in docs.columns))
