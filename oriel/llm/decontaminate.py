@@ -7,12 +7,11 @@ import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oriel.llm.common import text_bytes, written
+from oriel.llm.common import shared_path, text_bytes, with_row_key
 
 #: Words are runs of digits, letters a-z and everything beyond ASCII, after lower-casing A-Z.
 #: In UTF-8 each byte of a character beyond ASCII is 0x80 or more, so words can be found on bytes.
@@ -20,40 +19,76 @@ FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
     for b in range(256)
 )
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-#: Benchmark bytes for which one automaton is built; a larger benchmark is scanned in several rounds.
-AUTOMATON_BYTES = 32 << 20
+#: Words of the benchmark in one automaton, about at most: it has up to 13 nodes for each, of some 80 bytes. A larger
+#: benchmark is dealt into blocks, each scanned in turn.
+BLOCK_WORDS = 400_000
+#: Words of one item that stay together; longer items are dealt in pieces that overlap, so that no window is lost.
+PIECE_WORDS = 20_000
 
-SCAN_SCHEMA = "row long, doc_id long, n_words long, hits array<struct<first:int,last:int>>, spans array<struct<start:int,stop:int>>, items array<string>"
+SCAN_SCHEMA = "row_a long, row_b long, doc_id long, n_words long, hits array<struct<first:int,last:int>>, spans array<struct<start:int,stop:int>>, items array<string>"
 
 
 def folded_words(text) -> list[bytes]:
     return text_bytes(text).translate(FOLD).split()
 
 
-def windows_of(words: list[bytes], size: int) -> set[bytes]:
-    """Every ``size`` consecutive words; a shorter text that has words is one window."""
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+def symbol(k: int) -> str:
+    """The character that stands for the ``k``-th word, from 0; surrogates are left out, and U+0000 stands for words
+    that no item has."""
+    return chr(k + 1) if k + 1 < 0xD800 else chr(k + 1 + 0x800)
 
 
-def automaton(items: list[tuple[str, str]], size: int):
-    """The automaton and, for each pattern, its number of words and the items that hold it."""
-    import ahocorasick
+class WindowMachine:
+    """One Aho-Corasick automaton over word windows; its letters are whole words, so a window has a node for each word."""
 
-    owners: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for w in windows_of(folded_words(text), size):
-            owners.setdefault(w, set()).add(item)
-    machine, patterns = ahocorasick.Automaton(), []
-    for k, (w, own) in enumerate(owners.items()):
-        machine.add_word(f" {w.decode('latin-1')} ", k)
-        patterns.append((w.count(b" ") + 1, own))
-    if patterns:
-        machine.make_automaton()
-    return machine, patterns
+    def __init__(self, items: list[tuple[str, str]], size: int):
+        import ahocorasick
+
+        self.letters: dict[bytes, str] = {}
+        owners: dict[str, set[str]] = {}
+        for item, text in items:
+            line = "".join([self.letters.setdefault(w, symbol(len(self.letters))) for w in folded_words(text)])
+            for i in range(max(1, len(line) - size + 1) if line else 0):
+                owners.setdefault(line[i : i + size], set()).add(item)
+        self.machine = ahocorasick.Automaton()
+        for window, own in owners.items():
+            self.machine.add_word(window, (len(window), tuple(own)))
+        if owners:
+            self.machine.make_automaton()
+        self.empty = not owners
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """(first word, last word, items) of each window that ``words`` hold."""
+        if self.empty or not words:
+            return
+        get = self.letters.get
+        for last, (size, own) in self.machine.iter("".join([get(w, "\0") for w in words])):
+            yield last - size + 1, last, own
+
+
+#: The automaton that a worker built last, by the folder and block that it is made of.
+_BUILT: dict[tuple[str, int, int], WindowMachine] = {}
+
+
+def built(folder: str, block: int, size: int) -> WindowMachine:
+    """The automaton of one written block; a worker builds it once and keeps one."""
+    if (folder, block, size) not in _BUILT:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        files = [f.path for f in system.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True)) if f.path.endswith(".parquet")]
+        items: list[tuple[str, str]] = []
+        for name in sorted(files):
+            with system.open_input_file(name) as source:
+                rows = pq.read_table(source, columns=["item_id", "text"], partitioning=None)
+            items += zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)
+        _BUILT.clear()
+        _BUILT[folder, block, size] = WindowMachine(items, size)
+    return _BUILT[folder, block, size]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -66,61 +101,85 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def scan(batches: Iterator[pd.DataFrame], items: list[tuple[str, str]], size: int) -> Iterator[pd.DataFrame]:
-    """Run the automaton once over each text; map hit words back to offsets in the original."""
-    machine, patterns = automaton(items, size)
+def scanned(machine: WindowMachine, text) -> tuple[int, list[tuple[int, int]], list[str]]:
+    """Words of a text, the runs of words that windows hit, and the items found."""
+    words = folded_words(text)
+    hits, found = [], set()
+    for first, last, own in machine.find(words):
+        hits.append((first, last))
+        found.update(own)
+    return len(words), merged(hits), sorted(found)
+
+
+FOUND = pa.schema(
+    [
+        ("n_words", pa.int64()),
+        ("hits", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+        ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+        ("items", pa.list_(pa.string())),
+    ]
+)
+
+
+def scan(batches: Iterator[pa.RecordBatch], machine: WindowMachine, every: bool = True) -> Iterator[pa.RecordBatch]:
+    """Run the automaton once over each text; map hit words back to offsets in the original. ``every`` row is
+    returned, or only those with hits."""
     for batch in batches:
         rows = []
-        for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
-            words = folded_words(text)
-            hits, found = [], set()
-            if patterns and words:
-                line = f" {b' '.join(words).decode('latin-1')} "
-                ends = [(end, k) for end, k in machine.iter(line)]
-                if ends:
-                    spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-                    last = np.searchsorted(spaces, [e for e, _ in ends]) - 1
-                    for stop, (_, k) in zip(last.tolist(), ends, strict=True):
-                        count, own = patterns[k]
-                        hits.append((stop - count + 1, stop))
-                        found |= own
-            hits = merged(hits)
+        for text in batch.column("text").to_pylist():
+            n_words, hits, items = scanned(machine, text)
             spans = []
             if hits:
                 at = [m.span() for m in WORD.finditer(text)]
-                spans = [{"start": at[a][0], "stop": at[b][1]} for a, b in hits]
-            rows.append((row, doc_id, len(words), [{"first": a, "last": b} for a, b in hits], spans, sorted(found)))
-        yield pd.DataFrame(rows, columns=["row", "doc_id", "n_words", "hits", "spans", "items"])
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+                spans = [{"start": at[x][0], "stop": at[y][1]} for x, y in hits]
+            rows.append({"n_words": n_words, "hits": [{"first": x, "last": y} for x, y in hits], "spans": spans, "items": items})
+        found = pa.RecordBatch.from_pylist(rows, schema=FOUND)
+        out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_a", "row_b", "doc_id")), *found.columns], names=["row_a", "row_b", "doc_id", *FOUND.names])
+        yield out if every else out.filter(pa.array([bool(r["hits"]) for r in rows], pa.bool_()))
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[str, int]:
+    """The benchmark's items written by blocks to the shared folder: the folder and the number of blocks."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    words = F.regexp_extract_all(F.translate("text", UPPER, UPPER.lower()), F.lit(f"({WORD.pattern})"), F.lit(1))
+    cut = items.withColumn("words", words).filter(F.size("words") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(PIECE_WORDS))
+    pieces = cut.withColumn("at", F.explode(starts)).select("item_id", "at", F.array_join(F.slice("words", F.col("at") + 1, PIECE_WORDS + window - 1), " ").alias("text"), F.least(F.size("words") - F.col("at"), F.lit(PIECE_WORDS + window - 1)).alias("n"))
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, math.ceil(1.25 * total / block_words)) if total > block_words else 1
+    folder = shared_path(benchmark.sparkSession, "benchmark")
+    pieces.select("item_id", "text", F.pmod(F.xxhash64("item_id", "at"), F.lit(blocks)).cast("int").alias("block")).repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, blocks
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: its words, hit words, hit spans in the original and matching items.
 
     ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` ``item_id`` and ``text``; other columns are
     left alone. Null and empty texts have no words; an item without words matches nothing, an item
     shorter than the window is one window. Repeated rows give a row each; an empty benchmark gives
-    rows without hits. Spans are code point offsets ``[start, stop)`` of the original text.
+    rows without hits, an empty table no rows. Very long texts are scanned whole, one at a time. Spans are code
+    point offsets ``[start, stop)`` of the original text.
 
-    The benchmark is the stated query set. Its text goes to every scanning task, at most
-    ``automaton_bytes`` at a time: a larger one is dealt into blocks by item, each scanned in turn,
-    and hits are united by document.
+    The benchmark is the stated query set. It is written to the shared folder in blocks of about ``block_words``
+    words, mostly one; each scanning task reads a block and builds its automaton. Hits of several
+    blocks are united by row.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, math.ceil(total / automaton_bytes))
-    texts = docs.select(F.monotonically_increasing_id().alias("row") if blocks > 1 else F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = []
-    for k in range(blocks):
-        own = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toLocalIterator()]
-        parts.append(texts.mapInPandas(lambda it, own=own: scan(it, own, window), SCAN_SCHEMA))
+    folder, blocks = benchmark_blocks(benchmark, window, block_words)
+    keyed, a, b = with_row_key(docs)
+    return judged(keyed, a, b, folder, blocks, window).drop("row_a", "row_b")
+
+
+def judged(keyed: DataFrame, a: str, b: str, folder: str, blocks: int, window: int) -> DataFrame:
+    """``decontaminate`` for rows that ``a`` and ``b`` tell apart, with those as row_a and row_b."""
+    texts = keyed.select(F.col(a).alias("row_a"), F.col(b).alias("row_b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = [texts.mapInArrow(lambda it, k=k: scan(it, built(folder, k, window), every=k == 0), SCAN_SCHEMA) for k in range(blocks)]
     found = parts[0]
     if blocks > 1:
         for p in parts[1:]:
             found = found.unionByName(p)
-        found = (
-            found.groupBy("row", "doc_id")
-            .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        )
+        together = lambda c: F.flatten(F.collect_list(c)).alias(c)
+        found = found.groupBy("row_a", "row_b").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), together("hits"), together("spans"), F.array_distinct(together("items")).alias("items"))
     # Ranges are sorted and united, so that words hit by several blocks count once.
     hit = F.aggregate(
         F.array_sort("hits"),
@@ -132,6 +191,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, autom
         lambda acc: acc["n"],
     )
     return found.select(
+        "row_a",
+        "row_b",
         "doc_id",
         "n_words",
         hit.alias("n_hit"),
@@ -142,28 +203,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, autom
     ).withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns kept; each row is judged by its own text.
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns.
 
-    One scan judges them, but if the benchmark has over ``automaton_bytes``, rows are numbered and written first.
+    Each row is judged by its own text, whatever its doc_id, and rows without words stay. Where one
+    automaton holds the benchmark, the scan itself filters; with several, rows go by their joint verdict.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    if (items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]) > automaton_bytes:
-        numbered = written(docs.withColumn("_clean_row", F.monotonically_increasing_id()), "numbered")
-        judged = decontaminate(numbered.select(F.col("_clean_row").alias("doc_id"), "text"), benchmark, window, automaton_bytes)
-        bad = judged.filter("contaminated").select(F.col("doc_id").alias("_clean_row"))
-        return numbered.join(bad, "_clean_row", "left_anti").select(*docs.columns)
-    own = [(r["item_id"], r["text"]) for r in items.toLocalIterator()]
-
-    def clean(batches):
-        import pyarrow as pa
+    folder, blocks = benchmark_blocks(benchmark, window, block_words)
+    if blocks > 1:
+        keyed, a, b = with_row_key(docs)
+        bad = judged(keyed, a, b, folder, blocks, window).filter("contaminated").select(F.col("row_a").alias(a), F.col("row_b").alias(b))
+        return keyed.join(bad, [a, b], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = built(folder, 0, window)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            probe = pd.DataFrame({"row": 0, "doc_id": 0, "text": pd.Series(texts, dtype=object)})
-            got = next(scan(iter([probe]), own, window))
-            n_hit = [sum(h["last"] - h["first"] + 1 for h in hits) for hits in got["hits"]]
-            yield batch.filter(pa.array([not (h > 0 and 20 * h >= n) for h, n in zip(n_hit, got["n_words"], strict=True)], pa.bool_()))
+            keep = []
+            for text in batch.column("text").to_pylist():
+                n_words, hits, _ = scanned(machine, text)
+                n_hit = sum(last - first + 1 for first, last in hits)
+                keep.append(not (n_hit > 0 and 20 * n_hit >= n_words))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
 
