@@ -28,14 +28,51 @@ def union_lengths(start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def lcp_intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The longest-common-prefix intervals of at least ``least``, in one pass with a stack.
+
+    ``lcp[j]`` is what rows j - 1 and j of a suffix array share. An interval is a maximal range of rows that share
+    its value; such rows start the same substring, which no further symbol continues in all of them. Returns the
+    places j with ``lcp[j] >= least``, the interval that has each place's own value, and the first row, last row
+    and value of each interval.
+    """
+    places = np.flatnonzero(lcp >= least)
+    own: list[int] = []
+    first: list[int] = []
+    last: list[int] = []
+    value: list[int] = []
+    stack: list[int] = []  # intervals that go on, from the widest to the deepest
+    before = -2
+    for j, v in zip(places.tolist(), lcp[places].tolist(), strict=True):
+        if j != before + 1:
+            for k in stack:
+                last[k] = before
+            stack.clear()
+        left = j - 1
+        while stack and value[stack[-1]] > v:
+            k = stack.pop()
+            last[k] = j - 1
+            left = first[k]
+        if not stack or value[stack[-1]] < v:
+            stack.append(len(value))
+            first.append(left)
+            last.append(j)
+            value.append(v)
+        own.append(stack[-1])
+        before = j
+    for k in stack:
+        last[k] = before
+    return places, *(np.array(x, np.int64) for x in (own, first, last, value))
+
+
 def repetition(texts: list[list[bytes]], least: int, window: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each list of words: words in repeated ``window``-word windows; words that maximal repeats of
     ``least`` words or more cover; words of the longest repeat.
 
     One suffix array covers all the texts; word numbers are shifted by text, so that nothing matches
-    across texts. A repeat is maximal if its longest-common-prefix interval is a local one (right) and
-    its occurrences don't all follow the same word (left); the union of spans is the same as that of
-    every repeated substring of that length, so spans are laid from each suffix's longest match.
+    across texts. A repeat is maximal if it is the value of a longest-common-prefix interval (it can't grow to the
+    right) and its occurrences don't all follow the same word (nor to the left). Spans are laid for each
+    occurrence of a maximal repeat that is in no deeper interval; all other repeats lie inside of these.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     n_texts, total = len(texts), int(sizes.sum())
@@ -57,10 +94,21 @@ def repetition(texts: list[list[bytes]], least: int, window: int = 5) -> tuple[n
     lcp[1:n] = sa.common(sa.order[:-1], sa.order[1:])
     longest = np.empty(n, np.int64)
     longest[sa.order] = np.maximum(lcp[:-1], lcp[1:])
+    places, own, low, high, value = lcp_intervals(lcp, min(window, least))
+    follows = keys[sa.order - 1]
+    changes = np.append(0, np.cumsum(follows[1:] != follows[:-1]))
+    maximal = changes[high] > changes[low]
+    # A row's deepest interval is that of the larger of the two values beside it.
+    deepest = np.full(n + 1, -1, np.int64)
+    deepest[places] = own
+    rows = np.unique(np.concatenate([places - 1, places]))
+    mine = np.where(lcp[rows] >= lcp[rows + 1], deepest[rows], deepest[rows + 1])
+    good = maximal[mine]
+    start, length = sa.order[rows[good]], value[mine[good]]
     out = []
     for k in (window, least):
-        start = np.flatnonzero(longest >= k)
-        out.append(union_lengths(start, start + longest[start], n))
+        some = length >= k
+        out.append(union_lengths(start[some], (start + length)[some], n))
     first = np.append(0, ends[:-1] + 1)
     counted = [np.add.reduceat(m.astype(np.int64), first) for m in out]
     return counted[0], counted[1], np.maximum.reduceat(longest, first)
@@ -102,7 +150,8 @@ def quality_rules(docs: DataFrame, least: int = 8, max_covered: float = 0.15, ma
     A text fails if it has fewer than 10 words, if over 20 % of its words stand in five-word windows
     that occur twice, if maximal repeats of ``least`` words or more cover over ``max_covered`` of it,
     or if its longest repeat has over ``max_longest`` words. Null and empty texts have no words and so
-    fail; repeated rows give a row each; columns other than doc_id and text are left alone.
+    fail; repeated rows give a row each; a very long text has a suffix array of its own, over all of it; an empty
+    table gives no rows; columns other than doc_id and text are left alone.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +165,7 @@ def quality_rules(docs: DataFrame, least: int = 8, max_covered: float = 0.15, ma
 
 
 def keep_good(docs: DataFrame, least: int = 8, max_covered: float = 0.15, max_longest: int = 60) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns; each goes by its own text, repeated rows too."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
