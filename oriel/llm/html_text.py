@@ -27,25 +27,47 @@ PARAGRAPHS = frozenset("p pre blockquote td li dd div section article main body
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body table td th ul ol dl article main section div aside nav header footer form".split())
 #: Never left out for their names, as they hold whole pages.
-WHOLE = frozenset("html body main article".split())
+WHOLE = frozenset("html body main".split())
+#: Names for which an ``article`` is left out; other side words may tell of its layout or its tags.
+REPLY_WORDS = frozenset("comment comments commentlist disqus related replies reply respond".split())
 #: Words in class and id that mark what isn't the article.
 SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
 )
+#: Words before a side word that make it a trait of a layout: ``with-sidebar`` isn't a sidebar.
+TRAITS = frozenset("with without has no show hide open is in".split())
+#: Their names say nothing about the page: headings of the article, and code, whose parts are often called comments.
+NAMELESS = frozenset("h1 h2 h3 h4 h5 h6 pre code kbd samp".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "score", "chars", "linked", "out", "points")
+    __slots__ = ("tag", "parent", "score", "chars", "linked", "out", "points", "code")
 
     def __init__(self, tag: str, parent: "Node | None", out: bool):
         self.tag, self.parent, self.out = tag, parent, out
+        self.code = tag in NAMELESS or parent is not None and parent.code
         self.score = self.points = 0.0
         self.chars = self.linked = 0
 
 
-def marked_side(tag: str, attributes: str) -> bool:
+def side_name(tag: str, names: str) -> bool:
+    """Whether any class or id holds a side word, but for one that follows a word of ``TRAITS``."""
+    if tag in WHOLE:
+        return False
+    words = REPLY_WORDS if tag == "article" else SIDE_WORDS
+    for name in names.split():
+        before = ""
+        for part in NAME_PARTS.findall(name):
+            part = part.lower()
+            if part in words and before not in TRAITS:
+                return True
+            before = part
+    return False
+
+
+def marked_side(tag: str, attributes: str, nameless: bool = False) -> bool:
     """Whether attributes say that an element isn't part of the article."""
     if not attributes or attributes.isspace():
         return False
@@ -58,8 +80,7 @@ def marked_side(tag: str, attributes: str) -> bool:
         return False
     if found.get("role", "").lower() in SIDE_ROLES:
         return True
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    return any(p.lower() in SIDE_WORDS for p in NAME_PARTS.findall(names))
+    return not nameless and side_name(tag, f"{found.get('class', '')} {found.get('id', '')}")
 
 
 def blocks(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
@@ -146,7 +167,8 @@ def blocks(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                 if stack[k].tag in SCOPES and stack[k].tag not in ("td", "th"):
                     break
             flush()
-        node = Node(tag, stack[-1], stack[-1].out or tag in LEFT_OUT or marked_side(tag, m[3]))
+        node = Node(tag, stack[-1], stack[-1].out or tag in LEFT_OUT)
+        node.out = node.out or marked_side(tag, m[3], node.code)
         if tag in RAW:
             closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             at = closing.start() if closing else end
@@ -171,8 +193,8 @@ def main_text(html) -> str:
 
     Each paragraph gives points: one, one for each comma, and up to three for its length. They pass to
     its parent in full, to the grandparent by half, to further ancestors by less, and count less the more of
-    an ancestor's text is linked. The container of the most points is the article, or the whole
-    ``article`` or ``main`` element around it; its siblings join if they have enough points of their own.
+    an ancestor's text is linked. The container of the most points is the article, or the whole ``article`` or
+    ``main`` element around it, or one inside that holds most of it; siblings join if they have enough points of their own.
     """
     if not html:
         return ""
@@ -204,16 +226,15 @@ def main_text(html) -> str:
     best = max((n for n in nodes if not n.out and n.chars and n.tag not in ("p", "a", "li")), key=lambda n: (value(n), n.tag in ("article", "main")), default=None)
     if best is None:
         return ""
+    # The article or main element around the best container is whole; one beside or inside of it stands in for it only if it
+    # scores as much itself, or if it holds most of its text. A teaser or a short quote of another page does neither.
     articles = [n for n in nodes if n.tag in ("article", "main") and not n.out and n.chars]
     around, n = None, best
-    while n is not None:
-        if n in articles:
-            around = n
-            break
+    while n is not None and around is None:
+        around = n if n in articles else None
         n = n.parent
-    if around is None and articles:
-        inside = [a for a in articles if value(a) >= 0.2 * value(best) or a.chars >= 0.3 * best.chars or len(articles) == 1]
-        around = max(inside, key=value, default=None)
+    if around is None:
+        around = max((a for a in articles if value(a) >= 0.5 * value(best) or a.chars >= 0.5 * best.chars), key=value, default=None)
     top = around or best
     chosen = {id(top)}
     least = max(10.0, 0.2 * value(top))
@@ -237,7 +258,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text and n_chars (code points).
 
     Null and empty html give an empty text, and so does a page without any block outside of what is left
-    out. Repeated rows give a row each; other columns are left alone. Whole pages are parsed.
+    out. Repeated rows give a row each; other columns are left alone, and an empty table gives no rows. Whole
+    pages are parsed, very long ones too; containers of equal scores: an ``article`` or ``main`` first, then the first.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
