@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the lexicon and the weights are learnt from, at most: those of the lowest hashes.
 SAMPLE = 12_000
-#: Words and starts of words in the lexicon, at most.
-LEXICON = 1_000
 STEMS = range(4, 10)
+#: What makes a word or start of words a pattern: toxic rows that hold it, log odds, and log odds times the root of those rows.
+SUPPORT, ODDS, EVIDENCE = 5, 2.0, 6.0
 
 # Cue words of the four languages.
 THREATS = "kill hurt destroy beat burn shoot stab strangle töten schlagen vernichten verbrennen matar golpear destruir quemar tuer frapper détruire brûler".split()
@@ -35,58 +35,80 @@ FEATURES = 4 + 2 * len(CLASSES)
 
 
 class Transducer:
-    """A deterministic finite-state transducer over cue symbols: states, moves, and what a state tells."""
+    """A deterministic weighted finite-state transducer over cue symbols.
 
-    def __init__(self, start: str, moves: dict[tuple[str, str], str]):
-        self.start, self.moves = start, moves
+    ``arcs`` lead from (state, symbol) to (state, weight); a symbol without an arc leaves the state as it is at a weight
+    of 1. ``tells`` names what a clause is that ends in a state.
+    """
+
+    def __init__(self, start: str, arcs: dict[tuple[str, str], tuple[str, float]], tells: dict[str, str]):
+        self.start, self.arcs, self.tells = start, arcs, tells
+
+    def step(self, state: str, symbol: str) -> tuple[str, float]:
+        return self.arcs.get((state, symbol), (state, 1.0))
+
+    def told(self, state: str) -> frozenset[str]:
+        return frozenset(t for t in self.tells.get(state, "").split("+") if t)
 
     def compose(self, other: "Transducer") -> "Transducer":
-        """The machine that runs both over the same symbols; a symbol without a move leaves a state as it is."""
-        symbols = {s for _, s in self.moves} | {s for _, s in other.moves}
-        start, moves, open_, seen = f"{self.start}+{other.start}", {}, [(self.start, other.start)], set()
+        """The machine that runs both over the same symbols: weights of arcs multiply, and states tell what both tell."""
+        symbols = {s for _, s in self.arcs} | {s for _, s in other.arcs}
+        arcs, tells, open_ = {}, {}, [(self.start, other.start)]
         while open_:
             a, b = open_.pop()
-            if (a, b) in seen:
+            name = f"{a}+{b}"
+            if name in tells:
                 continue
-            seen.add((a, b))
+            tells[name] = "+".join(sorted(self.told(a) | other.told(b)))
             for s in symbols:
-                x, y = self.moves.get((a, s), a), other.moves.get((b, s), b)
-                moves[f"{a}+{b}", s] = f"{x}+{y}"
+                (x, v), (y, w) = self.step(a, s), other.step(b, s)
+                arcs[name, s] = (f"{x}+{y}", v * w)
                 open_.append((x, y))
-        return Transducer(start, moves)
+        return Transducer(f"{self.start}+{other.start}", arcs, tells)
 
-    def run(self, symbols: list[str]) -> str:
-        state = self.start
+    def run(self, symbols: tuple[str, ...]) -> tuple[frozenset[str], tuple[float, ...]]:
+        """What the end tells, and the weight of each symbol's arc."""
+        state, weights = self.start, []
         for s in symbols:
-            state = self.moves.get((state, s), state)
-        return state
+            state, w = self.step(state, s)
+            weights.append(w)
+        return self.told(state), tuple(weights)
 
 
-def grammar() -> Transducer:
-    """The composed grammar. Symbols: I insult, H threat, T target, N negation, R reported speech.
+def machines() -> list[Transducer]:
+    """The five machines of the grammar. Symbols: I insult, H threat, T target, N negation, R reported speech.
 
-    Negation and reported speech count only before the insult or threat that they bear on.
+    Weights bear on the arcs of insults and threats: more after a target, less after a negation or in reported speech.
+    A target or a report counts on either side of the insult, a negation only before it.
     """
-    insult = Transducer("clean", {("clean", "I"): "insult"})
-    threat = Transducer("calm", {("calm", "H"): "threat"})
-    target = Transducer("nobody", {("nobody", "T"): "someone"})
-    negation = Transducer("said", {("said", "N"): "denied", ("said", "I"): "stands", ("said", "H"): "stands"})
-    report = Transducer("own", {("own", "R"): "quoted", ("own", "I"): "meant", ("own", "H"): "meant"})
-    return insult.compose(threat).compose(target).compose(negation).compose(report)
+    return [
+        Transducer("clean", {("clean", "I"): ("insult", 1.0)}, {"insult": "insult"}),
+        Transducer("calm", {("calm", "H"): ("threat", 1.0)}, {"threat": "threat"}),
+        Transducer("nobody", {("nobody", "T"): ("someone", 1.0), ("someone", "I"): ("someone", 1.5), ("someone", "H"): ("someone", 2.0)}, {"someone": "targeted"}),
+        Transducer("open", {("open", "N"): ("denied", 1.0), ("open", "I"): ("stands", 1.0), ("open", "H"): ("stands", 1.0), ("denied", "I"): ("denied", 0.4), ("denied", "H"): ("denied", 0.3)}, {"denied": "negated"}),
+        Transducer("own", {("own", "R"): ("quoted", 1.0), ("quoted", "I"): ("quoted", 0.6), ("quoted", "H"): ("quoted", 0.6)}, {"quoted": "reported"}),
+    ]
 
 
-def clause_class(state: str) -> int:
+def grammar() -> Transducer:
+    """The composed grammar."""
+    out, *rest = machines()
+    for m in rest:
+        out = out.compose(m)
+    return out
+
+
+def clause_class(told: frozenset[str]) -> int:
     """Index into ``CLASSES``, or -1 for a clause that says nothing bad."""
-    parts = set(state.split("+"))
-    if not parts & {"insult", "threat"}:
+    if not told & {"insult", "threat"}:
         return -1
-    if "quoted" in parts:
+    if "reported" in told:
         return 3
-    if "denied" in parts:
+    if "negated" in told:
         return 2
-    if "threat" in parts:
-        return 5 if "someone" in parts else 4
-    return 1 if "someone" in parts else 0
+    if "threat" in told:
+        return 5 if "targeted" in told else 4
+    return 1 if "targeted" in told else 0
 
 
 class Grammar:
@@ -98,7 +120,7 @@ class Grammar:
         self.lexicon = lexicon
         self.machine, self.transducer = ahocorasick.Automaton(), grammar()
         self.symbol = {w: s for s, words in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("H", THREATS)) for w in words}
-        self.states: dict[tuple[str, ...], int] = {}
+        self.runs: dict[tuple[str, ...], tuple[int, tuple[float, ...]]] = {}
         for p in [*lexicon, *(f"{w}." for w in THREATS)]:
             # A pattern that ends in "." is a whole word, any other one the start of words.
             key = f" {p[:-1]} " if p[-1] == "." else f" {p}"
@@ -115,21 +137,26 @@ class Grammar:
         return 0.0
 
     def clause(self, text: str) -> tuple[int, float]:
-        symbols, total = [], 0.0
+        """The class of a clause and its score: weights of its insults and threats times those of their arcs.
+
+        A word can be a cue and an insult; it then stands for both, the cue first.
+        """
+        symbols, own = [], []
         for w in WORD.findall(text):
-            x = self.weight(w)
-            if x:
-                total += x
-                symbols.append("I")
-            elif s := self.symbol.get(w):
-                total += 1.0 if s == "H" else 0.0
+            if s := self.symbol.get(w):
                 symbols.append(s)
+                own.append(1.0 if s == "H" else 0.0)
+            if x := self.weight(w):
+                symbols.append("I")
+                own.append(x)
         key = tuple(symbols)
-        if (kind := self.states.get(key)) is None:
-            kind = self.states[key] = clause_class(self.transducer.run(symbols))
-            if len(self.states) > 100_000:
-                self.states.clear()
-        return kind, total
+        if (known := self.runs.get(key)) is None:
+            told, weights = self.transducer.run(key)
+            if len(self.runs) > 100_000:
+                self.runs.clear()
+            known = self.runs[key] = clause_class(told), weights
+        kind, weights = known
+        return kind, sum(x * w for x, w in zip(own, weights, strict=True)) if kind >= 0 else 0.0
 
     def features(self, text: str | None) -> np.ndarray:
         """Counts and summed weights of the clauses of each class, and how much text they stand in."""
@@ -165,14 +192,15 @@ def in_training(doc_id: str = "doc_id"):
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, toxic, text) of at most ``sample`` labelled rows outside of the held-out fifth, of the lowest hashes."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(in_training())
-    chosen = ids.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # Of several labels of one document the highest counts.
+    chosen = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
 
-def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Words and starts of words that stand in toxic rows far more often, with their log odds.
 
-    Rows are counted in tasks first.
+    Rows are counted in tasks first. All patterns with enough evidence are kept; a sample bounds their number.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +228,8 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> dict[str, float]:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (base["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (base["clean"] + 1))
     # Support first: a pattern needs enough toxic rows and a lift that chance doesn't give.
-    good = sums.filter("key <> '' AND toxic >= 5").withColumn("odds", odds).filter("odds > 2.0").withColumn("value", F.col("odds") * F.sqrt("toxic"))
-    found = {r["key"]: (r["odds"], r["toxic"]) for r in good.orderBy(F.col("value").desc(), "key").limit(4 * limit).collect()}
+    good = sums.filter(f"key <> '' AND toxic >= {SUPPORT}").withColumn("odds", odds).filter((F.col("odds") > ODDS) & (F.col("odds") * F.sqrt("toxic") > EVIDENCE))
+    found = {r["key"]: (r["odds"], r["toxic"]) for r in good.collect()}
     # From whole words to ever shorter starts: one is kept if it stands in clearly more toxic rows than any
     # kept pattern that it covers, so that no common start stands for one rare word.
     kept: dict[str, float] = {}
@@ -213,8 +241,7 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> dict[str, float]:
             for n in STEMS:
                 if n < len(key):
                     support[word[:n]] = max(support.get(word[:n], 0), found[key][1])
-    best = sorted(kept, key=lambda k: -kept[k] * math.sqrt(found[k][1]))[:limit]
-    return {k: kept[k] for k in best}
+    return kept
 
 
 def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -257,8 +284,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     Labels are learnt from rows whose crc32 of the doc_id, as text, isn't divisible by 5. Scores depend on
     the text alone: null and empty texts get the score of a text without any matched clause. Repeated
-    rows give a row each; a null doc_id isn't held out; other columns are left alone; without labels
-    all scores are 0.5.
+    rows give a row each; of several labels of one doc_id the highest counts; a null doc_id isn't held out; a very
+    long text is read clause by clause; other columns are left alone; an empty table gives no rows; without
+    labels all scores are 0.5.
     """
     lexicon, weights = train(docs, labels, sample)
 
