@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from oriel.llm.common import table, written
+from oriel.llm.common import drop_folders, folder_mark, table, written
 from oriel.llm.decontaminate import keep_clean
-from oriel.llm.mixing import mix
+from oriel.llm.mixing import mixture
 from oriel.llm.order_minhash import keep_representatives
 from oriel.llm.quality import keep_good
 from oriel.llm.tokens import token_output
@@ -34,9 +33,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A document of which the mix takes over its size in words stands twice; a source's last document
     may be taken in part and then stands whole, as the next stage works on whole texts.
     """
-    taken = mix(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("taken") > F.col("size"), 2).when(F.col("taken") > 0, 1).otherwise(0).alias("_times"))
-    times = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_times > 0")
-    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return mixture(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; each result but the last is written, and what a stage wrote on its way is then removed."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
+        mark = folder_mark()
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = written(docs, f"stage{number}")
+            drop_folders(mark, keep=1)
     return docs
