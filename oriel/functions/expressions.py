@@ -48,6 +48,27 @@ def is_zoned_timestamp(c: str | Column) -> Column:
     return F.coalesce(zoned_timestamp(c).isNotNull(), F.lit(False))
 
 
+def casefold(c: str | Column) -> Column:
+    """A text without case: lower case of its upper case, so that sharp s and ss, or both small sigmas, are one."""
+    return F.lower(F.upper(col(c)))
+
+
+def now_iso(clock: Column | None = None) -> Column:
+    """The moment in UTC as ISO text with microseconds and zone; ``clock`` stands in for the current time."""
+    at = F.current_timestamp() if clock is None else clock
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def url_part(c: str | Column, part: str) -> Column:
+    """HOST, PATH, QUERY, PROTOCOL or REF of a url; null if it can't be parsed."""
+    return F.try_parse_url(col(c), F.lit(part))
+
+
+def url_encoded(c: str | Column) -> Column:
+    """Percent encoding of a path part: spaces become %20."""
+    return F.replace(F.url_encode(col(c)), F.lit("+"), F.lit("%20"))
+
+
 def slashes(c: str | Column) -> Column:
     return F.replace(col(c), F.lit("\\"), F.lit("/"))
 

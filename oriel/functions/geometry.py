@@ -21,6 +21,11 @@ def shoelace_area(points: str | Column) -> Column:
     return F.when(n >= 3, F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2).otherwise(F.lit(0.0))
 
 
+def float_area(points: str | Column) -> Column:
+    """Area with coordinates of single precision, as image libraries measure contours."""
+    return shoelace_area(F.transform(col(points), lambda q: F.struct(q["x"].cast("float").cast("double").alias("x"), q["y"].cast("float").cast("double").alias("y"))))
+
+
 def polygon_error(points: str | Column, width: str | Column, height: str | Column) -> Column:
     """First fault of a polygon: too few points, not finite, outside (bounds count as inside), no area; else null."""
     p, w, h = col(points), col(width), col(height)
@@ -105,5 +110,6 @@ def binary_iou(truth: str | Column, prediction: str | Column) -> Column:
 def polygons_above(polygons: str | Column, scores: str | Column, threshold: float | Column) -> Column:
     """Polygons whose score reaches the threshold; an error if the arrays differ in length."""
     p, s = col(polygons), col(scores)
-    kept = F.transform(F.filter(F.arrays_zip(p.alias("p"), s.alias("s")), lambda z: z["1"] >= threshold), lambda z: z["0"])
+    both = F.zip_with(p, s, lambda a, b: F.struct(a.alias("polygon"), b.alias("score")))
+    kept = F.transform(F.filter(both, lambda z: z["score"] >= threshold), lambda z: z["polygon"])
     return F.when(F.size(p) == F.size(s), kept).otherwise(F.raise_error(F.lit("polygons and scores differ in number")))

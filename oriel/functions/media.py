@@ -13,23 +13,32 @@ def fill_polygons(polygons, width: int, height: int) -> np.ndarray:
 
     Polygons are lists of (x, y) in whole pixels; the union of all is taken.
     """
-    mask = np.zeros((height, width), np.uint8)
-    ys, xs = np.mgrid[0:height, 0:width]
+    mask = np.zeros((height, width), bool)
     for points in [] if polygons is None else polygons:
         p = np.asarray([(q["x"], q["y"]) if isinstance(q, dict) else tuple(q) for q in points], float)
         if len(p) < 3:
             continue
-        inside = np.zeros((height, width), bool)
+        # Only rows and columns that the polygon reaches are looked at, and each edge only in its own box.
+        top, bottom = max(0, int(p[:, 1].min()) - 1), min(height, int(p[:, 1].max()) + 2)
+        inside = np.zeros((max(0, bottom - top), width), bool)
+        xs = np.arange(width)
         for (x1, y1), (x2, y2) in zip(p, np.roll(p, -1, axis=0), strict=True):
+            low, high = max(top, int(np.floor(min(y1, y2))) - 1), min(bottom, int(np.ceil(max(y1, y2))) + 2)
+            if low >= high:
+                continue
+            ys = np.arange(low, high)[:, None]
             if y1 != y2:
                 crosses = (y1 > ys) != (y2 > ys)
-                inside ^= crosses & (xs < (x2 - x1) * (ys - y1) / (y2 - y1) + x1)
+                inside[low - top : high - top] ^= crosses & (xs < (x2 - x1) * (ys - y1) / (y2 - y1) + x1)
             # Pixels whose centre lies within half a pixel of the edge belong to it.
-            dx, dy = x2 - x1, y2 - y1
-            t = np.clip(((xs - x1) * dx + (ys - y1) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
-            mask[np.maximum(abs(x1 + t * dx - xs), abs(y1 + t * dy - ys)) < 0.5] = 1
-        mask[inside] = 1
-    return mask
+            first, last = max(0, int(np.floor(min(x1, x2))) - 1), min(width, int(np.ceil(max(x1, x2))) + 2)
+            if first < last:
+                near = xs[first:last]
+                dx, dy = x2 - x1, y2 - y1
+                t = np.clip(((near - x1) * dx + (ys - y1) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
+                mask[low:high, first:last] |= np.maximum(abs(x1 + t * dx - near), abs(y1 + t * dy - ys)) < 0.5
+        mask[top:bottom] |= inside
+    return mask.astype(np.uint8)
 
 
 def area_resize(pixels: np.ndarray, rows: int, columns: int) -> np.ndarray:

@@ -26,18 +26,35 @@ def band_keys(column: str, threshold: int, agree: int) -> F.Column:
     return F.array(*(F.xxhash64(F.lit(i), *(band[k] for k in c)) for i, c in enumerate(combinations(range(n), agree))))
 
 
-def near_hashes(left: DataFrame, right: DataFrame, threshold: int, agree: int = 2) -> DataFrame:
+#: Distinct hashes that share one band key, beyond which bands are made more selective, and bands that may have to agree.
+BAND_ROWS, MOST_AGREE = 512, 5
+
+
+def chosen_agree(hashes: DataFrame, threshold: int) -> int:
+    """How many bands must agree so that no key holds over ``BAND_ROWS`` distinct hashes, as far as ``MOST_AGREE``
+    allows. Every choice finds the same pairs; it only sets how many candidates are looked at."""
+    for agree in range(2, MOST_AGREE):
+        keys = hashes.select(F.explode(band_keys("hash", threshold, agree)).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+        if (keys.agg(F.max("n").alias("n")).first()["n"] or 0) <= BAND_ROWS:
+            return agree
+    return MOST_AGREE
+
+
+def near_hashes(left: DataFrame, right: DataFrame, threshold: int, agree: int | None = None) -> DataFrame:
     """Distinct pairs (a, b) of 64-bit hashes of ``left`` and ``right`` (column ``hash``) within ``threshold`` bits.
 
     Both sides are reduced to distinct hashes first, so copies never multiply. Exact: the bands
-    only choose candidates, and every pair within the threshold is one.
+    only choose candidates, and every pair within the threshold is one. Without ``agree`` the larger bands decide how
+    selective keys are; keys that stay frequent are split by the engine's skew join.
     """
-    a = left.select("hash").distinct().select(F.col("hash").alias("a"), F.explode(band_keys("hash", threshold, agree)).alias("band"))
-    b = right.select("hash").distinct().select(F.col("hash").alias("b"), F.explode(band_keys("hash", threshold, agree)).alias("band"))
+    x, y = left.select("hash").distinct(), right.select("hash").distinct()
+    agree = agree or chosen_agree(y if left is right else x.unionByName(y).distinct(), threshold)
+    a = x.select(F.col("hash").alias("a"), F.explode(band_keys("hash", threshold, agree)).alias("band"))
+    b = y.select(F.col("hash").alias("b"), F.explode(band_keys("hash", threshold, agree)).alias("band"))
     return a.join(b, "band").filter(hamming("a", "b") <= threshold).select("a", "b").distinct()
 
 
-def first_near(rows: DataFrame, threshold: int, agree: int = 2) -> DataFrame:
+def first_near(rows: DataFrame, threshold: int, agree: int | None = None) -> DataFrame:
     """For each row (idx, hash, ...) its earliest earlier row within ``threshold`` bits: adds match_idx and distance; null if none.
 
     Only the first row of each hash can be anyone's earliest match.
@@ -50,13 +67,13 @@ def first_near(rows: DataFrame, threshold: int, agree: int = 2) -> DataFrame:
     return out.withColumn("match_idx", F.when(earlier, F.col("m.first_idx"))).withColumn("distance", F.when(earlier, F.col("m.distance"))).drop("m")
 
 
-def near_any(rows: DataFrame, reference: DataFrame, threshold: int, agree: int = 2) -> DataFrame:
+def near_any(rows: DataFrame, reference: DataFrame, threshold: int, agree: int | None = None) -> DataFrame:
     """Rows within ``threshold`` bits of any hash of ``reference``."""
     close = near_hashes(rows, reference, threshold, agree).select(F.col("a").alias("hash")).distinct()
     return rows.join(close, "hash", "left_semi")
 
 
-def split_leaks(rows: DataFrame, threshold: int, mode: str = "first_match", agree: int = 2) -> DataFrame:
+def split_leaks(rows: DataFrame, threshold: int, mode: str = "first_match", agree: int | None = None) -> DataFrame:
     """Rows (idx, hash, split) near a row of another split.
 
     ``first_match`` looks only at each row's earliest earlier match; ``all_pairs`` at all earlier rows, and
@@ -80,32 +97,42 @@ def split_leaks(rows: DataFrame, threshold: int, mode: str = "first_match", agre
     )
 
 
-def greedy_keep(rows: DataFrame, threshold: int, agree: int = 2) -> DataFrame:
+def greedy_keep(rows: DataFrame, threshold: int, agree: int | None = None, limit: int | None = None) -> DataFrame:
     """Greedy retention in order of ``rank``: a row is kept unless it is within ``threshold`` bits of a kept
-    earlier one. Adds ``kept``.
+    earlier one. Adds ``kept``. With ``limit``, rows after the ``limit``-th kept one aren't looked at: ``kept`` is null.
 
     Equal hashes stand for their first row. In rounds, hashes all of whose earlier near ones are dropped
-    are kept, and those near a kept earlier one are dropped; undecided ones go to the next round. Rounds
-    are as many as the longest chain of near hashes, and each only shuffles what is undecided.
+    are kept, and those near a kept earlier one are dropped; undecided ones go to the next round. A round decides two
+    links of a chain of near hashes before it writes what is open, and only shuffles what is undecided.
     """
     firsts = written(rows.groupBy("hash").agg(F.min("rank").alias("rank")), "firsts")
     pairs = near_hashes(firsts, firsts, threshold, agree).filter("a <> b")
     f = firsts.select(F.col("hash").alias("a"), F.col("rank").alias("ra"))
     g = firsts.select(F.col("hash").alias("b"), F.col("rank").alias("rb"))
-    edges = written(pairs.join(f, "a").join(g, "b").filter("rb < ra").select("a", "b"), "edges")  # b comes before a
-    dropped = None
-    open_ = edges
-    while not open_.isEmpty():
-        waiting = open_.select("a").distinct()
-        keepers = open_.select(F.col("b").alias("a")).join(waiting, "a", "left_anti").distinct()
-        lost = open_.join(keepers.withColumnRenamed("a", "b"), "b", "left_semi").select("a").distinct()
-        lost = written(lost, "lost")
+    # b comes before a; ``lost`` edges hold their later hash's fate, open ones have none.
+    edges = written(pairs.join(f, "a").join(g, "b").filter("rb < ra").select("a", "b", F.lit(False).alias("lost")), "edges")
+
+    def decided(state: DataFrame) -> DataFrame:
+        open_ = state.filter("NOT lost")
+        waiting = open_.select(F.col("a").alias("b")).distinct()
+        hit = open_.join(waiting, "b", "left_anti").select("a").distinct()  # near a hash that nothing earlier can drop
+        gone = hit.select(F.col("a").alias("b"))
+        left = open_.join(hit, "a", "left_anti").join(gone, "b", "left_anti")
+        return left.unionByName(hit.select("a", F.lit(None).cast("long").alias("b"), F.lit(True).alias("lost")))
+
+    state, dropped = edges, None
+    while not state.filter("NOT lost").isEmpty():
+        once = decided(state)
+        twice = decided(once)
+        state = written(twice.unionByName(once.filter("lost")), "open")
+        lost = state.filter("lost").select("a")
         dropped = lost if dropped is None else dropped.unionByName(lost)
-        gone = lost.withColumnRenamed("a", "b")
-        # An edge ends when its later hash is dropped, or when its earlier one is.
-        open_ = written(open_.join(lost, "a", "left_anti").join(gone, "b", "left_anti"), "open")
     out = rows.join(firsts.withColumnRenamed("rank", "first_rank"), "hash").withColumn("kept", F.col("rank") == F.col("first_rank"))
-    if dropped is None:
-        return out.drop("first_rank")
-    out = out.join(dropped.select(F.col("a").alias("hash"), F.lit(True).alias("_lost")), "hash", "left")
-    return out.withColumn("kept", F.col("kept") & F.col("_lost").isNull()).drop("first_rank", "_lost")
+    if dropped is not None:
+        out = out.join(dropped.select(F.col("a").alias("hash"), F.lit(True).alias("_lost")), "hash", "left").withColumn("kept", F.col("kept") & F.col("_lost").isNull()).drop("_lost")
+    out = out.drop("first_rank")
+    if limit is None:
+        return out
+    out = written(out, "greedy")
+    end = out.filter("kept").orderBy("rank").limit(limit).agg(F.max("rank").alias("_end"), F.count(F.lit(1)).alias("_n"))
+    return out.join(F.broadcast(end), how="inner").withColumn("kept", F.when((F.col("_n") < limit) | (F.col("rank") <= F.col("_end")), F.col("kept"))).drop("_end", "_n")

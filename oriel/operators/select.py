@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oriel.functions.expressions import col
 from oriel.functions.hashing import seeded_key
@@ -32,8 +33,9 @@ def budget_select(rows: DataFrame, order: str, size: str, budget: int, most: int
     """Rows taken greedily in the order of ``order``: one is skipped if it would exceed ``budget``, and at most ``most`` are taken.
 
     As the rest of the budget only shrinks, a row larger than it never fits later. So each step asks
-    for the next rows that still fit, at most as many as may be taken, and walks them until one
-    doesn't fit. Every step but the last takes a row or more; none moves over ``most`` rows.
+    for the next rows that still fit, at most as many as may be taken, and walks all of them, passing over those that
+    no longer fit; rows that weren't asked for wouldn't fit either. Each step takes its first row at least and mostly as
+    many as the budget holds, so steps are few; none moves over ``most`` rows.
     """
     checked_range("most", most, 1, 100_000)
     taken: list = []
@@ -42,17 +44,17 @@ def budget_select(rows: DataFrame, order: str, size: str, budget: int, most: int
         fits = rows.filter(F.col(size) <= left)
         if last is not None:
             fits = fits.filter(F.col(order) > last)
-        step = fits.select(order, size).orderBy(order).limit(most - len(taken)).collect()
-        if not step:
-            break
+        asked = most - len(taken)
+        step = fits.select(order, size).orderBy(order).limit(asked).collect()
         for r in step:
-            last = r[order]
-            if r[size] > left:
-                break
-            left -= r[size]
-            taken.append(r[order])
-    spark = rows.sparkSession
-    chosen = spark.createDataFrame([(k, i + 1) for i, k in enumerate(taken)], f"{order} string, take int")
+            if r[size] <= left:
+                left -= r[size]
+                taken.append(r[order])
+        if len(step) < asked:
+            break
+        last = step[-1][order]
+    schema = T.StructType([T.StructField(order, rows.schema[order].dataType), T.StructField("take", T.IntegerType())])
+    chosen = rows.sparkSession.createDataFrame([(k, i + 1) for i, k in enumerate(taken)], schema)
     return rows.join(F.broadcast(chosen), order)
 
 

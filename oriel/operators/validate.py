@@ -27,6 +27,66 @@ def missing_fields(fields: list[str]) -> Column:
     return all_errors([(f, is_blank(f)) for f in fields])
 
 
+def allowed(lists: dict[str, list[str]]) -> Column:
+    """Whether each column holds one of its listed values; null is none of them."""
+    out = F.lit(True)
+    for c, values in lists.items():
+        out = out & F.coalesce(F.col(c).isin(*values), F.lit(False))
+    return out
+
+
+def pinned(rows: DataFrame, pins: DataFrame, key: str, size: str, digest: str) -> DataFrame:
+    """``rows`` with ``pin``: ``missing`` without a pin, ``size`` or ``hash`` where it differs, else ``ok``. Pins have the
+    same columns, one row for each key; a cached file is used only if its pin is ``ok``."""
+    p = pins.select(key, F.col(size).alias("_size"), F.col(digest).alias("_digest"))
+    rules = [("missing", F.col("_size").isNull()), ("size", F.col("_size") != F.col(size)), ("hash", F.lower("_digest") != F.lower(digest))]
+    return rows.join(p, key, "left").withColumn("pin", F.coalesce(first_error(rules), F.lit("ok"))).drop("_size", "_digest")
+
+
+def labels_equal(actual: str | Column, expected: str | Column) -> Column:
+    """Whether two maps of class ids to names are the same, whatever the type of the ids and their order."""
+    plain = lambda c: F.array_sort(F.transform(F.map_entries(col(c)), lambda e: F.struct(e["key"].cast("int").alias("class_id"), e["value"].cast("string").alias("label"))))
+    return F.coalesce(plain(actual) == plain(expected), F.lit(False))
+
+
+# What a candidate bundle holds, and what its training configuration must say.
+BUNDLE_FILES = "best.pt metrics.json training_config.json environment.txt sha256.txt MODEL_CARD.md".split()
+POSITIVE_SETTINGS = "seed imgsz epochs".split()
+
+
+def bundle_errors(required: list[str] = BUNDLE_FILES, version: str | None = None) -> list[Rule]:
+    """Rules on one row per bundle: ``files`` (map of names to sizes), ``checksum_line``, ``sha256``, ``metrics`` (map),
+    ``config`` (map of strings), ``task`` and ``labels_ok``."""
+    sizes = F.array(*(F.coalesce(F.col("files")[n], F.lit(-1).cast("long")) for n in required))
+    parts = F.split(F.trim(F.col("checksum_line")), r"\s+")
+    rules = [
+        ("missing_file", F.exists(sizes, lambda x: x < 0)),
+        ("empty_file", F.exists(sizes, lambda x: x == 0)),
+        ("checksum_line", ~F.coalesce((F.size(parts) == 2) & (F.get(parts, F.lit(1)) == "best.pt"), F.lit(False))),
+        ("checksum", ~F.coalesce(F.lower(F.get(parts, F.lit(0))) == F.col("sha256"), F.lit(False))),
+        ("no_metrics", F.coalesce(F.size("metrics"), F.lit(0)) <= 0),
+        ("dataset_version", is_blank(F.col("config")["dataset_version"])),
+        *((f"bad_{k}", ~F.coalesce(F.col("config")[k].rlike("^[0-9]+$") & (F.col("config")[k].try_cast("long") > 0), F.lit(False))) for k in POSITIVE_SETTINGS),
+        ("task", ~F.coalesce(F.col("task") == "segment", F.lit(False))),
+        ("labels", ~F.coalesce("labels_ok", F.lit(False))),
+    ]
+    if version:
+        rules.append(("version", ~F.coalesce(F.col("config")["version"] == version, F.lit(False))))
+    return rules
+
+
+def config_errors(checkpoint_name: str, folder: str) -> list[Rule]:
+    """Rules on a run's configuration: ``dataset_version``, ``checkpoint``, ``run_name`` and ``run_exists``."""
+    parts = F.split(F.replace(F.col("checkpoint"), F.lit("\\"), F.lit("/")), "/")
+    return [
+        ("dataset_version", is_blank("dataset_version")),
+        ("checkpoint_name", ~F.coalesce(F.element_at(parts, -1) == checkpoint_name, F.lit(False))),
+        ("checkpoint_folder", ~F.coalesce(F.exists(parts, lambda p: F.lower(p) == folder), F.lit(False))),
+        ("run_name", is_blank("run_name")),
+        ("run_exists", F.coalesce("run_exists", F.lit(True))),
+    ]
+
+
 def waterfall(df: DataFrame, rules: list[Rule], column: str = "reject_reason") -> DataFrame:
     """``df`` with the first reason to reject each row, or null."""
     return df.withColumn(column, first_error(rules))
@@ -100,8 +160,10 @@ def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
 
 def require_unique(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, as an error on evaluation; else no rows."""
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return repeated.withColumn("ok", F.raise_error(F.concat(F.lit("duplicate key: "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))).cast("boolean")).filter("ok")
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # The error hangs on the count, so that it can't be raised for a key before its rows are counted.
+    fault = F.concat(F.lit("duplicate key: "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)), F.lit(" x "), F.col("n").cast("string"))
+    return counted.filter(F.when(F.col("n") > 1, F.raise_error(fault).cast("boolean")).otherwise(F.lit(False)))
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:

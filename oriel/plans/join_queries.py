@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from oriel.functions.hashing import assigned_split, content_hash, difference_hash, hash_bucket, text_grid
+from oriel.functions.hashing import assigned_split, content_hash, hash_bucket, text_difference_hash
 from oriel.operators import dedup as D
 from oriel.operators import metrics as M
 from oriel.operators import pairing as P
@@ -13,6 +13,7 @@ from oriel.operators import select as S
 from oriel.operators import validate as V
 from oriel.plans.metric_queries import bucket_sql
 from oriel.plans.registry import query, table
+from oriel.plans.tables import written
 
 NEAR = 5
 _SPLIT = f"CASE WHEN b < 70 THEN 'train' WHEN b < 85 THEN 'validation' ELSE 'test' END"
@@ -26,11 +27,12 @@ def strict_one_to_one(spark, sf_dir):
     return P.strict_one_to_one(c, o, "custkey")
 
 
-@query("""SELECT coalesce(a.k, b.k) AS custkey, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'extra' END AS side FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 10 > 0) AS a
-FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) AS b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+@query("""SELECT coalesce(a.k, b.k) AS key, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'extra' END AS side FROM (SELECT DISTINCT s_suppkey AS k FROM supplier) AS a
+FULL JOIN (SELECT DISTINCT n_nationkey AS k FROM nation) AS b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
 def set_reconcile(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 10 > 0").select(F.col("c_custkey").alias("custkey"))
-    return P.reconcile(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey")), "custkey")
+    """Numbers of suppliers against those of nations, which start at 0 and end earlier."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
+    return P.reconcile(s, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key")), "key")
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN 'human_reviewed' WHEN quality = 0 THEN 'provisional' END, 'unreviewed') AS review_status FROM documents LEFT JOIN labels USING (doc_id)")
@@ -61,10 +63,10 @@ def exact_dup_groups(spark, sf_dir):
     return D.exact_groups(table(spark, sf_dir, "documents").select("doc_id", content_hash("text").alias("sha256")), "sha256", "doc_id")
 
 
-@query("SELECT k AS custkey, count(*) AS occurrences FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey FROM supplier UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY k HAVING count(*) > 1")
+@query("SELECT k AS custkey, count(*) AS occurrences FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier UNION ALL SELECT o_custkey FROM orders) GROUP BY k HAVING count(*) > 1")
 def merge_conflicts(spark, sf_dir):
-    c, s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("custkey"))
-    return P.merge_conflicts([c.filter("custkey % 2 = 0"), s, c.filter("custkey % 3 = 0")], "custkey")
+    keys = [table(spark, sf_dir, t).select(F.col(c).alias("custkey")) for t, c in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("orders", "o_custkey"))]
+    return P.merge_conflicts(keys, "custkey")
 
 
 @query("""SELECT k AS pair_key, u AS "user", a AS assistant, nu AS n_user, na AS n_assistant, CASE WHEN greatest(nu, na) > 1 THEN 'duplicate' WHEN least(nu, na) = 0 THEN 'unpaired' ELSE 'paired' END AS status
@@ -74,16 +76,17 @@ def role_pairing(spark, sf_dir):
     return P.paired_roles(c, "pair_key", "role", "text", ["user", "assistant"])
 
 
-#: Documents as tiny images: 72 evenly spaced characters, and the 64-bit difference hash of them.
-_PIXELS = "list_transform(range(72), lambda j: CAST(unicode(substr(text, CAST(1 + floor(j * length(text) / 72) AS bigint), 1)) AS bigint))"
-_BITS = " + ".join(f"CASE WHEN p[{r * 9 + c + 2}] > p[{r * 9 + c + 1}] THEN {1 << (63 - (r * 8 + c))}::hugeint ELSE 0 END" for r in range(8) for c in range(8))
-_HASHED = f"(SELECT doc_id AS idx, lang, source, CAST({_BITS} AS ubigint) AS h, {_SPLIT} AS split FROM (SELECT doc_id, lang, source, {_PIXELS} AS p, {bucket_sql(1, 'CAST(doc_id AS varchar)')} AS b FROM documents WHERE length(text) > 0))"
+#: Documents as tiny images: mean code points of 72 equal parts of the whole text, and the 64-bit difference hash of them.
+_CELLS = "list_transform(range(72), lambda j: {'s': CAST(coalesce(list_sum(c[(j * n) // 72 + 1 : ((j + 1) * n) // 72]), 0) AS hugeint), 'k': greatest(((j + 1) * n) // 72 - (j * n) // 72, 1)})"
+_BITS = " + ".join(f"CASE WHEN p[{k + 2}].s * p[{k + 1}].k > p[{k + 1}].s * p[{k + 2}].k THEN {1 << (63 - (r * 8 + x))}::hugeint ELSE 0 END" for r in range(8) for x in range(8) for k in [r * 9 + x])
+_CODES = "(SELECT doc_id, lang, source, list_transform(string_split(text, ''), lambda x: unicode(x)) AS c FROM documents WHERE length(text) > 0)"
+_HASHED = f"(SELECT doc_id AS idx, lang, source, CAST({_BITS} AS ubigint) AS h, {_SPLIT} AS split FROM (SELECT doc_id, lang, source, {_CELLS} AS p, {bucket_sql(1, 'CAST(doc_id AS varchar)')} AS b FROM (SELECT *, len(c) AS n FROM {_CODES})))"
 
 
 def hashed(spark, sf_dir):
-    """(idx, lang, source, hash, split): every document with its difference hash and a split by its id."""
+    """(idx, lang, source, hash, split): every document with its difference hash and a split by its id; hashes are made once."""
     d = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
-    return d.select(F.col("doc_id").alias("idx"), "lang", "source", difference_hash(text_grid("text")).alias("hash"), assigned_split(1, "doc_id").alias("split"))
+    return written(d.select(F.col("doc_id").alias("idx"), "lang", "source", text_difference_hash("text").alias("hash"), assigned_split(1, "doc_id").alias("split")), "hashed")
 
 
 @query(f"""WITH d AS MATERIALIZED {_HASHED}, m AS (SELECT a.idx, min(b.idx) AS match_idx FROM d AS a JOIN d AS b ON b.idx < a.idx AND bit_count(xor(a.h, b.h)) <= {NEAR} GROUP BY a.idx)
@@ -172,6 +175,14 @@ def greedy_dedup(spark, sf_dir):
     return D.greedy_keep(hashed(spark, sf_dir).select("idx", "hash", F.col("idx").alias("rank")), NEAR).select("idx", "kept")
 
 
+@query(f"""WITH RECURSIVE d AS MATERIALIZED (SELECT idx, h, row_number() OVER (ORDER BY idx) AS rank FROM {_HASHED}), e AS MATERIALIZED (SELECT a.rank AS a, list(b.rank) AS before FROM d AS a JOIN d AS b ON b.rank < a.rank AND bit_count(xor(a.h, b.h)) <= {NEAR} GROUP BY a.rank),
+w AS (SELECT 0::bigint AS rank, CAST([] AS bigint[]) AS lost UNION ALL SELECT w.rank + 1, CASE WHEN e.a IS NOT NULL AND len(list_filter(e.before, lambda x: NOT list_contains(w.lost, x))) > 0 THEN list_append(w.lost, w.rank + 1) ELSE w.lost END FROM w LEFT JOIN e ON e.a = w.rank + 1 WHERE w.rank < (SELECT max(rank) FROM d)),
+f AS (SELECT lost FROM w ORDER BY rank DESC LIMIT 1), k AS (SELECT d.idx, sum(CASE WHEN list_contains(f.lost, d.rank) THEN 0 ELSE 1 END) OVER (ORDER BY d.rank) AS n, NOT list_contains(f.lost, d.rank) AS kept FROM d, f) SELECT idx FROM k WHERE kept AND n <= 100""")
+def greedy_retain_limit(spark, sf_dir):
+    """The limit is the operator's own: retention stops at that many rows."""
+    return D.greedy_keep(hashed(spark, sf_dir).select("idx", "hash", F.col("idx").alias("rank")), NEAR, limit=100).filter("kept").select("idx")
+
+
 @query("SELECT s.lang, m.n AS rows FROM (SELECT DISTINCT lang FROM documents) AS s JOIN (SELECT lang, count(*) AS n FROM documents SEMI JOIN labels USING (doc_id) GROUP BY lang) AS m USING (lang)")
 def labelled_semi(spark, sf_dir):
     return M.value_counts(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), "lang")

@@ -135,9 +135,9 @@ def size_totals(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum("n_chars").alias("total_chars"), F.sum(F.octet_length("text").cast("long")).alias("total_bytes"), F.max("n_chars").alias("largest"))
 
 
-@query("""SELECT vec_id, CAST(n AS integer) AS pixels, n / 16.0 AS coverage, n > 0 AS present FROM (SELECT vec_id, len(list_filter(range(1, 17), lambda k: embedding[k] > 0.1 OR embedding[k + 16] > 0.1 OR embedding[k + 32] > 0.1)) AS n FROM embeddings)""")
+@query("""SELECT vec_id, CAST(n AS integer) AS pixels, n / 16.0 AS coverage, n > 0 AS present FROM (SELECT vec_id, len(list_filter(range(1, 17), lambda k: embedding[k] > 0.1 OR embedding[k + 16] > 0.1 OR embedding[k + 32] > 0.1 OR embedding[k + 48] > 0.1)) AS n FROM embeddings)""")
 def mask_coverage(spark, sf_dir):
-    masks = F.array(*(F.slice("embedding", 1 + 16 * k, 16) for k in range(3)))
+    masks = F.array(*(F.slice("embedding", 1 + 16 * k, 16) for k in range(4)))
     e = table(spark, sf_dir, "embeddings").select("vec_id", G.union_mask(masks, 16, 0.1).alias("mask"))
     return e.select("vec_id", F.size(F.filter("mask", lambda v: v != 0)).alias("pixels"), G.coverage("mask").alias("coverage"), G.is_present("mask").alias("present"))
 

@@ -57,9 +57,53 @@ def rolling_p95(spark, sf_dir):
     return S.rolling_p95(frames(spark, sf_dir), 20, (20.0, 50.0)).select("frame_id", "p95", "profile")
 
 
-@query(f"SELECT frame_id, stream, value FROM (SELECT *, lag(value) OVER {_W} AS v FROM {_E}) WHERE value = v")
+@query(f"SELECT frame_id, stream FROM (SELECT *, lag(t) OVER {_W} AS u, lag(h) OVER {_W} AS g FROM (SELECT *, md5(status || (CAST(value AS bigint) // 20)) AS h FROM {_E})) WHERE h = g OR t = u")
 def frozen_frames(spark, sf_dir):
-    return S.frozen(frames(spark, sf_dir)).select("frame_id", "stream", "value")
+    """Frames whose content hash or time is that of the one before."""
+    f = frames(spark, sf_dir).withColumn("content", F.md5(F.concat("status", F.floor(F.rint("value") / 20).cast("string"))))
+    return S.frozen(f, ("content", "captured_at")).select("frame_id", "stream")
+
+
+@query("SELECT vec_id, CASE WHEN len(v) > 0 THEN (v[(len(v) + 1) // 2] + v[len(v) // 2 + 1]) / 2 END AS depth FROM (SELECT vec_id, list_sort(list_filter(list_transform(embedding, lambda x: CAST(x AS double)), lambda x: x > 0)) AS v FROM embeddings)")
+def area_depth(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return e.select("vec_id", S.area_depth("v").alias("depth"))
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT stream, frame_id, epoch_us(t) AS t FROM {_E}), a AS (SELECT stream, min(t) AS t FROM e GROUP BY stream
+UNION ALL SELECT a.stream, min(e.t) FROM a JOIN e ON e.stream = a.stream AND e.t >= a.t + 43200000000 GROUP BY a.stream)
+SELECT frame_id, NOT EXISTS (SELECT 1 FROM a WHERE a.stream = e.stream AND a.t = e.t) AS dropped FROM e""")
+def busy_drops(spark, sf_dir):
+    """Frames that come while the last accepted one is still processed, which takes twelve hours here."""
+    return S.accepted_when_free(frames(spark, sf_dir), 43_200_000).select("frame_id", "dropped")
+
+
+_KIND = "CASE status WHEN 'error' THEN 'drop' WHEN 'purchase' THEN 'obstacle' WHEN 'view' THEN 'lost_path' WHEN 'signup' THEN 'direction' ELSE 'object' END"
+
+
+@query(f"""SELECT frame_id, kind, priority, priority <= 2 AS cancels FROM (SELECT *, row_number() OVER (PARTITION BY stream, t ORDER BY priority, frame_id) AS first FROM (SELECT *, (epoch_us(t) - epoch_us(lag(t) OVER (PARTITION BY stream, tracked, kind ORDER BY t, frame_id))) / 1000.0 AS since FROM
+(SELECT stream, frame_id, t, kind, CAST(floor(value) AS bigint) % 3 AS tracked, CAST(list_position(['drop', 'obstacle', 'lost_path', 'direction', 'object'], kind) AS integer) AS priority FROM (SELECT *, {_KIND} AS kind FROM {_E}))) WHERE priority <= 2 OR since IS NULL OR since > 86400000) WHERE first = 1""")
+def priority_feedback(spark, sf_dir):
+    s = F.col("status")
+    kind = F.when(s == "error", "drop").when(s == "purchase", "obstacle").when(s == "view", "lost_path").when(s == "signup", "direction").otherwise("object")
+    f = frames(spark, sf_dir).withColumn("kind", kind).withColumn("tracked", F.floor("value") % 3)
+    return S.announced(f, "kind", "tracked", 86_400_000).select("frame_id", "kind", "priority", "cancels")
+
+
+_HOUR = 3_600_000_000
+
+
+@query(f"""WITH f AS (SELECT *, epoch_us(t) AS u, status IN ('view', 'click') AS seen, status = 'error' AND value > 60 AS hazard, status = 'error' AND value < 5 AS failed, value > 80 AS slow, status = 'purchase' AND value < 10 AS stop FROM {_E}),
+g AS (SELECT *, u - lag(u) OVER {_W} AS gap, max(hazard) OVER {_W3} AS held, row_number() OVER {_W} AS n, min(seen) OVER {_W3} AND count(*) OVER {_W3} = 3 AS steady FROM f),
+h AS (SELECT *, u - max(CASE WHEN steady THEN u END) OVER (PARTITION BY stream ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) AS age FROM g)
+SELECT frame_id, CASE WHEN stop THEN 'stopped' WHEN failed OR coalesce(gap > {40 * _HOUR}, false) THEN 'systemFailure' WHEN held THEN 'hazardStop' WHEN age <= {20 * _HOUR} THEN 'tactileGuidance' WHEN seen THEN 'tactileCandidate'
+WHEN age <= {60 * _HOUR} THEN 'uncertain' WHEN age <= {80 * _HOUR} THEN 'lostPath' WHEN n < 3 THEN 'initializing' WHEN slow THEN 'degraded' ELSE 'objectOnly' END AS state FROM h""")
+def machine_states(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    s, v = F.col("status"), F.col("value")
+    f = f.withColumns({"seen": s.isin("view", "click"), "hazard": (s == "error") & (v > 60), "failed": (s == "error") & (v < 5), "slow": v > 80, "stop": (s == "purchase") & (v < 10)})
+    h = 3_600_000
+    return S.machine_states(f, "seen", "hazard", "failed", "slow", "stop", hold_ms=20 * h, lost_ms=60 * h, told_ms=20 * h, watchdog_ms=40 * h).select("frame_id", "state")
 
 
 @query(f"SELECT frame_id, avg(value) OVER w AS smooth_value, median(value) OVER w AS median_value FROM {_E} WINDOW w AS (PARTITION BY stream ORDER BY t, frame_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
@@ -82,11 +126,13 @@ def state_transitions(spark, sf_dir):
     return S.transitions(frames(spark, sf_dir))
 
 
-@query(f"""WITH x AS (SELECT stream, frame_id, before, status FROM (SELECT *, lag(status) OVER {_W} AS before FROM {_E}) WHERE before <> status)
-SELECT frame_id, 'missing' AS fault FROM x WHERE status = 'purchase'""")
+@query(f"""WITH x AS (SELECT frame_id, status <> lag(status) OVER {_W} AS a, status <> lag(status) OVER (PARTITION BY stream ORDER BY date_trunc('day', t), frame_id DESC) AS e FROM {_E})
+SELECT frame_id, CASE WHEN a THEN 'unexpected' ELSE 'missing' END AS fault FROM x WHERE coalesce(a, false) <> coalesce(e, false)""")
 def replay_faults(spark, sf_dir):
-    t = S.transitions(frames(spark, sf_dir))
-    return S.replayed(t.filter("to_status <> 'purchase'"), t, ["frame_id"])
+    """Changes of status in order of time, against a log whose days were written backwards."""
+    f = frames(spark, sf_dir)
+    backwards = f.withColumns({"captured_at": F.date_trunc("day", "captured_at"), "frame_id": -F.col("frame_id")})
+    return S.replayed(S.transitions(f), S.transitions(backwards).withColumn("frame_id", -F.col("frame_id")), ["frame_id"])
 
 
 @query(f"SELECT frame_id, status FROM (SELECT *, row_number() OVER {_W} AS n FROM {_E}) WHERE n > 5")

@@ -19,7 +19,7 @@ def required_fields(spark, sf_dir):
 
 @query("SELECT lang, source IN ('src1', 'src2', 'src3') AND lang IN ('en', 'fr') AS allowed, count(*) AS rows FROM documents GROUP BY 1, 2")
 def allow_list_filter(spark, sf_dir):
-    ok = F.col("source").isin("src1", "src2", "src3") & F.col("lang").isin("en", "fr")
+    ok = V.allowed({"source": ["src1", "src2", "src3"], "lang": ["en", "fr"]})
     return table(spark, sf_dir, "documents").groupBy("lang", ok.alias("allowed")).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -90,12 +90,15 @@ def manifest_gate(spark, sf_dir):
     return V.manifest_gate(manifest_summary(spark, sf_dir))
 
 
-@query("""SELECT vec_id, list_filter([CASE WHEN NOT list_bool_and(list_transform(m, lambda v: v IN (0, 255))) THEN 'values' END, CASE WHEN positive AND NOT list_bool_or(list_transform(m, lambda v: v <> 0)) THEN 'positive_empty' END, CASE WHEN NOT positive AND list_bool_or(list_transform(m, lambda v: v <> 0)) THEN 'negative_filled' END], lambda x: x IS NOT NULL) AS errors
-FROM (SELECT vec_id, label % 2 = 0 AS positive, list_transform(embedding[1:8], lambda v: CASE WHEN v > 0.2 THEN 255 WHEN v < -0.35 THEN 1 ELSE 0 END) AS m FROM embeddings)""")
+@query("""SELECT vec_id, list_filter([CASE WHEN len(m) <> 64 THEN 'size' END, CASE WHEN NOT list_bool_and(list_transform(m, lambda v: v IN (0, 255))) THEN 'values' END, CASE WHEN positive AND NOT list_bool_or(list_transform(m, lambda v: v <> 0)) THEN 'positive_empty' END, CASE WHEN NOT positive AND list_bool_or(list_transform(m, lambda v: v <> 0)) THEN 'negative_filled' END], lambda x: x IS NOT NULL) AS errors
+FROM (SELECT vec_id, label % 2 = 0 AS positive, list_transform(list_filter(embedding, lambda v: v < 0.3 OR label <> 3), lambda v: CASE WHEN v > 0.3 THEN 255 WHEN v < -0.38 THEN 1 ELSE 0 END) AS m FROM embeddings)""")
 def mask_rules(spark, sf_dir):
-    mask = F.transform(F.slice("embedding", 1, 8), lambda v: F.when(v > 0.2, 255).when(v < -0.35, 1).otherwise(0))
+    """Whole vectors as masks of 8 by 8; vectors of one label lose large values, and so have the wrong size."""
+    whole = F.filter("embedding", lambda v: (v < F.lit(0.3)) | (F.col("label") != 3))
+    mask = F.transform(whole, lambda v: F.when(v > F.lit(0.3), 255).when(v < F.lit(-0.38), 1).otherwise(0))
     e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2 == 0).alias("positive"), mask.alias("m"))
     rules = [
+        ("size", F.size("m") != 64),
         ("values", F.size(F.array_except("m", F.array(F.lit(0), F.lit(255)))) > 0),
         ("positive_empty", F.col("positive") & ~G.is_present("m")),
         ("negative_filled", ~F.col("positive") & G.is_present("m")),
@@ -132,16 +135,16 @@ def review_state(spark, sf_dir):
 
 
 @query("""SELECT p_brand, list_sort(list_filter(['ECONOMY', 'STANDARD', 'PROMO', 'SMALL', 'MEDIUM', 'LARGE'], lambda x: NOT list_contains(have, x))) AS missing, empty_sizes FROM (SELECT p_brand, list(DISTINCT p_type) AS have, count(*) FILTER (p_size <= 2) AS empty_sizes FROM part GROUP BY p_brand)""")
-def bundle_contract(spark, sf_dir):
+def required_set(spark, sf_dir):
     required = F.array(*(F.lit(x) for x in ("ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE")))
     p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set("p_type").alias("have"), F.count_if(F.col("p_size") <= 2).alias("empty_sizes"))
     return p.select("p_brand", F.array_sort(F.array_except(required, "have")).alias("missing"), "empty_sizes")
 
 
-@query("""SELECT doc_id, CASE WHEN p.n_bytes IS NULL THEN 'missing' WHEN p.n_bytes <> octet_length(encode(d.text)) THEN 'size' WHEN p.h <> sha256(d.text) THEN 'hash' ELSE 'ok' END AS pin FROM documents AS d LEFT JOIN
-(SELECT doc_id AS pid, CASE WHEN doc_id % 5 = 0 THEN octet_length(encode(text)) + 1 ELSE octet_length(encode(text)) END AS n_bytes, CASE WHEN doc_id % 7 = 0 THEN sha256(text || ' ') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 3 > 0) AS p ON d.doc_id = p.pid""")
+@query("""SELECT doc_id, CASE WHEN quality IS NULL THEN 'missing' WHEN toxic = 1 THEN 'size' WHEN quality = 0 THEN 'hash' ELSE 'ok' END AS pin FROM documents LEFT JOIN labels USING (doc_id)""")
 def artifact_pin(spark, sf_dir):
+    """Labelled documents have pins: of a wrong size if toxic, of a wrong hash if their quality is bad."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("hash"), F.sha2(F.concat("text", F.lit(" ")), 256).alias("other"))
-    pins = d.filter("doc_id % 3 > 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("n_bytes"), F.when(F.col("doc_id") % 7 == 0, F.col("other")).otherwise(F.col("hash")).alias("h"))
-    rules = [("missing", F.col("n_bytes").isNull()), ("size", F.col("n_bytes") != F.col("size")), ("hash", F.col("h") != F.col("hash"))]
-    return d.join(pins, "doc_id", "left").select("doc_id", F.coalesce(V.first_error(rules), F.lit("ok")).alias("pin"))
+    p = d.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    pins = p.select("doc_id", (F.col("size") + F.col("toxic")).alias("size"), F.upper(F.when(F.col("quality") == 0, F.col("other")).otherwise(F.col("hash"))).alias("hash"))
+    return V.pinned(d.drop("other"), pins, "doc_id", "size", "hash").select("doc_id", "pin")

@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 INTAKE_COLUMNS = "source_path session_id location_id location_type source_name usage_permission device_model camera_position lighting motion surface dataset_task notes".split()
 REVIEW_COLUMNS = "sample_id source_sha256 annotation_sha256 review_status reviewer reviewed_at notes".split()
 TRUTH_COLUMNS = (
-    "sample_id source_path source_sha256 prediction_status tactile_present ground_truth_mask ground_truth_mask_sha256 review_status reviewer reviewed_at annotation_origin batch_id context combined_status notes".split()
+    "sample_id source_path source_sha256 dataset_role prediction_tactile_present prediction_mask_coverage ground_truth_tactile_present ground_truth_mask_path ground_truth_mask_sha256 annotation_origin annotation_id review_status reviewer reviewed_at notes".split()
 )
 #: Columns that older ground-truth manifests have.
-TRUTH_LEGACY = "sample_id source_path source_sha256 tactile_present ground_truth_mask review_status reviewer reviewed_at notes".split()
+TRUTH_LEGACY = "sample_id source_path dataset_role prediction_tactile_present prediction_mask_coverage ground_truth_tactile_present ground_truth_mask_path review_status notes".split()
+#: Columns of a source table in CSV form.
+SOURCE_COLUMNS = "filename title source_url license artist".split()
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 ANNOTATION = T.StructType(
@@ -50,5 +52,10 @@ MODEL = T.StructType(
 MODELS = T.StructType([T.StructField("models", T.MapType(T.StringType(), MODEL))])
 
 
+SOURCE = T.StructType([T.StructField("set_index", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("filename", "title", "source", "license", "artist"))])
+INVENTORY_FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("url", T.StringType())])
+INVENTORY_PAGE = T.StructType([*(T.StructField(n, T.StringType()) for n in ("page_token", "next_page_token", "error_message")), T.StructField("files", T.ArrayType(INVENTORY_FILE))])
+
+
 def strings(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])

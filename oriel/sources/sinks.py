@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,8 +71,56 @@ def label_lines(boxes: DataFrame, polygons: DataFrame) -> DataFrame:
 
 
 def export_labels(lines: DataFrame, path: str) -> None:
-    """Label lines by task and split; an existing export is an error."""
-    lines.repartition("task", "split").sortWithinPartitions("sample_id", "line").write.mode("errorifexists").partitionBy("task", "split").parquet(path)
+    """Label lines by task and split; an existing export is an error. Rows are dealt by range of sample too, so that no
+    task has to write a whole split."""
+    lines.repartitionByRange("task", "split", "sample_id").sortWithinPartitions("task", "split", "sample_id", "line").write.mode("errorifexists").partitionBy("task", "split").parquet(path)
+
+
+def yaml_text(labels: list[str]) -> str:
+    """The dataset file of an export: folders of its splits and names by class id."""
+    return "\n".join(["train: images/train", "val: images/val", "test: images/test", "names:", *(f"  {i}: {json.dumps(x)}" for i, x in enumerate(labels))]) + "\n"
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    p, fs = _fs(spark, path)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def export_dataset(lines: DataFrame, samples: DataFrame, path: str, labels: dict[str, list[str]], header: dict) -> None:
+    """A training set: label lines by task and split, one dataset file for each task, and a manifest of the header (its
+    version and the hashes of its inputs) and the samples, one JSON row each.
+
+    All is written beside the target and moved into its place last; an existing target is an error, and a
+    failed export leaves nothing.
+    """
+    spark = lines.sparkSession
+    target, fs = _fs(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(f"export already exists: {path}")
+    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    p, _ = _fs(spark, staged)
+    try:
+        export_labels(lines, f"{staged}/labels")
+        samples.write.mode("errorifexists").json(f"{staged}/samples")
+        for task, names in labels.items():
+            _write_text(spark, f"{staged}/{task}.yaml", yaml_text(names))
+        _write_text(spark, f"{staged}/export_manifest.json", json.dumps(header, indent=2, sort_keys=True))
+        if not fs.rename(p, target):
+            raise OSError(f"could not move an export to {path}")
+    except Exception:
+        fs.delete(p, True)
+        raise
+
+
+def export_mixture(plan: DataFrame, path: str, header: dict, label: str) -> None:
+    """A mixture plan by split, its dataset file, and a manifest with the number of rows of each split and source."""
+    counts = {f"{r['split']}_{r['source']}": r["n"] for r in plan.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lines = plan.select(F.lit("mixture").alias("task"), "split", F.col("target_name").alias("sample_id"), F.col("source").alias("line"))
+    export_dataset(lines, plan, path, {"mixture": [label]}, header | {"summary": counts})
 
 
 def report_rows(df: DataFrame, map_columns: list[str]) -> DataFrame:

@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oriel.functions.expressions import safe_ratio
 
 #: States of the assistant.
-STATES = ("starting", "calibrating", "ready", "following", "uncertain", "warning", "stopped", "lostPath", "failure", "paused")
+STATES = ("initializing", "objectOnly", "tactileCandidate", "tactileGuidance", "lostPath", "degraded", "uncertain", "hazardStop", "systemFailure", "stopped")
+#: Kinds of announcements, the most urgent first; the first two are critical.
+PRIORITIES = ("drop", "obstacle", "lost_path", "direction", "object")
 CRITICAL = ("obstacle", "hazard", "error")
 
 
@@ -89,9 +91,21 @@ def rolling_p95(frames: DataFrame, window: int = 20, profiles: tuple[float, floa
     return frames.withColumn("p95", p).withColumn("profile", F.when(F.col("p95") <= profiles[0], "full").when(F.col("p95") <= profiles[1], "reduced").otherwise("minimal"))
 
 
-def frozen(frames: DataFrame) -> DataFrame:
-    """Frames equal in value to the one before of their stream: a camera that repeats itself."""
-    return frames.withColumn("_v", F.lag("value").over(_in_order())).filter(F.col("value").eqNullSafe(F.col("_v")) & F.col("_v").isNotNull()).drop("_v")
+def frozen(frames: DataFrame, columns: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Frames equal to the one before of their stream in any of ``columns`` (a content hash, a time, a value): a camera
+    that repeats itself."""
+    same = F.lit(False)
+    for c in columns:
+        same = same | F.coalesce(F.col(c) == F.lag(c).over(_in_order()), F.lit(False))
+    return frames.withColumn("_same", same).filter("_same").drop("_same")
+
+
+def area_depth(samples: str, least: float = 0.0) -> Column:
+    """Median of the valid depths (above ``least``) of a small area; null, never 0, if none is valid."""
+    valid = F.array_sort(F.filter(F.col(samples), lambda v: v.isNotNull() & ~F.isnan(v) & (v > least)))
+    n = F.size(valid)
+    middle = (F.get(valid, F.floor((n - 1) / 2).cast("int")) + F.get(valid, F.floor(n / 2).cast("int"))) / 2.0
+    return F.when(n > 0, middle)
 
 
 def smoothed(frames: DataFrame, window: int = 5) -> DataFrame:
@@ -107,11 +121,94 @@ def cooled_down(frames: DataFrame, cooldown_ms: int) -> DataFrame:
     return frames.withColumn("_s", since).filter(F.col("_s").isNull() | (F.col("_s") > cooldown_ms) | F.col("status").isin(*CRITICAL)).drop("_s")
 
 
+def announced(frames: DataFrame, kind: str, tracked: str, cooldown_ms: int) -> DataFrame:
+    """What is said: of each stream and moment the most urgent kind of ``PRIORITIES`` (then the lowest frame); one that
+    isn't critical only if its object had no frame of that kind for ``cooldown_ms`` before. Adds ``priority`` and ``cancels``: a
+    critical one stops what is being said."""
+    rank = F.array_position(F.array(*(F.lit(p) for p in PRIORITIES)), F.col(kind)).cast("int")
+    own = Window.partitionBy("stream", tracked, kind).orderBy("captured_at", "frame_id")
+    since = (F.unix_micros("captured_at") - F.unix_micros(F.lag("captured_at").over(own))) / F.lit(1000.0)
+    x = frames.withColumn("priority", rank).filter("priority > 0").withColumn("_since", since).withColumn("cancels", F.col("priority") <= 2)
+    x = x.filter(F.col("cancels") | F.col("_since").isNull() | (F.col("_since") > cooldown_ms)).drop("_since")
+    first = F.row_number().over(Window.partitionBy("stream", "captured_at").orderBy("priority", "frame_id"))
+    return x.withColumn("_first", first).filter("_first = 1").drop("_first")
+
+
+def accepted_when_free(frames: DataFrame, service_ms: int) -> DataFrame:
+    """Adds ``dropped``: the frame came while an accepted one of its stream was still being processed, which takes
+    ``service_ms``; nothing is queued.
+
+    A gap of ``service_ms`` frees the stream whatever came before, so only bursts between such gaps are folded, each
+    in one row. A live stream needs one time for each key (``busy_stream``).
+    """
+    at = F.unix_micros("captured_at")
+    free = F.coalesce(at - F.lag(at).over(_in_order()) >= service_ms * 1000, F.lit(True))
+    bursts = frames.withColumn("_at", at).withColumn("_burst", F.sum(free.cast("int")).over(_in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    sorted_ = F.array_sort(F.collect_list(F.struct("_at", "frame_id")))
+    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("until"), F.array().cast("array<bigint>").alias("taken"))
+
+    def step(acc: Column, x: Column) -> Column:
+        takes = x["_at"] >= acc["until"]
+        return F.struct(F.when(takes, x["_at"] + service_ms * 1000).otherwise(acc["until"]).alias("until"), F.when(takes, F.concat(acc["taken"], F.array(x["frame_id"]))).otherwise(acc["taken"]).alias("taken"))
+
+    folded = bursts.groupBy("stream", "_burst").agg(F.aggregate(sorted_, start, step)["taken"].alias("_taken"))
+    return bursts.join(folded, ["stream", "_burst"]).withColumn("dropped", ~F.array_contains("_taken", F.col("frame_id"))).drop("_at", "_burst", "_taken")
+
+
+def busy_stream(frames: DataFrame, service_ms: int) -> DataFrame:
+    """On a stream: (stream, frame_id, dropped), as ``accepted_when_free``; state is the time until which a key is busy."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until = state.get[0] if state.exists else None
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["captured_at", "frame_id"]).itertuples():
+            at = r.captured_at.value // 1000
+            dropped = until is not None and at < until
+            until = until if dropped else at + service_ms * 1000
+            out.append((key[0], r.frame_id, dropped))
+        state.update((until,))
+        yield pd.DataFrame(out, columns=["stream", "frame_id", "dropped"])
+
+    return frames.groupBy("stream").applyInPandasWithState(step, "stream long, frame_id long, dropped boolean", "until long", "append", GroupStateTimeout.NoTimeout)
+
+
 def dropped_when_busy(frames: DataFrame, busy: str = "busy") -> DataFrame:
     """Frames by stream, and how many of them came while one was in flight."""
     return frames.groupBy("stream").agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col(busy)).alias("dropped")).withColumn("drop_rate", safe_ratio("dropped", "frames"))
 
 
+def machine_states(frames: DataFrame, path: str, hazard: str, failed: str, slow: str, stop: str, least: int = 3, hold_ms: int = 500, lost_ms: int = 2500, told_ms: int = 1000, watchdog_ms: int = 500) -> DataFrame:
+    """Adds ``state``, one of ``STATES``, from what each frame shows (boolean columns; null fails safe).
+
+    In this order: a stop stops; a failure, or over ``watchdog_ms`` since the frame before, is systemFailure; a hazard is
+    hazardStop at once and until ``least`` frames in a row show none; a path seen in ``least`` frames in a row guides,
+    and goes on guiding for ``hold_ms`` after it was last stable; one seen for less is a candidate; without it the state is
+    uncertain until ``lost_ms``, then lostPath for ``told_ms``, in which STOP is told, then objectOnly. Before ``least`` frames
+    have come it is initializing; slow frames without a path are degraded.
+    """
+    w = _in_order()
+    recent = w.rowsBetween(-(least - 1), 0)
+    seen, danger = F.coalesce(F.col(path), F.lit(False)), F.coalesce(F.col(hazard), F.lit(True))
+    at = F.unix_micros("captured_at") / F.lit(1000.0)
+    steady = (F.min(seen.cast("int")).over(recent) == 1) & (F.count(F.lit(1)).over(recent) == least)
+    x = frames.withColumn("_steady", steady).withColumn("_gap", at - F.lag(at).over(w)).withColumn("_held", F.max(danger.cast("int")).over(recent) == 1).withColumn("_n", F.row_number().over(w))
+    age = at - F.max(F.when(F.col("_steady"), at)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    state = (
+        F.when(F.coalesce(F.col(stop), F.lit(True)), "stopped")
+        .when(F.coalesce(F.col(failed), F.lit(True)) | F.coalesce(F.col("_gap") > watchdog_ms, F.lit(False)), "systemFailure")
+        .when(F.col("_held"), "hazardStop")
+        .when(age <= hold_ms, "tactileGuidance")
+        .when(seen, "tactileCandidate")
+        .when(age <= lost_ms, "uncertain")
+        .when(age <= lost_ms + told_ms, "lostPath")
+        .when(F.col("_n") < least, "initializing")
+        .when(F.coalesce(F.col(slow), F.lit(True)), "degraded")
+        .otherwise("objectOnly")
+    )
+    return x.withColumn("state", state).drop("_steady", "_gap", "_held", "_n")
+
+
 def transitions(frames: DataFrame) -> DataFrame:
     """Changes of status in each stream: stream, frame_id, from_status, to_status."""
     before = F.lag("status").over(_in_order())

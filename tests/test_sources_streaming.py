@@ -29,13 +29,18 @@ def test_reviews_missing_or_twice(spark, tmp_path):
     p.write_text(",".join(C.REVIEW_COLUMNS) + "\n" + "a,,,,,,\na,,,,,,\n")
     with pytest.raises(Exception, match="duplicate key"):
         I.read_reviews(spark, str(p))
+    p.write_text(",".join(C.REVIEW_COLUMNS) + "\na,,,,,,\nb,,,,,,\n")
+    assert I.read_reviews(spark, str(p)).count() == 2
 
 
 def test_legacy_truth(spark, tmp_path):
     p = tmp_path / "t.csv"
-    p.write_text(",".join(C.TRUTH_LEGACY) + "\n" + ",".join([" a "] + ["x"] * 8) + "\n")
+    # The header as older files have it, typed out.
+    p.write_text("sample_id,source_path,dataset_role,prediction_tactile_present,prediction_mask_coverage,ground_truth_tactile_present,ground_truth_mask_path,review_status,notes\n" + ",".join([" a "] + ["x"] * 8) + "\n")
     r = I.read_truth(spark, str(p)).first()
-    assert r["sample_id"] == " a " and r["context"] == "" and len(r) == 15
+    assert r["sample_id"] == " a " and r["annotation_id"] == r["reviewer"] == "" and r["dataset_role"] == "x" and len(r) == 15
+    p.write_text("sample_id,source_path,source_sha256,dataset_role,prediction_tactile_present,prediction_mask_coverage,ground_truth_tactile_present,ground_truth_mask_path,ground_truth_mask_sha256,annotation_origin,annotation_id,review_status,reviewer,reviewed_at,notes\n" + ",".join(str(i) for i in range(15)) + "\n")
+    assert list(I.read_truth(spark, str(p)).first()) == [str(i) for i in range(15)]
 
 
 def test_polygon_lines(spark):
