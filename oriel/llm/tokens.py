@@ -184,9 +184,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_file: str | None
     """Encode ``docs``, write bit-packed files in ascending doc_id order, and return their manifest.
 
     ``vocabulary_file`` names a file that every executor can open at the same place. Null texts are
-    empty; an empty text has only the end id. Equal doc_ids stand next to each other, ordered by text;
-    a null doc_id stands first. The one shuffle deals whole texts by range of doc_id; each task encodes
-    its range in order and writes files of about ``file_ids`` ids. A task that runs again writes under
+    empty; an empty text has only the end id. Equal doc_ids stand next to each other, ordered by a hash of the text,
+    then by text; a null doc_id stands first. The one shuffle deals whole texts by range of doc_id, and by those
+    hashes and places where one doc_id, or none, holds many rows; each task encodes its range in order, one text
+    at a time however long, and writes files of about ``file_ids`` ids. A task that runs again writes under
     new names, and only files of tasks that ended well are in the manifest: path, part, number,
     first_doc, n_docs, n_ids and ``start``, the number of ids in all files before it.
     """
@@ -229,7 +230,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_file: str | None
         flush()
         yield pa.RecordBatch.from_pylist(rows, schema=MANIFEST)
 
-    ordered = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")
+    placed = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
+    ordered = placed.repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     files = written(ordered.mapInArrow(write, "path string, part int, number int, first_doc long, n_docs long, n_ids long"), "manifest")
     # One row for each file of millions of ids.
     earlier = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)

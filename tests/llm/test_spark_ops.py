@@ -211,6 +211,21 @@ def test_tokens_round_trip(spark, docs):
     assert sorted((tuple(r)[:3] for r in tokens.token_output(docs).collect()), key=lambda r: r[1]) == want
 
 
+def test_tokens_of_one_id_are_dealt_to_several_files(spark):
+    rows = [(None, f"text {i % 40} of no document") for i in range(400)] + [(i, "x") for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts stay apart
+    try:
+        files = tokens.write_token_files(d, tokens.shared_path(spark, "tokens"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 3 and files.agg(F.max("n_docs")).first()[0] < 300
+    got = tokens.token_output(d).collect()
+    ordered = sorted(got, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in ordered] == [None] * 400 + list(range(5)) and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(ordered, ordered[1:], strict=False))
+    assert Counter((r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((r["n_tokens"], r["ids_crc32"]) for r in tokens.token_output(d.repartition(3)).collect())
+
+
 def test_toxicity_learns(spark):
     r = random.Random(7)
     rows = [(i, " ".join(["vilword" if i % 4 == 0 and k % 6 == 0 else f"w{r.randrange(200)}" for k in range(30)])) for i in range(400)]
