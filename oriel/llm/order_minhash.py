@@ -296,6 +296,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", F.coalesce("doc_id", F.lit(-1))).alias("k2"), "doc_id", "text")
 
 
+#: Single texts, as three numbers each, that are sent to all tasks at most, instead of a shuffle of all texts.
+BROADCAST_ROWS = 200_000
 #: Rows of a bucket that are compared with each other at once; larger buckets are dealt into such
 #: blocks at random, differently for each sketch and round.
 BLOCK = 1024
@@ -385,9 +387,9 @@ def proposals(members: DataFrame, number: int) -> DataFrame:
     return dealt.mapInArrow(propose, "a long, b long").distinct()
 
 
-def rare_pairs(block: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, part: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Pairs (low, high) of one block and of different groups that may have a similarity of 0.8: by sizes, by
-    the places of the shared label and by parities. Rows are sorted by block; a ``part`` of -1 meets its like."""
+def rare_pairs(block: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Pairs (low, high) of one block and of different groups that may have a similarity of 0.8, by sizes and by
+    the places of the shared label. Rows are sorted by block; a ``part`` of -1 meets its like."""
     out = []
     stop = np.searchsorted(block, block, side="right")
     at, shift = np.arange(len(block)), 1
@@ -395,11 +397,8 @@ def rare_pairs(block: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.
         i, j = at, at + shift
         good = (group[i] != group[j]) & ((part[i] != part[j]) | (part[i] < 0))
         i, j = i[good], j[good]
-        total = size[i] + size[j]
         # Of total labels at least 4/9 are shared: no more than what follows the first shared one.
-        good = 9 * np.minimum(size[i] - place[i], size[j] - place[j]) >= 4 * total
-        i, j, total = i[good], j[good], total[good]
-        good = 9 * np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= total
+        good = 9 * np.minimum(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j])
         i, j = i[good], j[good]
         out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
         shift += 1
@@ -408,32 +407,39 @@ def rare_pairs(block: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.
 
 def rest_of_pairs(nodes: DataFrame, hot: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ``nodes`` (node, group, n, prefix, parities) of different groups: all
-    that may have a similarity of 0.8, as they share one of their rare labels.
+    that may have a similarity of 0.8, as they share one of their rare labels and differ in few parity bits.
 
     Labels of ``hot`` (label) that over ``BLOCK`` nodes hold are dealt into parts of about that many, and each
-    two parts meet in a block, so that no task has to hold all nodes of a label and every pair still meets.
+    two parts meet in a block, so that no task has to hold all nodes of a label and every pair still meets. Rows of
+    labels carry no more than pairs are made by; parity bits are looked at once for each pair.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: pa.Table) -> pa.RecordBatch:
             block, node, group, n, place, part = (rows[c].to_numpy() for c in ("block", "node", "group", "n", "place", "part"))
-            bits = np.stack([rows[p].to_numpy() for p in PARITIES], 1).view(_U)
-            both = rare_pairs(block, node, group, n.astype(np.int64), place.astype(np.int64), part, bits)
+            both = rare_pairs(block, node, group, n.astype(np.int64), place.astype(np.int64), part)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
         return by_blocks(batches, found)
 
-    rows = nodes.select("node", "group", "n", *PARITIES, F.posexplode("prefix").alias("place", "label"))
+    rows = nodes.select("node", "group", "n", F.posexplode("prefix").alias("place", "label"))
     counts = rows.join(F.broadcast(hot), "label").groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > BLOCK)
     rows = rows.join(F.broadcast(counts), "label", "left")
-    cold = rows.filter("members IS NULL").select(F.col("label").alias("block"), "node", "group", "n", "place", F.lit(-1).alias("part"), *PARITIES)
+    cold = rows.filter("members IS NULL").select(F.col("label").alias("block"), "node", "group", "n", "place", F.lit(-1).alias("part"))
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = rows.filter("members IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("node", "label"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     warm = dealt.select(
-        F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "group", "n", "place", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("part"), *PARITIES
+        F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "group", "n", "place", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("part")
     )
     met = cold.unionByName(warm).repartition("block").sortWithinPartitions("block")
-    return met.mapInArrow(pair, "a long, b long").distinct()
+    return few_bits_apart(met.mapInArrow(pair, "a long, b long").distinct(), nodes)
+
+
+def few_bits_apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose parities differ in no more bits than a similarity of 0.8 allows."""
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(p).alias(f"{p}_{side}") for p in PARITIES))
+    bits = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES[1:]), F.bit_count(F.col(f"{PARITIES[0]}_a").bitwiseXOR(F.col(f"{PARITIES[0]}_b"))))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(9 * bits <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -494,14 +500,13 @@ def classified(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
     counts = keys.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = written(keys.join(counts, ["sketch", "key"]), "members")
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """(node, text) of the nodes ``wanted``."""
-        chosen = holders.join(wanted, "node", "left_semi")
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        """(node, text) of the ``chosen`` holders."""
         return docs.join(chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "text")
 
     # Whole texts are shuffled once, and only those that meet others are kept for all rounds.
     meeting = members.select("node").distinct()
-    texts = written(texts_of(meeting), "texts")
+    texts = written(texts_of(holders.join(meeting, "node", "left_semi")), "texts")
 
     def blocks(rows: DataFrame, number: int) -> DataFrame:
         part = F.pmod(F.xxhash64("node", "sketch", F.lit(number)), F.ceil(F.col("members") / BLOCK).cast("long"))
@@ -531,9 +536,10 @@ def classified(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
     hot = docs.sparkSession.createDataFrame([(x,) for x in frequent.tolist()], "label long")
     pairs = written(rest_of_pairs(rest, hot).join(tested, ["a", "b"], "left_anti"), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    more = written(ids.join(meeting, "node", "left_anti"), "more")
-    if not more.isEmpty():
-        texts = texts.unionByName(texts_of(more))
+    more = written(holders.join(ids.join(meeting, "node", "left_anti"), "node", "left_semi"), "more")
+    if n_more := more.count():
+        # Few texts are picked out of the scan; more are worth a shuffle of all.
+        texts = texts.unionByName(texts_of(F.broadcast(more) if n_more <= BROADCAST_ROWS else more))
     new = written(verified(pairs, texts), "links")
     if not new.isEmpty():
         classes = components(links.unionByName(new))
