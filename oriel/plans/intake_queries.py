@@ -3,6 +3,9 @@ and curation, review changes, contracts and exports."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -121,6 +124,18 @@ def file_scan(spark, sf_dir):
     return files.join(readers.file_hashes(spark, folder).select("path", "sha256"), "path").select("stem", "length", "sha256", "suffix")
 
 
+@query("SELECT 'd/' || n_name || '.txt' AS name, CAST(octet_length(encode(n_name)) AS bigint) AS size, sha256(n_name) AS sha256 FROM nation")
+def zip_members(spark, sf_dir):
+    """Nations as members of one archive, of which 25 are expected."""
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for r in table(spark, sf_dir, "nation").collect():  # 25 rows
+            z.writestr(f"d/{r['n_name']}.txt", r["n_name"])
+    path = f"{shared_path(spark, 'zip')}/a.zip"
+    sinks._write_bytes(spark, path, buffer.getvalue())
+    return readers.read_zip(spark, path, 25).select("name", "size", "sha256")
+
+
 @query("SELECT 'f' || n_nationkey AS stem FROM nation")
 def image_label_files(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("a/f"), F.col("n_nationkey").cast("string")).alias("p"))

@@ -81,15 +81,19 @@ def yaml_text(labels: list[str]) -> str:
     return "\n".join(["train: images/train", "val: images/val", "test: images/test", "names:", *(f"  {i}: {json.dumps(x)}" for i, x in enumerate(labels))]) + "\n"
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def _write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     p, fs = _fs(spark, path)
     out = fs.create(p, False)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    _write_bytes(spark, path, text.encode())
+
+
 def export_dataset(lines: DataFrame, samples: DataFrame, path: str, labels: dict[str, list[str]], header: dict) -> None:
     """A training set: label lines by task and split, one dataset file for each task, and a manifest of the header (its
     version and the hashes of its inputs) and the samples, one JSON row each.
