@@ -13,7 +13,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round hangs the larger neighbours of a node on its lowest neighbour, then the rest of each
     node's lower neighbours; after a few rounds every node hangs on the lowest one. Only lowest
-    neighbours are gathered, summed up before each shuffle. Rounds end in written tables.
+    neighbours are gathered, summed up before each shuffle. Rounds end in written tables; if ``max_rounds``, far more
+    than any length of chain needs, don't end it, an error is raised.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, "edges")
@@ -29,6 +30,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (now["n"], now["h"]) == state:
             break
         state = (now["n"], now["h"])
+    else:
+        raise RuntimeError(f"components aren't found after {max_rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct()
     return nodes.unionByName(roots)
