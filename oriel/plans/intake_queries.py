@@ -199,7 +199,7 @@ def provenance_rows(spark, sf_dir):
     return C.provenance(rows)
 
 
-@query("SELECT c_name || '.JPG' AS filename, place, c_name || '.json' AS target, round_even(0.1 * (place + 1) * (c_nationkey + 100), 2) AS x, round_even(0.25 * 480, 2) AS y FROM customer, (SELECT unnest([0, 1]) AS place)")
+@query("SELECT c_name || '.JPG' AS filename, place, c_name || '.json' AS target, CAST(round_even(CAST(0.1 AS double) * (place + 1) * (c_nationkey + 100), 2) AS double) AS x, CAST(120 AS double) AS y FROM customer, (SELECT unnest([0, 1]) AS place)")
 def seeded_shapes(spark, sf_dir):
     c = _customers(spark, sf_dir)
     images = c.select(F.concat("c_name", F.lit(".JPG")).alias("filename"), (F.col("c_nationkey") + 100).cast("double").alias("width"), F.lit(480.0).alias("height"))
