@@ -115,7 +115,8 @@ def test_windows_of_very_many_words():
     words = [f"w{i}" for i in range(70_000)]
     items = [(str(i), " ".join(words[i * 100 : i * 100 + 100])) for i in range(700)]
     machine = D.WindowMachine(items, 13)
-    assert {D.symbol(k) for k in range(55_294, 55_298)}.isdisjoint(map(chr, range(0xD800, 0xE000)))
+    pairs = [D.letters(k) for k in range(4 * D.BLOCK_WORDS)]
+    assert len(set(pairs)) == len(pairs) and {p[0] for p in pairs}.isdisjoint(p[1] for p in pairs) and max(map(max, pairs)) < chr(0xD800)
     for i in (0, 553, 554, 699):
         at = i * 100 + r.randrange(80)
         assert D.scanned(machine, "x " + " ".join(words[at : at + 14]) + " y")[1:] == ([(1, 14)], [str(i)])
