@@ -465,15 +465,20 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return both.select("a", "b", "ta", "tb").mapInArrow(align, "a long, b long")
 
 
-def near_duplicate_classes(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
+#: Rounds of proposals before the exact pass. Any number gives the same classes; after one round the exact pass
+#: tests what is left for less than a second round costs.
+ROUNDS = 1
+
+
+def near_duplicate_classes(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, class_id (the lowest doc_id of its class) and representative.
 
     Texts of the same lower-cased words are copies; only one of each meets others. Order MinHash
     sketches make buckets; in each, texts propose the partners whose lanes agree most, blocks of a large bucket
     apart. Proposed pairs are verified by banded alignment of their occurrence-labelled five-word
     shingles and linked at a similarity of 0.8 or more; classes are the connected components of
-    links. Further rounds look at buckets that hold several classes: each text proposes its next partners of
-    other classes, until a round links nothing or ``max_rounds`` have passed. These rounds find most links
+    links. Further rounds, if any, look at buckets that hold several classes: each text proposes its next partners of
+    other classes, until a round links nothing or ``max_rounds`` have passed. This finds most links
     cheaply. All pairs of different classes that are left are then met by their rare labels, by which no
     pair of a similarity of 0.8 is missed, and tested too: classes are exact.
 
@@ -486,7 +491,7 @@ def near_duplicate_classes(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
     return classified(docs, max_rounds).select("doc_id", "class_id", "representative")
 
 
-def classified(docs: DataFrame, max_rounds: int = 3) -> DataFrame:
+def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
     """(k1, k2, doc_id, class_id, representative, worded) for each row; see ``near_duplicate_classes``."""
     docs = keyed(docs)
     common, counts_of, each = common_labels(docs)
