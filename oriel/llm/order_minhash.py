@@ -67,7 +67,7 @@ def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text that are hashed at once, if no text alone has more; memory follows this, not the batch.
-HASHED_BYTES = 1 << 20
+HASHED_BYTES = 1 << 18
 
 
 def slices(sizes: list[int], most: int = HASHED_BYTES) -> Iterator[tuple[int, int]]:
