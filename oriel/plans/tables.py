@@ -41,8 +41,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder; also after its session was stopped, while the JVM runs."""
+    context = spark.sparkContext._jsc
+    conf = context.hadoopConfiguration() if context is not None else spark._jvm.org.apache.hadoop.conf.Configuration()
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def drop_table(df: DataFrame) -> None:
@@ -63,8 +66,8 @@ def drop_folders(mark: int = 0, keep: int = 0) -> None:
     for spark, path in _FOLDERS[mark : len(_FOLDERS) - keep]:
         try:
             delete_path(spark, path)
-        except Exception:  # noqa: BLE001  # the session has ended: nothing can be deleted through it
-            continue
+        except Exception:  # noqa: BLE001  # the JVM has ended: nothing can be deleted through it
+            break
     del _FOLDERS[mark : len(_FOLDERS) - keep]
 
 
