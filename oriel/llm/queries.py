@@ -11,8 +11,11 @@ from oriel.llm.html_text import extract_main_text
 from oriel.llm.lines import line_dedup
 from oriel.llm.mixing import mix
 from oriel.llm.order_minhash import near_duplicate_classes
+from oriel.llm.periodic import find_runs
+from oriel.llm.pivot_index import top_k
 from oriel.llm.quality import quality_rules
 from oriel.llm.run_index import exact_dedup
+from oriel.llm.spelling import spelling_groups
 from oriel.llm.tokens import token_output
 from oriel.llm.toxicity import score_toxicity
 from oriel.llm.url_filter import filter_urls
@@ -60,6 +63,18 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_main_text": op2_main_text,
@@ -71,9 +86,23 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_order_minhash": op10_order_minhash,
+    "op11_pivot_search": op11_pivot_search,
+    "op12_spelling_groups": op12_spelling_groups,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The unsigned crc32 of an ASCII or Latin text: a table of 256 rests, then a step for each byte.
+_CRC_REST = "SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS bigint), CAST(range(8) AS bigint[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS rest"
+
+
+def _crc(hexed: str) -> str:
+    """SQL of the crc32 of bytes that stand as upper-case hexadecimal digits; the table of rests is ``rest``."""
+    digit = "(strpos('0123456789ABCDEF', substr({h}, {k}, 1)) - 1)"
+    byte = f"{digit.format(h=hexed, k='2 * i + 1')} * 16 + {digit.format(h=hexed, k='2 * i + 2')}"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(len({hexed}) // 2), lambda i: CAST({byte} AS bigint))), lambda x, y: xor(x // 256, rest[xor(x, y) % 256 + 1])))"
+
+
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLE = {
@@ -154,4 +183,37 @@ rest AS (SELECT x.doc_id, string_agg(x.line, chr(10) ORDER BY x.p) AS text
 SELECT d.doc_id, CAST(coalesce(len(l), 0) AS bigint) AS n_lines, CAST(coalesce(n.n, 0) AS bigint) AS n_removed, CAST(coalesce(starts.n, 0) AS bigint) AS n_spans,
        CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(rest.text, '')) END AS text_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN starts USING (doc_id) LEFT JOIN rest USING (doc_id)""",
+    "op11_pivot_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS double))) AS c FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.c, v.c) AS bigint) AS score FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, CAST(rank AS integer) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    "op12_spelling_groups": rf"""
+WITH RECURSIVE t AS ({_CRC_REST}),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]{{6,}}')) AS run FROM documents) GROUP BY 1, 2),
+h AS (SELECT run, n, {_crc("b")} AS h FROM (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS varchar), '') || ':' || run)) AS b FROM r), t),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS bigint) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM h) WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+c AS MATERIALIZED (SELECT word, i, left(word, i) || substr(word, i + 2) AS cut FROM (SELECT word, unnest(range(len(word))) AS i FROM w)),
+p AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT a.word AS a, b.word AS b FROM c AS a JOIN c AS b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word UNION ALL SELECT c.word, w.word FROM c JOIN w ON c.cut = w.word UNION ALL SELECT w.word, c.word FROM c JOIN w ON c.cut = w.word)),
+k AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-w.n, b)) AS form, max(w.n) AS form_n FROM p JOIN w ON p.b = w.word GROUP BY a),
+f AS MATERIALIZED (SELECT word, form, form_n FROM k JOIN w USING (word) WHERE form_n >= 5 * n),
+e AS (SELECT word, form AS root, 1 AS step FROM f UNION ALL SELECT e.word, f.form, step + 1 FROM e JOIN f ON e.root = f.word)
+SELECT w.word, f.form, coalesce(e.root, w.word) AS root, w.n, CAST(coalesce(n_near, 0) AS bigint) AS n_near, CAST(form_n AS bigint) AS form_n
+FROM w LEFT JOIN (SELECT word, n_near FROM k) AS k USING (word) LEFT JOIN f USING (word) LEFT JOIN (SELECT word, arg_max(root, step) AS root FROM e GROUP BY word) AS e USING (word)""",
+    "op13_periodic_runs": rf"""
+WITH t AS ({_CRC_REST}),
+o AS (SELECT doc_id, w, CAST(len(w) AS bigint) AS n, {_crc("b")} AS h FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, hex(encode(CAST(doc_id AS varchar))) AS b FROM documents), t),
+g AS (SELECT *, h % 10 = 0 AND n > 0 AS made, CASE WHEN n > 0 THEN (h // 10) % n END AS a, CASE WHEN n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p FROM o),
+d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN made THEN list_transform(range(n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) ELSE w END AS w FROM g),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 16], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(n - 15)) AS i FROM d WHERE n >= 24)),
+pr AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM win AS a JOIN win AS b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i),
+st AS (SELECT doc_id, q, min(i) AS start, max(i) + 16 + q - min(i) AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pr) GROUP BY doc_id, q, k),
+big AS MATERIALIZED (SELECT * FROM st WHERE length >= greatest(24, 3 * q)),
+run AS MATERIALIZED (SELECT * FROM big AS r WHERE NOT EXISTS (SELECT 1 FROM big AS s WHERE s.doc_id = r.doc_id AND s.q < r.q AND s.start <= r.start AND s.start + s.length >= r.start + r.length)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM run),
+kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS text FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM d SEMI JOIN run USING (doc_id)) AS x ANTI JOIN gone USING (doc_id, i) GROUP BY x.doc_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS double) / q DESC, start, q) AS k, count(*) OVER (PARTITION BY doc_id) AS n_runs FROM run),
+lines AS (SELECT doc_id, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS text FROM run GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(top.n_runs, 0) AS bigint) AS n_runs, CAST(top.start AS bigint) AS start, CAST(top.length AS bigint) AS length, CAST(top.q AS bigint) AS period, CAST(1000 * top.length // top.q AS bigint) AS exponent_milli,
+       sha256(coalesce(lines.text, '')) AS runs_sha256, sha256(CASE WHEN top.doc_id IS NULL THEN array_to_string(d.w, ' ') ELSE coalesce(kept.text, '') END) AS collapsed_sha256
+FROM d LEFT JOIN (SELECT * FROM top WHERE k = 1) AS top USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
