@@ -10,6 +10,7 @@ An inner product becomes a distance by one more component: with ``M`` the larges
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ BLOCK_ROWS, BLOCK_BYTES = 2048, 8 << 20
 ROWS_A_PIVOT, MOST_PIVOTS, SAMPLE = 4096, 256, 4096
 #: Parts into which the annuli of a pivot are dealt where tiles look for them.
 SALTS = 8
+#: Tiles of which a task remembers what it has found; each takes 320 bytes a query.
+TILES_KNOWN = 64
 #: Stands for a vec_id that is null: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -196,30 +199,42 @@ class Index:
             yield from tile()
 
     def query_tile(self, row: dict) -> tuple[np.ndarray, ...]:
-        """ids, home annuli, components, lowest score that is still among the best and its id, radius around each query."""
+        """ids, home annuli, components, and the best scores of each query so far with their ids."""
         ids, homes = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["homes"], "<i8")
         codes = np.frombuffer(row["codes"], "<i4").reshape(len(ids), self.width)
-        score, last = np.frombuffer(row["scores"], "<i8").reshape(len(ids), -1)[:, -1], np.frombuffer(row["ids"], "<i8").reshape(len(ids), -1)[:, -1]
-        reach = np.sqrt(np.maximum((codes.astype(float) ** 2).sum(axis=1) + self.most_sq - 2.0 * score, 0)) + self.slack
-        return ids, homes, codes, score, last, np.where(score == -(1 << 62), np.inf, reach)
+        return ids, homes, codes, np.frombuffer(row["scores"], "<i8").reshape(len(ids), self.k), np.frombuffer(row["ids"], "<i8").reshape(len(ids), self.k)
+
+    def reach(self, codes: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """The radius around each query that holds all rows of ``score`` or more."""
+        r = np.sqrt(np.maximum((codes.astype(float) ** 2).sum(axis=1) + self.most_sq - 2.0 * score, 0)) + self.slack
+        return np.where(score == -(1 << 62), np.inf, r)
 
     def reached(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each tile and pivot the distances to it at which rows could still win."""
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, codes, _, _, reach = self.query_tile(row)
-                d = distances(raised(codes, None), self.pivots)
+                _, _, codes, scores, _ = self.query_tile(row)
+                d, reach = distances(raised(codes, None), self.pivots), self.reach(codes, scores[:, -1])
                 yield pa.RecordBatch.from_pydict(
                     {"tile": [row["tile"]] * len(self.pivots), "own": [row["pivot"]] * len(self.pivots), "pivot": np.arange(len(self.pivots), dtype="i4"), "least": (d - reach[:, None]).min(axis=0), "most": (d + reach[:, None]).max(axis=0)},
                     schema=REACH_SCHEMA,
                 )
 
     def searched(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of annuli that belong to the best of a query as far as known: of each query's reach only, ``k`` at most."""
+        """Rows of annuli that belong to the best of a query as far as the task knows: of each query's reach only, ``k`` at
+        most. What a task has found narrows the reach in its next annuli; it remembers the last ``TILES_KNOWN`` tiles."""
+        known: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
         for batch in batches:
             for row in batch.to_pylist():
-                ids, homes, codes, score, last, reach = self.query_tile(row)
+                ids, homes, codes, scores, found = self.query_tile(row)
+                if row["tile"] not in known:
+                    known[row["tile"]] = scores.copy(), found.copy()
+                    if len(known) > TILES_KNOWN:
+                        known.popitem(last=False)
+                known.move_to_end(row["tile"])
+                scores, found = known[row["tile"]]
                 rows, dists, x = self.opened({"ids": row["b_ids"], "dists": row["b_dists"], "codes": row["b_codes"]})
+                reach = self.reach(codes, scores[:, -1])
                 d = distances(raised(codes, None), self.pivots[row["b_pivot"]][None])[:, 0]
                 first, stop = np.searchsorted(dists, d - reach, "left"), np.searchsorted(dists, d + reach, "right")
                 open_ = np.flatnonzero((first < stop) & (homes != row["block"]))
@@ -228,18 +243,23 @@ class Index:
                     a, z = first[q].min(), stop[q].max()
                     s = products(codes[q], x[a:z])
                     near = np.arange(a, z)
-                    wins = (s > score[q][:, None]) | (s == score[q][:, None]) & (rows[a:z] < last[q][:, None])
+                    score, last = scores[q, -1][:, None], found[q, -1][:, None]
+                    wins = (s > score) | (s == score) & (rows[a:z] < last)
                     wins &= (near >= first[q][:, None]) & (near < stop[q][:, None])
                     some = wins.any(axis=1)
                     if not some.any():
                         continue
+                    q = q[some]
                     top, which = best(np.where(wins[some], s[some], -(1 << 62)), rows[a:z], self.k)
-                    at = np.repeat(q[some], top.shape[1])
+                    at = np.repeat(q, top.shape[1])
                     there = top.reshape(-1) > -(1 << 62)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(there.sum(), row["tile"])), pa.array(at[there].astype("i4")), pa.array(ids[at[there]]), pa.array(top.reshape(-1)[there]), pa.array(which.reshape(-1)[there])],
                         schema=FOUND_SCHEMA,
                     )
+                    all_scores, all_ids = np.hstack([scores[q], top]), np.hstack([found[q], np.where(top > -(1 << 62), which, NO_ID)])
+                    order = np.lexsort((all_ids, -all_scores))[:, : self.k]
+                    scores[q], found[q] = np.take_along_axis(all_scores, order, axis=1), np.take_along_axis(all_ids, order, axis=1)
 
     def listed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What tiles know, a row for each query and place."""
@@ -252,16 +272,16 @@ class Index:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(there.sum(), row["tile"])), pa.array(at[there].astype("i4")), pa.array(ids[at[there]]), pa.array(scores[there]), pa.array(found[there])], schema=FOUND_SCHEMA)
 
     def told(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tiles with the lowest score of each query and its id as found since (``news``: q, score, vec_id)."""
+        """Tiles with the best rows of each query as found since (``news``: q, rank, score, vec_id)."""
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                n = len(row["query_ids"]) // 8
-                score = np.frombuffer(row["scores"], "<i8").reshape(n, -1)[:, -1].copy()
-                last = np.frombuffer(row["ids"], "<i8").reshape(n, -1)[:, -1].copy()
-                for x in row.pop("news") or []:
-                    score[x["q"]], last[x["q"]] = x["score"], x["vec_id"]
-                out.append(row | {"scores": score.tobytes(), "ids": last.tobytes()})
+                news = row.pop("news") or []
+                shape = len(row["query_ids"]) // 8, self.k
+                scores, found = np.full(shape, -(1 << 62)), np.full(shape, NO_ID)
+                for x in news:
+                    scores[x["q"], x["rank"] - 1], found[x["q"], x["rank"] - 1] = x["score"], x["vec_id"]
+                out.append(row | {"scores": scores.tobytes(), "ids": found.tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=TILE_SCHEMA)
 
 
@@ -314,7 +334,7 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
         return pairs.join(now, "tile").drop("pivot").join(contents, "block").mapInArrow(index.searched, FOUND)
 
     near = written(top_of_each(found.unionByName(ring(tiles, True)), k), "nearest")
-    last = near.filter(F.col("rank") == k).groupBy("tile").agg(F.collect_list(F.struct("q", "score", "vec_id")).alias("news"))
+    last = near.groupBy("tile").agg(F.collect_list(F.struct("q", "rank", "score", "vec_id")).alias("news"))
     sharper = written(tiles.join(last, "tile", "left").mapInArrow(index.told, TILES), "sharper")
     out = top_of_each(near.drop("rank").unionByName(ring(sharper, False)), k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
