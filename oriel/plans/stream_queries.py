@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from oriel.plans.registry import query, table
 from oriel.streaming import frames as S
+from oriel.streaming import slices as L
 
 _E = "(SELECT event_id AS frame_id, user_id AS stream, ts AS t, event_type AS status, value FROM events)"
 _W = "(PARTITION BY stream ORDER BY t, frame_id)"
@@ -138,3 +139,54 @@ def replay_faults(spark, sf_dir):
 @query(f"SELECT frame_id, status FROM (SELECT *, row_number() OVER {_W} AS n FROM {_E}) WHERE n > 5")
 def frames_after_warmup(spark, sf_dir):
     return S.after_warmup(frames(spark, sf_dir), 5).select("frame_id", "status")
+
+
+#: All events as one stream, cut into slices of so many frames.
+_ONE = _E.replace("user_id AS stream", "0 AS stream")
+_SLICE = 4096
+
+
+def one_stream(spark, sf_dir):
+    return frames(spark, sf_dir).withColumn("stream", F.lit(0).cast("long"))
+
+
+@query(f"""SELECT status, run, count(*) AS length FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY stream ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) AS bigint) AS run FROM (SELECT *, CASE WHEN status IS NOT DISTINCT FROM lag(status) OVER {_W} THEN 0 ELSE 1 END AS c FROM {_ONE})) GROUP BY status, run""")
+def hot_state_runs(spark, sf_dir):
+    return L.runs(one_stream(spark, sf_dir), _SLICE).select("status", "run", "length")
+
+
+@query(f"""SELECT frame_id, CASE WHEN (epoch_us(t) - epoch_us(seen)) / 1000.0 <= 600000 THEN 'following' ELSE 'lostPath' END AS path_state FROM (SELECT *, max(CASE WHEN status = 'view' THEN t END) OVER (PARTITION BY stream ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) AS seen FROM {_ONE})""")
+def hot_lost_path(spark, sf_dir):
+    return L.lost_path(one_stream(spark, sf_dir), 600_000, slice_rows=_SLICE).select("frame_id", "path_state")
+
+
+@query(f"SELECT frame_id, max(CASE WHEN status IN ('obstacle', 'hazard', 'error') THEN 1 ELSE 0 END) OVER {_W3} = 1 AS held FROM {_ONE}")
+def hot_hazard_hold(spark, sf_dir):
+    return L.over_slices(one_stream(spark, sf_dir), 2, lambda f: S.hazard_hold(f, 3, by=L.PART), _SLICE).select("frame_id", "held")
+
+
+@query(f"""SELECT frame_id, quantile_cont(value, 0.95) OVER w AS p95, avg(value) OVER w AS smooth_value FROM {_ONE} WINDOW w AS (PARTITION BY stream ORDER BY t, frame_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def hot_rolling_values(spark, sf_dir):
+    both = lambda f: S.smoothed(S.rolling_p95(f, 20, by=L.PART), 20, by=L.PART)
+    return L.over_slices(one_stream(spark, sf_dir), 19, both, _SLICE).select("frame_id", "p95", "smooth_value")
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT frame_id, epoch_us(t) AS t FROM {_ONE}), a AS (SELECT min(t) AS t FROM e UNION ALL SELECT (SELECT min(e.t) FROM e WHERE e.t >= a.t + 43200000000) FROM a WHERE a.t IS NOT NULL)
+SELECT frame_id, t NOT IN (SELECT t FROM a WHERE t IS NOT NULL) AS dropped FROM e""")
+def hot_busy_drops(spark, sf_dir):
+    """One stream, busy for twelve hours with each frame that it takes."""
+    return L.accepted_when_free(one_stream(spark, sf_dir), 43_200_000, _SLICE).select("frame_id", "dropped")
+
+
+@query(f"""WITH f AS (SELECT *, epoch_us(t) AS u, {_KIND} AS kind, CAST(floor(value) AS bigint) % 3 AS tracked, value > 90 AS halt FROM {_E}),
+g AS (SELECT *, CAST(list_position(['drop', 'obstacle', 'lost_path', 'direction', 'object'], kind) AS integer) AS priority, min(CASE WHEN halt THEN frame_id END) OVER (PARTITION BY stream, u) AS first FROM f),
+h AS (SELECT *, count(*) FILTER (halt AND first = frame_id) OVER (PARTITION BY stream ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS epoch, count(*) FILTER (NOT halt) OVER (PARTITION BY stream, u) AS flushed FROM g),
+k AS (SELECT *, (u - lag(u) OVER (PARTITION BY stream, tracked, kind, epoch ORDER BY u, frame_id)) / 1000.0 AS since FROM h WHERE NOT halt)
+SELECT frame_id, kind, priority, priority <= 2 AS cancels, 0::bigint AS flushed FROM (SELECT *, row_number() OVER (PARTITION BY stream, u ORDER BY priority, frame_id) AS n FROM k WHERE first IS NULL AND (priority <= 2 OR since IS NULL OR since > 864000000)) WHERE n = 1
+UNION ALL SELECT frame_id, 'STOP', 0, true, flushed FROM h WHERE halt AND first = frame_id""")
+def stop_feedback(spark, sf_dir):
+    """Announcements with STOP, which flushes what waits and forgets what was said."""
+    s = F.col("status")
+    kind = F.when(s == "error", "drop").when(s == "purchase", "obstacle").when(s == "view", "lost_path").when(s == "signup", "direction").otherwise("object")
+    f = frames(spark, sf_dir).withColumns({"kind": kind, "tracked": F.floor("value") % 3, "halt": F.col("value") > 90})
+    return S.announced(f, "kind", "tracked", 864_000_000, stop="halt").select("frame_id", "kind", "priority", "cancels", "flushed")

@@ -33,10 +33,15 @@ def status_totals(frames: DataFrame) -> DataFrame:
     return frames.groupBy("status").agg(F.count(F.lit(1)).alias("frames"), F.sum("value").alias("total_value"), F.max("value").alias("max_value"))
 
 
-def after_warmup(frames: DataFrame, warmup: int) -> DataFrame:
-    """Frames of each stream but for its first ``warmup`` ones."""
-    n = F.row_number().over(Window.partitionBy("stream").orderBy("captured_at", "frame_id"))
-    return frames.withColumn("_n", n).filter(F.col("_n") > warmup).drop("_n")
+def after_warmup(frames: DataFrame, warmup: int, strict: bool = False) -> DataFrame:
+    """Frames of each stream but for its first ``warmup`` ones. ``strict``: an error if a stream has no more than those, as
+    it then has nothing to be measured."""
+    w = Window.partitionBy("stream")
+    x = frames.withColumn("_n", F.row_number().over(w.orderBy("captured_at", "frame_id")))
+    if not strict:
+        return x.filter(F.col("_n") > warmup).drop("_n")
+    short = F.when(F.count(F.lit(1)).over(w) > warmup, F.lit(False)).otherwise(F.raise_error(F.lit(f"a stream ends in its warm-up of {warmup} frames")).cast("boolean"))
+    return x.withColumn("_short", short).filter((F.col("_n") > warmup) & ~F.col("_short")).drop("_n", "_short")
 
 
 def fresh(frames: DataFrame, processed_at: str, ttl_ms: int) -> DataFrame:
@@ -45,13 +50,17 @@ def fresh(frames: DataFrame, processed_at: str, ttl_ms: int) -> DataFrame:
     return frames.withColumn("age_ms", age).withColumn("stale", F.coalesce(age > ttl_ms, F.lit(True)))
 
 
-def _in_order() -> Window:
-    return Window.partitionBy("stream").orderBy("captured_at", "frame_id")
+#: What windows are cut by; ``slices`` cuts streams further.
+STREAM = ("stream",)
 
 
-def gaps(frames: DataFrame, limit_ms: int) -> DataFrame:
+def _in_order(by: tuple[str, ...] = STREAM) -> Window:
+    return Window.partitionBy(*by).orderBy("captured_at", "frame_id")
+
+
+def gaps(frames: DataFrame, limit_ms: int, by: tuple[str, ...] = STREAM) -> DataFrame:
     """Frames that came over ``limit_ms`` after the one before of their stream: what a watchdog reports."""
-    since = (F.unix_micros("captured_at") - F.unix_micros(F.lag("captured_at").over(_in_order()))) / F.lit(1000.0)
+    since = (F.unix_micros("captured_at") - F.unix_micros(F.lag("captured_at").over(_in_order(by)))) / F.lit(1000.0)
     return frames.withColumn("gap_ms", since).filter(F.col("gap_ms") > limit_ms)
 
 
@@ -62,16 +71,16 @@ def runs(frames: DataFrame) -> DataFrame:
     return numbered.groupBy("stream", "run", "status").agg(F.count(F.lit(1)).alias("length"), F.min("captured_at").alias("first_at"), F.max("captured_at").alias("last_at"))
 
 
-def stable(frames: DataFrame, least: int = 3) -> DataFrame:
+def stable(frames: DataFrame, least: int = 3, by: tuple[str, ...] = STREAM) -> DataFrame:
     """Adds ``stable_status``: the status once it has lasted ``least`` frames; a critical one holds at once."""
-    w = _in_order().rowsBetween(-(least - 1), 0)
+    w = _in_order(by).rowsBetween(-(least - 1), 0)
     same = (F.count(F.lit(1)).over(w) == least) & (F.min("status").over(w) == F.max("status").over(w)) & (F.count("status").over(w) == least)
     return frames.withColumn("stable_status", F.when(F.col("status").isin(*CRITICAL), F.col("status")).when(same, F.col("status")))
 
 
-def hazard_hold(frames: DataFrame, least: int = 3) -> DataFrame:
+def hazard_hold(frames: DataFrame, least: int = 3, by: tuple[str, ...] = STREAM) -> DataFrame:
     """Adds ``held``: a critical frame stops at once; release only after ``least`` frames in a row without one."""
-    w = _in_order().rowsBetween(-(least - 1), 0)
+    w = _in_order(by).rowsBetween(-(least - 1), 0)
     recent = F.max(F.col("status").isin(*CRITICAL).cast("int")).over(w)
     return frames.withColumn("held", F.coalesce(recent == 1, F.lit(True)))
 
@@ -84,19 +93,19 @@ def lost_path(frames: DataFrame, limit_ms: int = 2500, seen: str = "view") -> Da
     return frames.withColumn("path_state", F.when(age <= limit_ms, "following").otherwise("lostPath"))
 
 
-def rolling_p95(frames: DataFrame, window: int = 20, profiles: tuple[float, float] = (200.0, 500.0)) -> DataFrame:
+def rolling_p95(frames: DataFrame, window: int = 20, profiles: tuple[float, float] = (200.0, 500.0), by: tuple[str, ...] = STREAM) -> DataFrame:
     """Adds the exact 95th percentile of the last ``window`` values and its profile."""
-    w = _in_order().rowsBetween(-(window - 1), 0)
+    w = _in_order(by).rowsBetween(-(window - 1), 0)
     p = F.percentile("value", F.lit(0.95)).over(w)
     return frames.withColumn("p95", p).withColumn("profile", F.when(F.col("p95") <= profiles[0], "full").when(F.col("p95") <= profiles[1], "reduced").otherwise("minimal"))
 
 
-def frozen(frames: DataFrame, columns: tuple[str, ...] = ("value",)) -> DataFrame:
+def frozen(frames: DataFrame, columns: tuple[str, ...] = ("value",), by: tuple[str, ...] = STREAM) -> DataFrame:
     """Frames equal to the one before of their stream in any of ``columns`` (a content hash, a time, a value): a camera
     that repeats itself."""
     same = F.lit(False)
     for c in columns:
-        same = same | F.coalesce(F.col(c) == F.lag(c).over(_in_order()), F.lit(False))
+        same = same | F.coalesce(F.col(c) == F.lag(c).over(_in_order(by)), F.lit(False))
     return frames.withColumn("_same", same).filter("_same").drop("_same")
 
 
@@ -108,8 +117,8 @@ def area_depth(samples: str, least: float = 0.0) -> Column:
     return F.when(n > 0, middle)
 
 
-def smoothed(frames: DataFrame, window: int = 5) -> DataFrame:
-    w = _in_order().rowsBetween(-(window - 1), 0)
+def smoothed(frames: DataFrame, window: int = 5, by: tuple[str, ...] = STREAM) -> DataFrame:
+    w = _in_order(by).rowsBetween(-(window - 1), 0)
     return frames.withColumn("smooth_value", F.avg("value").over(w)).withColumn("median_value", F.percentile("value", F.lit(0.5)).over(w))
 
 
@@ -121,17 +130,34 @@ def cooled_down(frames: DataFrame, cooldown_ms: int) -> DataFrame:
     return frames.withColumn("_s", since).filter(F.col("_s").isNull() | (F.col("_s") > cooldown_ms) | F.col("status").isin(*CRITICAL)).drop("_s")
 
 
-def announced(frames: DataFrame, kind: str, tracked: str, cooldown_ms: int) -> DataFrame:
+def announced(frames: DataFrame, kind: str, tracked: str, cooldown_ms: int, stop: str | None = None) -> DataFrame:
     """What is said: of each stream and moment the most urgent kind of ``PRIORITIES`` (then the lowest frame); one that
     isn't critical only if its object had no frame of that kind for ``cooldown_ms`` before. Adds ``priority`` and ``cancels``: a
-    critical one stops what is being said."""
+    critical one stops what is being said.
+
+    With a flag ``stop``, a moment in which it is set says STOP alone (priority 0, of its lowest such frame): the ``flushed`` messages
+    of that moment aren't said, and what was said before is forgotten.
+    """
     rank = F.array_position(F.array(*(F.lit(p) for p in PRIORITIES)), F.col(kind)).cast("int")
-    own = Window.partitionBy("stream", tracked, kind).orderBy("captured_at", "frame_id")
+    keys, x, stops = ["stream", tracked, kind], frames.withColumn("priority", rank), None
+    if stop:
+        moment = Window.partitionBy("stream", "captured_at")
+        told = F.coalesce(F.col(stop), F.lit(False))
+        x = x.withColumn("_stop", told).withColumn("_first", F.min(F.when(told, F.col("frame_id"))).over(moment)).withColumn("flushed", F.count_if(~told & (F.col("priority") > 0)).over(moment))
+        is_first = F.coalesce(F.col("_stop") & (F.col("_first") == F.col("frame_id")), F.lit(False))
+        before = Window.partitionBy("stream").orderBy(F.unix_micros("captured_at")).rangeBetween(Window.unboundedPreceding, -1)
+        x = x.withColumn("_is_first", is_first).withColumn("_epoch", F.coalesce(F.sum(F.col("_is_first").cast("int")).over(before), F.lit(0)))
+        stops = x.filter("_is_first").withColumns({kind: F.lit("STOP"), "priority": F.lit(0), "cancels": F.lit(True)}).drop("_stop", "_first", "_is_first", "_epoch")
+        x, keys = x.filter("NOT _stop"), [*keys, "_epoch"]
+    own = Window.partitionBy(*keys).orderBy("captured_at", "frame_id")
     since = (F.unix_micros("captured_at") - F.unix_micros(F.lag("captured_at").over(own))) / F.lit(1000.0)
-    x = frames.withColumn("priority", rank).filter("priority > 0").withColumn("_since", since).withColumn("cancels", F.col("priority") <= 2)
+    x = x.filter("priority > 0").withColumn("_since", since).withColumn("cancels", F.col("priority") <= 2)
     x = x.filter(F.col("cancels") | F.col("_since").isNull() | (F.col("_since") > cooldown_ms)).drop("_since")
+    if stop:
+        x = x.filter(F.col("_first").isNull()).withColumn("flushed", F.lit(0).cast("long")).drop("_stop", "_first", "_is_first", "_epoch")
     first = F.row_number().over(Window.partitionBy("stream", "captured_at").orderBy("priority", "frame_id"))
-    return x.withColumn("_first", first).filter("_first = 1").drop("_first")
+    said = x.withColumn("_said", first).filter("_said = 1").drop("_said")
+    return said if stops is None else said.unionByName(stops)
 
 
 def accepted_when_free(frames: DataFrame, service_ms: int) -> DataFrame:
