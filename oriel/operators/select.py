@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,33 +32,67 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     return dealt.join(F.broadcast(starts), "_part").withColumn("rank", (F.col("_before") + F.row_number().over(within)).cast("long")).drop("_part", "_before")
 
 
-def budget_select(rows: DataFrame, order: str, size: str, budget: int, most: int) -> DataFrame:
-    """Rows taken greedily in the order of ``order``: one is skipped if it would exceed ``budget``, and at most ``most`` are taken.
+#: Rows of a block in the order of a budget, and rows that one task walks at a time.
+BLOCK_ROWS = 100_000
+
+
+def _walk(order: str, room: int, n: int):
+    """Takes rows in order as long as there is room: their keys and numbers, and a last row that tells where the step ended."""
+
+    def walk(step: pd.DataFrame) -> pd.DataFrame:
+        out, left, taken = [], room, n
+        for key, s in step.sort_values(order)[[order, "_size"]].itertuples(index=False):
+            if s <= left:
+                left, taken = left - s, taken + 1
+                out.append((key, taken, left, len(step)))
+        out.append((step[order].max(), None, left, len(step)))
+        kinds = {order: step[order].dtype, "take": "Int32", "left": "int64", "seen": "int64"}
+        return pd.DataFrame({c: pd.Series(v, dtype=t) for (c, t), v in zip(kinds.items(), zip(*out, strict=True), strict=True)})
 
-    As the rest of the budget only shrinks, a row larger than it never fits later. So each step asks
-    for the next rows that still fit, at most as many as may be taken, and walks all of them, passing over those that
-    no longer fit; rows that weren't asked for wouldn't fit either. Each step takes its first row at least and mostly as
-    many as the budget holds, so steps are few; none moves over ``most`` rows.
+    return walk
+
+
+def budget_select(rows: DataFrame, order: str, size: str, budget: int, most: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows taken greedily in the order of ``order`` (unique): one is skipped if it would exceed ``budget``, and at most ``most`` are
+    taken. Adds ``take``, the number of the row among those taken. A row without a size is never taken.
+
+    Rows are dealt into blocks by order. As long as whole blocks fit, running sums over one row for each block tell that all
+    of their rows are taken. Where something is skipped, the rest of the budget is small, and as it only shrinks, a row larger
+    than it never fits later: each step gives a task the next ``block_rows`` rows that still fit, which it walks; the driver
+    sees only what is left.
     """
-    checked_range("most", most, 1, 100_000)
-    taken: list = []
-    left, last = budget, None
-    while len(taken) < most:
-        fits = rows.filter(F.col(size) <= left)
-        if last is not None:
-            fits = fits.filter(F.col(order) > last)
-        asked = most - len(taken)
-        step = fits.select(order, size).orderBy(order).limit(asked).collect()
-        for r in step:
-            if r[size] <= left:
-                left -= r[size]
-                taken.append(r[order])
-        if len(step) < asked:
+    checked_range("most", most, 1, 1 << 62)
+    sized = rows.select(order, F.col(size).cast("long").alias("_size")).filter(F.col("_size").isNotNull())
+    parts = max(1, -(-sized.count() // block_rows))
+    dealt = written(sized.repartitionByRange(parts, order).withColumn("_block", F.spark_partition_id()), "blocks")
+    blocks = dealt.groupBy("_block").agg(F.sum("_size").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.min("_size").alias("_least"))
+    upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    running = blocks.withColumns({"_used": F.sum("_sum").over(upto), "_taken": F.sum("_n").over(upto), "_least": F.min("_least").over(upto)})
+    whole = running.filter((F.col("_used") <= budget) & (F.col("_taken") <= most) & (F.col("_least") >= 0))
+    head = whole.agg(F.max("_block").alias("b"), F.coalesce(F.max("_used"), F.lit(0)).alias("used"), F.coalesce(F.max("_taken"), F.lit(0)).alias("n")).first()
+    left, taken, last = budget - head["used"], head["n"], None
+    starts = F.broadcast(whole.select("_block", (F.col("_taken") - F.col("_n")).alias("_before")))  # one row for each block
+    within = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    chosen = [dealt.join(starts, "_block").select(order, (F.col("_before") + within).cast("int").alias("take"))] if head["n"] else []
+    rest = dealt if head["b"] is None else dealt.filter(F.col("_block") > head["b"])
+    kinds = T.StructType([rows.schema[order], T.StructField("take", T.IntegerType()), T.StructField("left", T.LongType()), T.StructField("seen", T.LongType())])
+    while taken < most:
+        fits = rest.filter(F.col("_size") <= left)
+        fits = fits if last is None else fits.filter(F.col(order) > F.lit(last))
+        asked = min(most - taken, block_rows)
+        step = written(fits.select(order, "_size").orderBy(order).limit(asked).withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_walk(order, left, taken), kinds), "step")
+        end = step.filter("take IS NULL").first()
+        if end is None:
+            break
+        new = step.filter("take IS NOT NULL").select(order, "take")
+        taken += new.count()
+        chosen.append(new)
+        left, last = end["left"], end[order]
+        if end["seen"] < asked:
             break
-        last = step[-1][order]
-    schema = T.StructType([T.StructField(order, rows.schema[order].dataType), T.StructField("take", T.IntegerType())])
-    chosen = rows.sparkSession.createDataFrame([(k, i + 1) for i, k in enumerate(taken)], schema)
-    return rows.join(F.broadcast(chosen), order)
+    if not chosen:
+        return rows.limit(0).withColumn("take", F.lit(0))
+    return rows.join(reduce(DataFrame.unionByName, chosen), order)
 
 
 def holdout_head(ranked_rows: DataFrame, share: float = 0.1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from oriel.functions.hashing import assigned_split, content_hash, hash_bucket, text_difference_hash
+from oriel.functions.hashing import assigned_split, content_hash, hash_bucket, seeded_key, text_difference_hash
 from oriel.operators import dedup as D
 from oriel.operators import metrics as M
 from oriel.operators import pairing as P
@@ -123,7 +123,7 @@ def curation_waterfall(spark, sf_dir):
     d = hashed(spark, sf_dir)
     protected = d.filter("source = 'src0'")
     exact = protected.select("hash", F.lit(True).alias("_exact")).distinct()
-    near = D.near_hashes(d, protected, NEAR).select(F.col("a").alias("hash"), F.lit(True).alias("_near")).distinct()
+    near = D.near_any(d.select("hash").distinct(), protected, NEAR).select("hash", F.lit(True).alias("_near"))
     first = d.groupBy("hash").agg(F.min("idx").alias("_first"))
     x = d.join(first, "hash").join(exact, "hash", "left").join(near, "hash", "left")
     public = F.col("source") != "src0"
@@ -131,6 +131,27 @@ def curation_waterfall(spark, sf_dir):
     return V.reason_counts(V.waterfall(x, rules))
 
 
+_PUBLIC = "source NOT IN ('src0', 'src1')"
+
+
+@query(f"""WITH RECURSIVE a AS MATERIALIZED (SELECT h.idx, h.source, h.h, sha256(d.text) AS key, l.doc_id IS NOT NULL AS paired, coalesce(l.quality = 1, false) AS valid FROM {_HASHED} AS h JOIN documents AS d ON d.doc_id = h.idx LEFT JOIN labels AS l ON l.doc_id = h.idx),
+p AS MATERIALIZED (SELECT * FROM a WHERE source = 'src0'), s AS MATERIALIZED (SELECT * FROM a WHERE source = 'src1'),
+c AS MATERIALIZED (SELECT idx, h, key, row_number() OVER (ORDER BY sha256('9:' || CAST(idx AS varchar))) AS rank,
+ CASE WHEN NOT paired THEN 'unpaired' WHEN NOT valid THEN 'invalid_pair' WHEN key IN (SELECT key FROM p) THEN 'protected_exact' WHEN key IN (SELECT key FROM s) THEN 'station_exact' END AS early,
+ CASE WHEN EXISTS (SELECT 1 FROM p WHERE bit_count(xor(p.h, a.h)) <= {NEAR}) THEN 'protected_near' WHEN EXISTS (SELECT 1 FROM s WHERE bit_count(xor(s.h, a.h)) <= {NEAR}) THEN 'station_near' END AS near FROM a WHERE {_PUBLIC}),
+e AS MATERIALIZED (SELECT x.rank AS a, list(y.rank) AS before FROM c AS x JOIN c AS y ON y.rank < x.rank AND bit_count(xor(x.h, y.h)) <= {NEAR} WHERE x.early IS NULL AND x.near IS NULL GROUP BY x.rank),
+w AS (SELECT 0::bigint AS rank, CAST([] AS bigint[]) AS kept UNION ALL SELECT w.rank + 1, CASE WHEN c.early IS NULL AND c.near IS NULL AND (e.a IS NULL OR len(list_filter(e.before, lambda x: list_contains(w.kept, x))) = 0) THEN list_append(w.kept, w.rank + 1) ELSE w.kept END FROM w JOIN c ON c.rank = w.rank + 1 LEFT JOIN e ON e.a = w.rank + 1),
+f AS (SELECT kept FROM w ORDER BY rank DESC LIMIT 1), k AS MATERIALIZED (SELECT c.rank, c.key FROM c, f WHERE list_contains(f.kept, c.rank))
+SELECT idx, CASE WHEN early IS NOT NULL THEN early WHEN EXISTS (SELECT 1 FROM k WHERE k.key = c.key AND k.rank < c.rank) THEN 'public_exact' WHEN near IS NOT NULL THEN near WHEN rank IN (SELECT rank FROM k) THEN 'retained' ELSE 'public_near' END AS reason FROM c""")
+def subset_waterfall(spark, sf_dir):
+    """All reasons in order: labels are the other half of a pair, bad quality makes it invalid, two sources are protected and station content."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.sha2("text", 256).alias("key"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), F.lit(True).alias("paired"), (F.col("quality") == 1).alias("valid"))
+    a = written(hashed(spark, sf_dir).join(d, "idx").join(labels, "idx", "left").withColumn("rank", seeded_key(9, "idx")), "subset")
+    of = lambda s: a.filter(F.col("source") == s).select("key", "hash")
+    return D.subset_reasons(a.filter(_PUBLIC), of("src0"), of("src1"), NEAR).select("idx", "reason")
+
+
 @query(f"SELECT doc_id, CAST(b AS integer) AS bucket, {_SPLIT} AS split FROM (SELECT doc_id, {bucket_sql(42, 'lang', 'source')} AS b FROM documents)")
 def hash_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", hash_bucket(42, "lang", "source").alias("bucket"), assigned_split(42, "lang", "source").alias("split"))

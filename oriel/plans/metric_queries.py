@@ -105,7 +105,7 @@ def deployment_gate(spark, sf_dir):
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS p50_ms, quantile_cont(value, 0.95) AS p95_ms, quantile_cont(value, 0.99) AS p99_ms FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*M.percentiles("value", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}))
+    return M.exact_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
 
 
 @query("SELECT n, mean_ms, p50_ms, p95_ms, max_ms, 1000.0 / mean_ms AS rate FROM (SELECT count(value) AS n, avg(value) AS mean_ms, quantile_cont(value, 0.5) AS p50_ms, quantile_cont(value, 0.95) AS p95_ms, max(value) AS max_ms FROM events)")
@@ -115,7 +115,7 @@ def timing_summary(spark, sf_dir):
 
 @query("SELECT event_type, median(value) AS median_ms FROM events GROUP BY event_type")
 def median_latency(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("median_ms"))
+    return M.exact_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"median_ms": 0.5})
 
 
 @query("SELECT coalesce(max(value) FILTER (event_type = 'no such type'), 0.0) AS peak_missing, coalesce(max(value), 0.0) AS peak FROM events")

@@ -1,6 +1,7 @@
 """Literal cases of the curation and evaluation operators."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,136 @@ def test_require(spark):
         V.require_unique(d, "k").collect()
     with pytest.raises(Exception, match="must be two"):
         V.require(d, F.col("k") == 2, "must be two").collect()
+
+
+def family(r, n, spread=3):
+    """A third of all hashes in one family, and some chains."""
+    centre, hashes = r.getrandbits(64), []
+    for i in range(n):
+        if i % 3 == 0:
+            h = centre
+            for _ in range(r.randint(0, spread)):
+                h ^= 1 << r.randrange(64)
+        elif i % 3 == 1 and hashes:
+            h = hashes[-1] % (1 << 64) ^ 1 << r.randrange(64) ^ 1 << r.randrange(64)
+        else:
+            h = r.getrandbits(64)
+        hashes.append(h - (1 << 64) if h >> 63 else h)
+    return hashes
+
+
+def bits(a, b):
+    return ((a ^ b) & ((1 << 64) - 1)).bit_count()
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 3, 5, 8])
+def test_half_keys_find_all_near_hashes(spark, threshold):
+    r = random.Random(threshold)
+    hashes = family(r, 60, threshold)
+    d = spark.createDataFrame([(h,) for h in hashes], "hash long")
+    keys = {x["hash"]: x["k"] for x in d.select("hash", D.half_keys("hash", threshold).alias("k")).collect()}
+    assert max(map(len, keys.values())) <= 30
+    for a in hashes:
+        for b in hashes:
+            if bits(a, b) <= threshold:
+                assert set(keys[a]) & set(keys[b])
+
+
+def test_rising_ranges_and_greedy_ranges_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(D, "FIRST_RANGE", 3)
+    monkeypatch.setattr(D, "GROWTH", 4)
+    monkeypatch.setattr(D, "HEAD", 12)
+    r = random.Random(11)
+    hashes = family(r, 150)
+    rows = [(i, h, r.choice("abc")) for i, h in enumerate(hashes)]
+    d = spark.createDataFrame(rows, "idx long, hash long, split string").repartition(3).cache()
+    first = {i: next((j for j in range(i) if bits(hashes[i], hashes[j]) <= 5), None) for i in range(150)}
+    got = {x["idx"]: (x["match_idx"], x["distance"]) for x in D.first_near(d, 5).collect()}
+    assert got == {i: (j, None if j is None else bits(hashes[i], hashes[j])) for i, j in first.items()}
+    other = {i: next((j for j in range(i) if rows[j][2] != rows[i][2] and bits(hashes[i], hashes[j]) <= 5), None) for i in range(150)}
+    got = {x["idx"]: (x["match_idx"], x["match_split"]) for x in D.split_leaks(d, 5, "all_pairs").collect()}
+    assert got == {i: (j, rows[j][2]) for i, j in other.items() if j is not None}
+    kept = []
+    for i in range(150):
+        if all(bits(hashes[i], hashes[k]) > 5 for k in kept):
+            kept.append(i)
+    for fold in (D.FOLD_PAIRS, 4):
+        monkeypatch.setattr(D, "FOLD_PAIRS", fold)
+        out = D.greedy_keep(d.withColumnRenamed("idx", "rank"), 5).collect()
+        assert sorted(x["rank"] for x in out if x["kept"]) == kept and len(out) == 150
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    h, chain = 0, []
+    for i in range(3000):
+        h ^= 0b111 << (3 * (i % 21))  # within 5 bits of the one before only
+        chain.append((i, h - (1 << 64) if h >> 63 else h))
+    made = []
+    real = D.written
+    monkeypatch.setattr(D, "written", lambda df, name: made.append(name) or real(df, name))
+    d = spark.createDataFrame(chain, "rank long, hash long")
+    kept = []
+    for i, x in chain:
+        if all(bits(x, chain[k][1]) > 5 for k in kept):
+            kept.append(i)
+    assert sorted(x["rank"] for x in D.greedy_keep(d, 5).collect() if x["kept"]) == kept
+    assert len(made) <= 10
+
+
+@pytest.mark.parametrize("limit", [None, 4])
+def test_subset_reasons_in_order(spark, limit):
+    r = random.Random(21)
+    hashes = [r.getrandbits(60) for _ in range(12)]
+    near = lambda h: h ^ 0b101
+    row = lambda i, key, h, paired=True, valid=True: (i, key, h, paired, valid)
+    public = [
+        row(1, "a", hashes[0], False), row(2, "a", hashes[0], None), row(3, "b", hashes[1], True, None), row(4, "p", hashes[2]), row(5, "s", hashes[3]),
+        row(6, "c", hashes[4]), row(7, "c", hashes[4]), row(8, "d", near(hashes[2])), row(9, "e", near(hashes[3])), row(10, "f", near(hashes[4])), row(11, "f", near(hashes[4])),
+        row(12, "g", hashes[5]), row(13, None, hashes[6]), row(14, None, hashes[6]), row(15, None, None), row(16, "h", hashes[7]), row(17, "d", near(hashes[2])), row(18, "g", hashes[5]),
+    ]
+    want = {1: "unpaired", 2: "unpaired", 3: "invalid_pair", 4: "protected_exact", 5: "station_exact", 6: "retained", 7: "public_exact", 8: "protected_near", 9: "station_near", 10: "public_near", 11: "public_near",
+            12: "retained", 13: "retained", 14: "public_near", 15: "retained", 16: "retained", 17: "protected_near", 18: "public_exact"}
+    if limit:
+        want = {k: v if k <= 15 else None for k, v in want.items()}
+    d = spark.createDataFrame(public, "rank long, key string, hash long, paired boolean, valid boolean").repartition(3)
+    sets = [spark.createDataFrame([(k, h), (None, None)], "key string, hash long") for k, h in (("p", hashes[2]), ("s", hashes[3]))]
+    assert {x["rank"]: x["reason"] for x in D.subset_reasons(d, *sets, 5, limit).collect()} == want
+
+
+@pytest.mark.parametrize("bins", [4096, 3, 1])
+def test_exact_percentiles_equal_the_built_in(spark, bins):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), r.choice([float(r.randint(-4, 4)), r.gauss(0, 1), 1e9 * r.random(), None])) for _ in range(400)] + [("c", 5.0), ("d", None), ("e", 2.0), ("e", 2.0)]
+    d = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    names = {"low": 0.0, "p33": 0.33, "p50": 0.5, "p95": 0.95, "top": 1.0}
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(M.exact_percentiles(d, ["k"], "v", names, bins)) == plain(d.groupBy("k").agg(*M.percentiles("v", names)))
+    assert plain(M.exact_percentiles(d, [], "v", names, bins)) == plain(d.agg(*M.percentiles("v", names)))
+    assert plain(M.exact_percentiles(d.limit(0), [], "v", names)) == plain(d.limit(0).agg(*M.percentiles("v", names)))
+
+
+@pytest.mark.parametrize("budget, most", [(900, 1000), (900, 7), (0, 5), (10**6, 1000), (250, 30)])
+def test_budget_walk_over_blocks(spark, budget, most):
+    r = random.Random(budget + most)
+    rows = [(f"{i:04d}", r.choice([0, 1, 3, 20, 90, 400, None])) for i in range(200)]
+    left, want = budget, []
+    for k, n in rows:
+        if n is not None and n <= left and len(want) < most:
+            left -= n
+            want.append((k, len(want) + 1))
+    d = spark.createDataFrame(rows, "k string, n int").repartition(4)
+    for block in (11, 100_000):
+        got = S.budget_select(d, "k", "n", budget, most, block_rows=block).orderBy("take").collect()
+        assert [(x["k"], x["take"]) for x in got] == want
+
+
+def test_threshold_reports_sum_up_once(spark):
+    r = random.Random(5)
+    rows = [(r.choice([True, False, None]), r.choice([None, 0.1, 0.5, 0.7, 0.9]), r.choice([None, r.random()])) for _ in range(200)]
+    d = spark.createDataFrame(rows, "t boolean, s double, i double")
+    each = d.withColumn("threshold", F.explode(F.array(*map(F.lit, (0.3, 0.5, 0.8)))))
+    hit = F.col("s") >= F.col("threshold")
+    want = each.groupBy("threshold").agg(*M.confusion("t", hit), M.mean_iou("t", F.when(hit, F.col("i")).otherwise(F.lit(0.0))).alias("mean_iou")).collect()
+    got = {x["threshold"]: x for x in M.threshold_reports(d, [0.5, 0.3, 0.8], "t", "s", "i").collect()}
+    for w in want:
+        assert all(got[w["threshold"]][c] == (pytest.approx(w[c]) if w[c] is not None else None) for c in w.asDict())
