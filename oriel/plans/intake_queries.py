@@ -21,7 +21,8 @@ from oriel.operators import select as S
 from oriel.operators import validate as V
 from oriel.plans.registry import query, table
 from oriel.plans.tables import shared_path
-from oriel.sources import readers, schemas, sinks
+from oriel.sources import commits, readers, schemas, sinks
+from oriel.sources.files import written_files
 
 
 def _customers(spark, sf_dir):
@@ -117,9 +118,8 @@ def polygon_lines(spark, sf_dir):
 def file_scan(spark, sf_dir):
     """Files of either suffix are listed in any case and hashed whole."""
     folder = shared_path(spark, "files")
-    n = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows: a file for each
-    for r in n:
-        sinks._write_text(spark, f"{folder}/f{r['n_nationkey']}.{'txt' if r['n_nationkey'] % 2 == 0 else 'JPG'}", r["n_name"])
+    name = F.concat(F.lit(f"{folder}/f"), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, ".txt").otherwise(".JPG"))
+    table(spark, sf_dir, "nation").select(name.alias("path"), F.col("n_name").cast("binary").alias("content")).transform(written_files).count()
     files = readers.list_files(spark, folder, (".jpg", ".txt")).select("path", "length", "stem", X.suffix("path").alias("suffix"))
     return files.join(readers.file_hashes(spark, folder).select("path", "sha256"), "path").select("stem", "length", "sha256", "suffix")
 
@@ -277,6 +277,19 @@ def committed_version(spark, sf_dir):
     return spark.read.parquet(f"{root}/{version}/nation")
 
 
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'overdrawn' ELSE c_mktsegment END AS state, c_acctbal FROM customer UNION ALL SELECT -1 - s_suppkey, 'supplier', s_acctbal FROM supplier""")
+def upserted_table(spark, sf_dir):
+    """A table behind a log of commits: customers, then two upserts, of which the second one changes what the first one did."""
+    root = shared_path(spark, "log")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("state"), "c_acctbal")
+    commits.write_table(c, root, "c_custkey", buckets=8)
+    over = c.filter("c_acctbal < 0")
+    commits.upsert_table(over.withColumn("state", F.lit("first")), root)
+    s = table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("c_custkey"), F.lit("supplier").alias("state"), F.col("s_acctbal").alias("c_acctbal"))
+    commits.upsert_table(over.withColumn("state", F.lit("overdrawn")).unionByName(s), root)
+    return commits.read_table(spark, root)
+
+
 _STATUS = "CASE WHEN quality IS NULL THEN 'unreviewed' ELSE 'provisional' END"
 
 
