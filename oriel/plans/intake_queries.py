@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from oriel.functions import expressions as X
 from oriel.functions import geometry as G
 from oriel.functions.hashing import image_difference_hash
+from oriel.functions import masks as MK
 from oriel.functions.media import polygon_mask
 from oriel.operators import curate as C
 from oriel.operators import metrics as M
@@ -456,6 +457,27 @@ def mask_iou(spark, sf_dir):
     return e.select("vec_id", G.binary_iou("t", "p").alias("iou"))
 
 
+def _inside(first: int, n: int) -> str:
+    """SQL of the pixels (x, y) that a polygon of ``n`` points from value ``first`` of a vector on fills: centres inside of it, or within half a pixel of an edge."""
+    at = lambda k: f"round_even(CAST(embedding[{first + 2 * (k % n)}] AS double) * 60 + 16, 0)", lambda k: f"round_even(CAST(embedding[{first + 2 * (k % n) + 1}] AS double) * 45 + 12, 0)"
+    edges = ", ".join(f"{{'x1': {at[0](k)}, 'y1': {at[1](k)}, 'x2': {at[0](k + 1)}, 'y2': {at[1](k + 1)}}}" for k in range(n))
+    crosses = "(e.y1 > y) <> (e.y2 > y) AND x < (e.x2 - e.x1) * (y - e.y1) / (e.y2 - e.y1) + e.x1"
+    t = "least(greatest(((x - e.x1) * (e.x2 - e.x1) + (y - e.y1) * (e.y2 - e.y1)) / greatest((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1), 1e-12), 0), 1)"
+    near = f"greatest(abs(e.x1 + {t} * (e.x2 - e.x1) - x), abs(e.y1 + {t} * (e.y2 - e.y1) - y)) < 0.5"
+    return f"(SELECT (count(*) FILTER ({crosses})) % 2 = 1 OR bool_or({near}) FROM (SELECT unnest([{edges}]) AS e))"
+
+
+@query(f"""WITH p AS (SELECT vec_id, {_inside(1, 5)} AS a, {_inside(11, 7)} AS b FROM embeddings, (SELECT CAST(unnest(range(32)) AS double) AS x), (SELECT CAST(unnest(range(24)) AS double) AS y)),
+n AS (SELECT vec_id, count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b, count(*) FILTER (a AND b) AS n_both, count(*) FILTER (a OR b) AS n_either FROM p GROUP BY vec_id)
+SELECT *, CASE WHEN n_either = 0 THEN 1.0 ELSE n_both / n_either END AS iou, n_a / 768 AS coverage FROM n""")
+def polygon_overlaps(spark, sf_dir):
+    """Two polygons of any shape, also crossing themselves and leaving the grid, from the values of each vector: filled on a grid of 32 by 24 pixels as runs."""
+    v = lambda k, scale, middle: F.rint(F.element_at("embedding", k).cast("double") * scale + middle)
+    polygon = lambda first, n: F.array(F.array(*(F.struct(v(first + 2 * k, 60, 16).alias("x"), v(first + 2 * k + 1, 45, 12).alias("y")) for k in range(n))))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", MK.polygon_runs(polygon(1, 5), F.lit(32), F.lit(24)).alias("a"), MK.polygon_runs(polygon(11, 7), F.lit(32), F.lit(24)).alias("b"))
+    return e.select("vec_id", MK.pixels("a").alias("n_a"), MK.pixels("b").alias("n_b"), MK.covered_pixels(["a", "b"], 2).alias("n_both"), MK.pixels(MK.union_runs(F.array("a", "b"))).alias("n_either"), MK.run_iou("a", "b").alias("iou"), MK.run_coverage("a", F.lit(768)).alias("coverage"))
+
+
 @query("SELECT vec_id, list_filter(range(8), lambda k: embedding[k + 1] >= 0.1) AS kept FROM embeddings")
 def score_filter(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")).alias("polygons"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("scores"))

@@ -77,7 +77,7 @@ def test_files_are_written_and_hashed_in_tasks(spark, tmp_path):
     for _ in range(2):  # again is the same
         assert {r["length"] for r in files.written_files(d).collect()} == {len(c) for c in data.values()}
     got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha256"]) for r in I.file_hashes(spark, f"{tmp_path}/f").collect()}
-    assert got == {p.rsplit("/", 1)[1]: (len(c), hashlib.sha256(c).hexdigest()) for p, c in data.items()}
+    assert got == {p.rsplit("/", 1)[1]: (len(c), hashlib.sha256(c).hexdigest()) for p, c in data.items() if c}  # scans pass over empty files
 
 
 def test_a_file_of_over_2_gb_is_hashed_in_pieces(tmp_path):

@@ -1,6 +1,10 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from oriel.functions import geometry as G
+from oriel.functions import masks as K
 from oriel.functions import media as M
 
 
@@ -26,3 +30,20 @@ def test_columns(spark):
     r = d.select(M.polygon_mask("p", F.lit(2), F.lit(2)).alias("m"), M.jpeg_dimensions("c").alias("s")).first()
     assert r["m"] == [1, 1, 1, 1] or sum(r["m"]) >= 3
     assert tuple(r["s"]) == (16, 32)
+
+
+def test_runs_equal_pixel_arrays(spark):
+    r, rows = random.Random(3), []
+    for i in range(60):
+        masks = [np.array([r.random() < p for _ in range(40)]) for p in (0.3, 0.7, r.choice([0, 1]))]
+        rows.append((i, [[tuple(x) for x in K.runs_of(m)] for m in masks], [[int(v) for v in m] for m in masks]))
+    run = "array<struct<start:bigint,stop:bigint>>"
+    d = spark.createDataFrame(rows, f"i int, runs array<{run}>, masks array<array<int>>")
+    a, b = F.col("runs")[0], F.col("runs")[1]
+    got = d.select("masks", K.union_runs("runs").alias("u"), K.covered_pixels([a, b], 2).alias("both"), K.covered_pixels([a, b, F.col("runs")[2]], 1).alias("any"), K.run_iou(a, b).alias("iou"), K.run_coverage(a, F.lit(40)).alias("c"), G.binary_iou(F.col("masks")[0], F.col("masks")[1]).alias("want"))
+    for x in got.collect():
+        m = np.array(x["masks"])
+        assert [tuple(y) for y in x["u"]] == [tuple(y) for y in K.runs_of(m.any(axis=0))]
+        assert x["both"] == (m[0] & m[1]).sum() and x["any"] == m.any(axis=0).sum() and x["iou"] == x["want"] and x["c"] == m[0].mean()
+    none = spark.createDataFrame([([], []), (None, [])], f"a {run}, b {run}").select(K.run_iou("a", "b").alias("iou"), K.pixels("a").alias("n")).collect()
+    assert [tuple(x) for x in none] == [(1.0, 0), (None, None)]
