@@ -29,6 +29,21 @@ def band_keys(column: str, threshold: int, agree: int) -> F.Column:
     return F.array(*(F.xxhash64(F.lit(i), *(band[k] for k in c)) for i, c in enumerate(combinations(range(n), agree))))
 
 
+#: Distinct hashes that share one band key, beyond which bands are made more selective, and bands that may have to agree.
+BAND_ROWS, MOST_AGREE = 512, 5
+
+
+def chosen_agree(hashes: DataFrame, threshold: int) -> int:
+    """How many bands must agree so that no key holds over ``BAND_ROWS`` distinct hashes, as far as ``MOST_AGREE`` allows: the
+    ``agree`` to give for tables of so many hashes (over some ten millions) that 21 bits leave too many candidates. More agreeing bands
+    make up to 252 keys of 32 bits at a threshold of 5."""
+    for agree in range(2, MOST_AGREE):
+        keys = hashes.select(F.explode(band_keys("hash", threshold, agree)).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+        if (keys.agg(F.max("n").alias("n")).first()["n"] or 0) <= BAND_ROWS:
+            return agree
+    return MOST_AGREE
+
+
 #: Keys that one half of a hash makes at most.
 HALF_KEYS = 15
 
@@ -58,7 +73,8 @@ def near_hashes(left: DataFrame, right: DataFrame, threshold: int, agree: int |
 
     Both sides are reduced to distinct hashes first, so copies never multiply. Exact: keys only choose candidates, and every
     pair within the threshold is one. The result holds all such pairs: where only the earliest or any near hash is
-    asked for, ``earliest_near`` and ``near_any`` make none of them.
+    asked for, ``earliest_near`` and ``near_any`` make none of them. Keys are half keys, or with ``agree`` those of so many
+    agreeing bands (``chosen_agree``).
     """
     a = keyed(left.select("hash").distinct(), threshold, agree).withColumnRenamed("hash", "a")
     b = keyed(right.select("hash").distinct(), threshold, agree).withColumnRenamed("hash", "b")
