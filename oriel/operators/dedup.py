@@ -85,19 +85,21 @@ def near_hashes(left: DataFrame, right: DataFrame, threshold: int, agree: int |
 FIRST_RANGE, GROWTH = 64, 16
 #: Places of the index that the driver looks up at most; later cuts come from quantiles.
 HEAD = FIRST_RANGE * GROWTH
+#: Up to so many hashes one cut is enough, as each range costs a written table.
+ONE_CUT = HEAD * GROWTH
 
 
-def index_cuts(hashes: DataFrame, order: str) -> list:
-    """Values of ``order`` that end rising ranges: exact as far as ``HEAD``, about right beyond it."""
-    head = [r[0] for r in hashes.select(order).orderBy(order).limit(HEAD).collect()]
-    cuts = [head[k - 1] for k in (FIRST_RANGE, HEAD) if len(head) >= k]
-    if len(head) < HEAD:
-        return cuts
-    n, k, shares = hashes.count(), HEAD * GROWTH, []
-    while k < n:
-        shares.append(k / n)
-        k *= GROWTH
-    return sorted({*cuts, *(hashes.agg(F.percentile_approx(order, shares, 100_000)).first()[0] if shares else [])})
+def index_cuts(hashes: DataFrame, order: str, first: int) -> list:
+    """Values of ``order`` that end rising ranges of ``first`` hashes, ``GROWTH`` times as many, and so on: exact as far as ``HEAD``, about
+    right beyond it."""
+    n, sizes = hashes.count(), []
+    while first < n:
+        sizes.append(first)
+        first *= GROWTH
+    head = [r[0] for r in hashes.select(order).orderBy(order).limit(HEAD).collect()] if sizes and sizes[0] <= HEAD else []
+    shares = [k / n for k in sizes if k > HEAD]
+    far = hashes.agg(F.percentile_approx(order, shares, 100_000)).first()[0] if shares else []
+    return sorted({*(head[k - 1] for k in sizes if k <= HEAD), *far})
 
 
 def earliest_near(x: DataFrame, y: DataFrame, threshold: int, agree: int | None = None, where: str = "true") -> DataFrame:
@@ -108,7 +110,8 @@ def earliest_near(x: DataFrame, y: DataFrame, threshold: int, agree: int | None
     can't be earlier. So in a large family of near hashes most rows meet only its first members, and no pairs are listed. The
     first ranges hold at most ``HEAD`` hashes and are broadcast.
     """
-    names, cuts = x.columns, index_cuts(y, "order")
+    names, few = x.columns, y.count() <= ONE_CUT
+    cuts = index_cuts(y, "order", 4 * FIRST_RANGE)[:1] if few else index_cuts(y, "order", FIRST_RANGE)
     left, found = x, []
     for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
         part = y if low is None else y.filter(F.col("order") > F.lit(low))
@@ -204,7 +207,7 @@ def greedy_keep(rows: DataFrame, threshold: int, agree: int | None = None, limit
     first members, and its pairs are never listed.
     """
     firsts = written(rows.groupBy("hash").agg(F.min("rank").alias("order")), "firsts")
-    cuts, kept, dropped = index_cuts(firsts, "order")[1:], None, []
+    cuts, kept, dropped = index_cuts(firsts, "order", HEAD), None, []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = firsts if low is None else firsts.filter(F.col("order") > F.lit(low))
         part = part if high is None else part.filter(F.col("order") <= F.lit(high))

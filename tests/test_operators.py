@@ -204,7 +204,9 @@ def test_half_keys_find_all_near_hashes(spark, threshold):
                 assert set(keys[a]) & set(keys[b])
 
 
-def test_rising_ranges_and_greedy_ranges_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("one_cut", [0, 1000])
+def test_rising_ranges_and_greedy_ranges_match_brute_force(spark, monkeypatch, one_cut):
+    monkeypatch.setattr(D, "ONE_CUT", one_cut)
     monkeypatch.setattr(D, "FIRST_RANGE", 3)
     monkeypatch.setattr(D, "GROWTH", 4)
     monkeypatch.setattr(D, "HEAD", 12)
@@ -222,7 +224,7 @@ def test_rising_ranges_and_greedy_ranges_match_brute_force(spark, monkeypatch):
     for i in range(150):
         if all(bits(hashes[i], hashes[k]) > 5 for k in kept):
             kept.append(i)
-    for fold in (D.FOLD_PAIRS, 4):
+    for fold in (D.FOLD_PAIRS,) if one_cut else (4,):
         monkeypatch.setattr(D, "FOLD_PAIRS", fold)
         out = D.greedy_keep(d.withColumnRenamed("idx", "rank"), 5).collect()
         assert sorted(x["rank"] for x in out if x["kept"]) == kept and len(out) == 150
@@ -265,13 +267,14 @@ def test_subset_reasons_in_order(spark, limit):
     assert {x["rank"]: x["reason"] for x in D.subset_reasons(d, *sets, 5, limit).collect()} == want
 
 
-@pytest.mark.parametrize("bins", [4096, 3, 1])
-def test_exact_percentiles_equal_the_built_in(spark, bins):
+@pytest.mark.parametrize("bins, few", [(4096, 0), (3, 0), (1, 0), (4096, 1 << 20)])
+def test_exact_percentiles_equal_the_built_in(spark, monkeypatch, bins, few):
     r = random.Random(2)
     rows = [(r.choice(["a", "b", None]), r.choice([float(r.randint(-4, 4)), r.gauss(0, 1), 1e9 * r.random(), None])) for _ in range(400)] + [("c", 5.0), ("d", None), ("e", 2.0), ("e", 2.0)]
     d = spark.createDataFrame(rows, "k string, v double").repartition(3)
     names = {"low": 0.0, "p33": 0.33, "p50": 0.5, "p95": 0.95, "top": 1.0}
     plain = lambda df: sorted(map(str, df.collect()))
+    monkeypatch.setattr(M, "FEW_ROWS", few)
     assert plain(M.exact_percentiles(d, ["k"], "v", names, bins)) == plain(d.groupBy("k").agg(*M.percentiles("v", names)))
     assert plain(M.exact_percentiles(d, [], "v", names, bins)) == plain(d.agg(*M.percentiles("v", names)))
     assert plain(M.exact_percentiles(d.limit(0), [], "v", names)) == plain(d.limit(0).agg(*M.percentiles("v", names)))
