@@ -39,6 +39,8 @@ TRAITS = frozenset("with without has no show hide open is in".split())
 #: Their names say nothing about the page: headings of the article, and code, whose parts are often called comments.
 NAMELESS = frozenset("h1 h2 h3 h4 h5 h6 pre code kbd samp".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+#: Ancestors that a paragraph's points reach.
+MOST_LEVELS = 64
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -106,19 +108,37 @@ def blocks(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                 owner.linked += min(linked, len(text))
             held, linked = [], 0
 
-    def nearest() -> Node:
-        for n in reversed(stack):
-            if n.tag in BLOCKS:
-                return n
-        return root
+    # Places in the stack of open elements by tag, of open blocks and of open scopes, so that no tag searches the stack.
+    places: dict[str, list[int]] = {}
+    open_blocks, scopes, outer_scopes = [], [], []
+
+    def last(of: list[int] | None) -> int:
+        return of[-1] if of else 0
+
+    def push(node: Node):
+        k = len(stack)
+        stack.append(node)
+        nodes.append(node)
+        places.setdefault(node.tag, []).append(k)
+        if node.tag in BLOCKS:
+            open_blocks.append(k)
+        if node.tag in SCOPES:
+            scopes.append(k)
+            if node.tag not in ("td", "th"):
+                outer_scopes.append(k)
 
     def close(at: int):
         """End the open elements from ``at`` on."""
         nonlocal owner
-        if any(n.tag in BLOCKS for n in stack[at:]):
+        if last(open_blocks) >= at:
             flush()
+        for n in stack[at:]:
+            places[n.tag].pop()
         del stack[at:]
-        owner = nearest()
+        for of in (open_blocks, scopes, outer_scopes):
+            while of and of[-1] >= at:
+                of.pop()
+        owner = stack[last(open_blocks)]
 
     at, end = 0, len(html)
     in_link = 0
@@ -138,15 +158,12 @@ def blocks(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if tag not in BLOCKS and stack[k].tag in BLOCKS:
-                    break
+            k = last(places.get(tag))
+            if k and (tag in BLOCKS or last(open_blocks) < k):
+                close(k)
             if tag == "p":
                 flush()
-            in_link = sum(n.tag == "a" for n in stack)
+            in_link = len(places.get("a", ()))
             continue
         if tag == "br" or tag == "hr":
             flush() if tag == "hr" else held.append(" ") if not stack[-1].out else None
@@ -154,18 +171,12 @@ def blocks(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         if tag in VOID:
             continue
         if tag in BLOCKS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in SCOPES:
-                    break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSED_BY.get(tag, ()):
-                    close(k)
-                    break
-                if stack[k].tag in SCOPES and stack[k].tag not in ("td", "th"):
-                    break
+            k = last(places.get("p"))
+            if k and k > last(scopes):
+                close(k)
+            k = max((last(places.get(t)) for t in CLOSED_BY.get(tag, ())), default=0)
+            if k and k >= last(outer_scopes):
+                close(k)
             flush()
         node = Node(tag, stack[-1], stack[-1].out or tag in LEFT_OUT)
         node.out = node.out or marked_side(tag, m[3], node.code)
@@ -178,8 +189,7 @@ def blocks(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             continue
         if m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        stack.append(node)
-        nodes.append(node)
+        push(node)
         if tag == "a":
             in_link += 1
         if tag in BLOCKS:
@@ -192,7 +202,7 @@ def main_text(html) -> str:
     """The article of a page: blocks joined by a space; empty if there is none.
 
     Each paragraph gives points: one, one for each comma, and up to three for its length. They pass to
-    its parent in full, to the grandparent by half, to further ancestors by less, and count less the more of
+    its parent in full, to the grandparent by half, to further ancestors (64 in all) by less, and count less the more of
     an ancestor's text is linked. The container of the most points is the article, or the whole ``article`` or
     ``main`` element around it, or one inside that holds most of it; siblings join if they have enough points of their own.
     """
@@ -204,14 +214,11 @@ def main_text(html) -> str:
     for node, text in found:
         points = 1.0 + text.count(",") + min(len(text) // 100, 3)
         node.points += points
-        n = node
-        while n is not None:
-            n.chars += len(text)
-            n = n.parent
+        node.chars += len(text)
         # A paragraph's own element is a candidate only if it is more than a paragraph.
         up = node if node.tag in ("div", "section", "article", "main", "body", "td", "html") else node.parent
         share, level = 1.0, 1
-        while up is not None:
+        while up is not None and level <= MOST_LEVELS:
             up.score += points * share
             level += 1
             share = 1.0 / (2 * (level - 1)) if level > 1 else 1.0
@@ -219,6 +226,7 @@ def main_text(html) -> str:
     for n in reversed(nodes):
         if n.parent is not None:
             n.parent.linked += n.linked
+            n.parent.chars += n.chars
 
     def value(n: Node) -> float:
         return n.score * (1.0 - n.linked / n.chars) if n.chars else 0.0
@@ -229,9 +237,10 @@ def main_text(html) -> str:
     # The article or main element around the best container is whole; one beside or inside of it stands in for it only if it
     # scores as much itself, or if it holds most of its text. A teaser or a short quote of another page does neither.
     articles = [n for n in nodes if n.tag in ("article", "main") and not n.out and n.chars]
+    known = {id(n) for n in articles}
     around, n = None, best
     while n is not None and around is None:
-        around = n if n in articles else None
+        around = n if id(n) in known else None
         n = n.parent
     if around is None:
         around = max((a for a in articles if value(a) >= 0.5 * value(best) or a.chars >= 0.5 * best.chars), key=value, default=None)
@@ -244,14 +253,10 @@ def main_text(html) -> str:
             if (n.tag == top.tag or n.tag in ("div", "section", "article")) and value(n) >= least or n.tag == "p" and n.chars > 80 and own < 0.25 and around is None:
                 chosen.add(id(n))
 
-    def kept(n: Node | None) -> bool:
-        while n is not None:
-            if id(n) in chosen:
-                return True
-            n = n.parent
-        return False
-
-    return " ".join(text for node, text in found if kept(node))
+    for n in nodes:  # parents come before their children
+        if n.parent is not None and id(n.parent) in chosen:
+            chosen.add(id(n))
+    return " ".join(text for node, text in found if id(node) in chosen)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

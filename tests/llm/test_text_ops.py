@@ -391,3 +391,18 @@ def test_grammar_is_run_on_words_after_other_punctuation():
     for text in ("¡idiota!", "“idiot”", "«idiot»", "so—idiot", "du\u00a0idiot", "isn't"):
         assert g.clause(text)[1] > 0 and g.features(text)[0] == 1, text
     assert g.features("¡clean!")[0] == 0
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    import time
+
+    from oriel.llm import html_text
+
+    for tag in ("<div>", "<span>", "<b><div>", "<i>", "<table><tr><td>"):
+        took = []
+        for n in (2000, 16_000):
+            html = "<body>" + "".join(f"{tag}<p>some words, here and there {i}</b></i>" for i in range(n))
+            began = time.perf_counter()
+            text = html_text.main_text(html)
+            took.append(time.perf_counter() - began)
+        assert text and took[1] < 40 * max(took[0], 0.02)  # eight times the page; 64 times if it grew with the square
