@@ -207,9 +207,9 @@ def test_half_keys_find_all_near_hashes(spark, threshold):
 @pytest.mark.parametrize("one_cut", [0, 1000])
 def test_rising_ranges_and_greedy_ranges_match_brute_force(spark, monkeypatch, one_cut):
     monkeypatch.setattr(D, "ONE_CUT", one_cut)
-    monkeypatch.setattr(D, "FIRST_RANGE", 3)
-    monkeypatch.setattr(D, "GROWTH", 4)
-    monkeypatch.setattr(D, "HEAD", 12)
+    monkeypatch.setattr(D, "FIRST_RANGE", 6)
+    monkeypatch.setattr(D, "GROWTH", 5)
+    monkeypatch.setattr(D, "HEAD", 30)
     r = random.Random(11)
     hashes = family(r, 150)
     rows = [(i, h, r.choice("abc")) for i, h in enumerate(hashes)]
