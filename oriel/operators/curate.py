@@ -52,6 +52,43 @@ def provenance(sources: DataFrame, known_host: str = "wikimedia.org", dark_words
     )
 
 
+#: What the metadata of published photos say where nothing is known.
+PUBLISHED = {"device_model": "unknown_published_image", "camera_position": "varied_published_photo", "motion": "static_photo", "surface": "mixed", "dataset_task": "tactile"}
+
+
+def labelled_dataset(sources: DataFrame, images: DataFrame, shapes: DataFrame, groups: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Annotations and metadata of labelled photos, a row each for every source row.
+
+    ``sources`` has filename, title, source, license and artist; ``images`` filename, sha256, width and height; ``shapes`` filename, place,
+    label, shape_type and points; ``groups`` filename, location_id and session_id. Evaluation fails if names of sources, images and groups aren't
+    the same, once each, or if a shape is no valid polygon of one of ``labels``. An image without shapes has an empty annotation, which nobody
+    has reviewed: it is never a certified negative.
+
+    Annotations: sample_id, source_sha256, schema_version, objects, tactile (class_id, label, points; in order of place), n_shapes, review_status.
+    Metadata: ``provenance`` and the group's ids, with the fixed values of published photos.
+    """
+    once = lambda d, flag: d.groupBy("filename").agg(F.count(F.lit(1)).alias(flag))
+    counts = once(sources, "_s").join(once(images, "_i"), "filename", "full_outer").join(once(groups, "_g"), "filename", "full_outer")
+    same = F.coalesce((F.col("_s") == 1) & (F.col("_i") == 1) & (F.col("_g") == 1), F.lit(False))
+    names = require(counts, same, "source rows, images and groups don't match one to one").select("filename")
+    sized = names.join(images, "filename")
+    known = F.array(*(F.lit(x) for x in labels))
+    class_id = F.array_position(known, F.col("label")).cast("int") - 1
+    drawn = shapes.join(sized.select("filename", "width", "height"), "filename", "left")
+    good = F.coalesce((F.col("shape_type") == "polygon") & (class_id >= 0) & F.col("width").isNotNull() & polygon_error("points", F.col("width"), F.col("height")).isNull(), F.lit(False))
+    drawn = require(drawn, good, "a shape isn't a valid polygon of a known label and image")
+    one = F.struct("place", class_id.alias("class_id"), "label", "points")
+    tactile = drawn.groupBy("filename").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["class_id"].alias("class_id"), x["label"].alias("label"), x["points"].alias("points"))).alias("tactile"))
+    kind = tactile.schema["tactile"].dataType
+    made = sized.join(tactile, "filename", "left").withColumn("tactile", F.coalesce("tactile", F.array().cast(kind)))
+    annotations = made.select(
+        F.col("sha256").alias("sample_id"), F.col("sha256").alias("source_sha256"), F.lit(1).alias("schema_version"), F.array().cast("array<string>").alias("objects"),
+        "tactile", F.size("tactile").alias("n_shapes"), F.when(F.size("tactile") > 0, "provisional").otherwise("unreviewed").alias("review_status"),
+    )
+    metadata = provenance(names.join(sources, "filename")).join(groups.withColumnRenamed("filename", "source_path"), "source_path").withColumns({c: F.lit(v) for c, v in PUBLISHED.items()})
+    return annotations, metadata
+
+
 def seeded_shapes(constants: DataFrame, images: DataFrame, label: str) -> DataFrame:
     """Provisional shapes from a table of normalised polygons (filename, place, points) and image sizes (filename, width,
     height): pixels of two decimals. An image that isn't there is an error."""

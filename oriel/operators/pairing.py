@@ -62,3 +62,12 @@ def binding_status(rows: DataFrame, reviews: DataFrame, key: str, hashes: list[s
 def zipped(a: str, b: str):
     """Arrays zipped by place; an error if they differ in length."""
     return F.when(F.size(a) == F.size(b), F.arrays_zip(a, b)).otherwise(F.raise_error(F.lit("arrays differ in length")))
+
+
+def missing_members(rows: DataFrame, by: list[str], value: str, required: list[str]) -> DataFrame:
+    """For each group which of the ``required`` values none of its rows has: ``by``, missing (sorted), complete. Only required values are
+    gathered, so a group holds no more than there are of them."""
+    wanted = F.array(*(F.lit(v) for v in required))
+    have = F.collect_set(F.when(F.col(value).isin(*required), F.col(value)))
+    out = rows.groupBy(*by).agg(F.array_sort(F.array_except(wanted, have)).alias("missing"))
+    return out.withColumn("complete", F.size("missing") == 0)

@@ -511,3 +511,27 @@ def coverage_totals(spark, sf_dir):
     c = G.coverage(F.transform("embedding", lambda v: (v > F.lit(0.2)).cast("int")))
     e = table(spark, sf_dir, "embeddings").select("label", c.alias("c"))
     return e.groupBy("label").agg(F.avg("c").alias("mean_coverage"), F.max("c").alias("max_coverage"), F.count_if(F.col("c") > 0).alias("frames_with_mask"))
+
+
+@query("""SELECT sha256(text) AS sample_id, CASE WHEN quality IS NULL THEN 0 ELSE 1 + toxic END AS n_shapes, CASE WHEN quality IS NULL THEN 'unreviewed' ELSE 'provisional' END AS review_status, CASE WHEN quality IS NULL THEN 0.0 ELSE 30.0 + coalesce(toxic * 5.0, 0) END AS widest,
+source AS location_id, lang AS session_id, CASE WHEN lang = 'de' THEN 'wikimedia_commons' ELSE 'curated_source' END AS source_name, CASE WHEN source = 'src2' THEN 'low_light' ELSE 'normal_or_unknown' END AS lighting, 'static_photo' AS motion FROM documents LEFT JOIN labels USING (doc_id)""")
+def photo_dataset(spark, sf_dir):
+    """Documents as photos: those with labels have one or two shapes, the others an empty annotation that nobody has reviewed."""
+    d = table(spark, sf_dir, "documents").withColumn("filename", F.col("doc_id").cast("string"))
+    images = d.select("filename", F.sha2("text", 256).alias("sha256"), F.lit(60.0).alias("width"), F.lit(40.0).alias("height"))
+    sources = d.select("filename", F.when(F.col("source") == "src2", "Night view").alias("title"), F.when(F.col("lang") == "de", "https://wikimedia.org/x").alias("source"), F.lit("CC0").alias("license"), F.lit(None).cast("string").alias("artist"))
+    groups = d.select("filename", F.col("source").alias("location_id"), F.col("lang").alias("session_id"))
+    point = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
+    place = F.explode(F.sequence(F.lit(0), F.col("toxic").cast("int")))
+    shapes = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("filename"), place.alias("place"))
+    far = F.lit(30.0) + 5.0 * F.col("place")
+    shapes = shapes.select("filename", "place", F.lit("paving").alias("label"), F.lit("polygon").alias("shape_type"), F.array(point(F.lit(0.0), 0.0), point(far, 0.0), point(far, 30.0)).alias("points"))
+    annotations, metadata = C.labelled_dataset(sources, images, shapes, groups, ["paving"])
+    widest = F.coalesce(F.array_max(F.flatten(F.transform("tactile", lambda t: F.transform(t["points"], lambda p: p["x"])))), F.lit(0.0))
+    names = images.select("sha256", "filename").groupBy("filename").agg(F.min("sha256").alias("sample_id"))
+    # Contents may repeat, so annotations are told apart by what they hold.
+    key = annotations.select("sample_id", "n_shapes", "review_status", widest.alias("widest")).distinct()
+    have = shapes.groupBy("filename").agg(F.count(F.lit(1)).cast("int").alias("n_shapes"))
+    met = names.join(have, "filename", "left").withColumn("n_shapes", F.coalesce("n_shapes", F.lit(0)))
+    out = met.join(key, ["sample_id", "n_shapes"]).join(metadata.withColumnRenamed("source_path", "filename"), "filename")
+    return out.select("sample_id", "n_shapes", "review_status", "widest", "location_id", "session_id", "source_name", "lighting", "motion")

@@ -213,3 +213,11 @@ def labelled_semi(spark, sf_dir):
 def skip_warmup(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("n")).filter("n > 3")
+
+
+@query("""SELECT p_brand, list_sort(list_filter(['ECONOMY', 'STANDARD', 'PROMO', 'SMALL', 'MEDIUM', 'LARGE'], lambda x: NOT list_contains(have, x))) AS missing, len(list_filter(['ECONOMY', 'STANDARD', 'PROMO', 'SMALL', 'MEDIUM', 'LARGE'], lambda x: NOT list_contains(have, x))) = 0 AS complete
+FROM (SELECT p_brand, list(DISTINCT p_type) FILTER (p_size > 10) AS have FROM part GROUP BY p_brand)""")
+def required_members(spark, sf_dir):
+    """Which kinds each brand lacks among its larger parts."""
+    large = F.when(F.col("p_size") > 10, F.col("p_type"))
+    return P.missing_members(table(spark, sf_dir, "part").withColumn("large", large), ["p_brand"], "large", ["ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE"])

@@ -281,3 +281,29 @@ def test_feedback_and_freeze(spark):
     assert [r["frame_id"] for r in S.frozen(g, ("hash", "captured_at")).orderBy("frame_id").collect()] == [2, 3]
     d = spark.createDataFrame([([1.0, float("nan"), 3.0, 0.0, None],), ([0.0],), ([],)], "d array<double>").select(S.area_depth("d").alias("m")).collect()
     assert [r["m"] for r in d] == [2.0, None, None]
+
+
+def test_labelled_dataset(spark):
+    from oriel.operators import curate as C
+
+    src = spark.createDataFrame([("a.jpg", "Malam", "https://wikimedia.org/x", "CC0", None), ("b.jpg", "", "", None, "me")], "filename string, title string, source string, license string, artist string")
+    img = spark.createDataFrame([("a.jpg", "ha", 10.0, 10.0), ("b.jpg", "hb", 10.0, 10.0)], "filename string, sha256 string, width double, height double")
+    grp = spark.createDataFrame([("a.jpg", "l1", "s1"), ("b.jpg", "l2", "s2")], "filename string, location_id string, session_id string")
+    pts = [(0.0, 0.0), (5.0, 0.0), (5.0, 5.0)]
+    kind = "filename string, place int, label string, shape_type string, points array<struct<x:double,y:double>>"
+    shp = spark.createDataFrame([("a.jpg", 1, "paving", "polygon", pts), ("a.jpg", 0, "edge", "polygon", pts)], kind)
+    ann, meta = C.labelled_dataset(src, img, shp, grp, ["paving", "edge"])
+    got = {r["sample_id"]: (r["n_shapes"], r["review_status"], [t["class_id"] for t in r["tactile"]]) for r in ann.collect()}
+    assert got == {"ha": (2, "provisional", [1, 0]), "hb": (0, "unreviewed", [])}
+    rows = {r["source_path"]: r for r in meta.collect()}
+    assert rows["a.jpg"]["lighting"] == "low_light" and rows["b.jpg"]["location_id"] == "l2" and rows["b.jpg"]["surface"] == "mixed"
+    for bad in ((src.limit(1), img, shp, grp), (src, img.unionByName(img.limit(1)), shp, grp), (src, img, shp, grp.limit(1)), (src, img, shp.withColumn("label", F.lit("other")), grp), (src, img, shp.withColumn("shape_type", F.lit("circle")), grp), (src, img, shp.withColumn("filename", F.lit("c.jpg")), grp)):
+        with pytest.raises(Exception, match="match one to one|valid polygon"):
+            C.labelled_dataset(*bad, ["paving", "edge"])[0].collect()
+
+
+def test_missing_members(spark):
+    from oriel.operators import pairing as P
+
+    d = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "other"), ("b", "x"), ("b", None), (None, "y")], "g string, v string")
+    assert {r["g"]: (r["missing"], r["complete"]) for r in P.missing_members(d, ["g"], "v", ["x", "y"]).collect()} == {"a": ([], True), "b": (["y"], False), None: (["x"], False)}
