@@ -40,14 +40,8 @@ def after_warmup(frames: DataFrame, warmup: int, strict: bool = False) -> DataFr
     x = frames.withColumn("_n", F.row_number().over(w.orderBy("captured_at", "frame_id")))
     if not strict:
         return x.filter(F.col("_n") > warmup).drop("_n")
-    short = F.when(F.count(F.lit(1)).over(w) > warmup, F.lit(False)).otherwise(F.raise_error(F.lit(f"a stream ends in its warm-up of {warmup} frames")).cast("boolean"))
-    return x.withColumn("_short", short).filter((F.col("_n") > warmup) & ~F.col("_short")).drop("_n", "_short")
-
-
-def fresh(frames: DataFrame, processed_at: str, ttl_ms: int) -> DataFrame:
-    """Adds ``stale``: the frame was processed over ``ttl_ms`` after its capture, or its times aren't known."""
-    age = (F.unix_micros(processed_at) - F.unix_micros("captured_at")) / F.lit(1000.0)
-    return frames.withColumn("age_ms", age).withColumn("stale", F.coalesce(age > ttl_ms, F.lit(True)))
+    late = F.when(F.col("_all") > warmup, F.col("_n") > warmup).otherwise(F.raise_error(F.lit(f"a stream ends in its warm-up of {warmup} frames")).cast("boolean"))
+    return x.withColumn("_all", F.count(F.lit(1)).over(w)).filter(late).drop("_n", "_all")
 
 
 #: What windows are cut by; ``slices`` cuts streams further.
