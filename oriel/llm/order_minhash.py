@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oriel.llm.common import free_name, mix64, spread_join, written
@@ -193,9 +193,9 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 SAMPLED_TEXTS, COMMON_LABELS = 20_000, 400_000
 
 
-def common_labels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Labels that stand in several of about ``SAMPLED_TEXTS`` different texts, sorted, in how many they stand, and
-    how many rows there are for each sampled one. They only make the order of labels good: any order is exact.
+def common_labels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Labels that stand in several of about ``SAMPLED_TEXTS`` different texts, sorted, and in how many they
+    stand. They only make the order of labels good: any order is exact.
     """
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def common_labels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     rows = counts.orderBy(F.col("n").desc(), "label").limit(COMMON_LABELS).toPandas()
     labels, n = rows["label"].to_numpy(np.int64).view(_U), rows["n"].to_numpy(np.int64)
     order = np.argsort(labels)
-    return labels[order], n[order], each
+    return labels[order], n[order]
 
 
 def rare_prefixes(labels: np.ndarray, n_shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,52 +387,123 @@ def proposals(members: DataFrame, number: int) -> DataFrame:
     return dealt.mapInArrow(propose, "a long, b long").distinct()
 
 
-def rare_pairs(block: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """Pairs (low, high) of one block and of different groups that may have a similarity of 0.8, by sizes and by
-    the places of the shared label. Rows are sorted by block; a ``part`` of -1 meets its like."""
-    out = []
-    stop = np.searchsorted(block, block, side="right")
-    at, shift = np.arange(len(block)), 1
-    while len(at := at[at + shift < stop[at]]):
-        i, j = at, at + shift
-        good = (group[i] != group[j]) & ((part[i] != part[j]) | (part[i] < 0))
+#: Pairs of a block that are looked at together; memory follows this, not the block.
+LOOKED_AT = 1 << 20
+
+
+def rare_pairs(block: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, part: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Pairs (low, high) of one block and of different groups that may have a similarity of 0.8, by sizes, by
+    the places of the shared label and by the parities ``bits`` (rows x words). Rows come in any order; a ``part`` of
+    -1 meets its like. What fails is never listed: a row looks only at those of its block whose sizes its
+    place allows, ``LOOKED_AT`` pairs at a time.
+    """
+    order = np.lexsort((size, block))
+    block, node, group, size, place, part, bits = (x[order] for x in (block, node, group, size, place, part, bits))
+    # At least 4/9 of the labels of both are shared, and no more than follow the first shared one: 9 (n - place) >= 4 (n + m).
+    most = (5 * size - 9 * place) // 4
+    span = int(size.max(initial=0)) + 2
+    number = np.cumsum(np.append(0, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
+    stop = np.searchsorted(number * span + size, number * span + np.clip(most, -1, span - 1), side="right")
+    many = np.maximum(0, stop - np.arange(len(block)) - 1)
+    out, x, ends = [], 0, np.cumsum(many)
+    while x < len(block):
+        before = ends[x] - many[x]
+        y = max(x + 1, int(np.searchsorted(ends, before + LOOKED_AT, side="right")))
+        i = np.repeat(np.arange(x, y), many[x:y])
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[x:y] - many[x:y] - before, many[x:y])
+        x = y
+        good = (group[i] != group[j]) & ((part[i] != part[j]) | (part[i] < 0)) & (size[i] <= most[j])
         i, j = i[good], j[good]
-        # Of total labels at least 4/9 are shared: no more than what follows the first shared one.
-        good = 9 * np.minimum(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j])
+        apart = np.zeros(len(i), np.int64)
+        for k in range(bits.shape[1]):
+            apart += np.bitwise_count(bits[i, k] ^ bits[j, k])
+        good = 9 * apart <= size[i] + size[j]
         i, j = i[good], j[good]
-        out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-        shift += 1
+        if len(i):
+            out.append(np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0))
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
 
 
-def rest_of_pairs(nodes: DataFrame, hot: DataFrame) -> DataFrame:
+#: Sizes of one band differ by this factor at most, so texts of a similarity of 0.8 lie in one band or in neighbours.
+BAND = 1.2501
+#: Labels that hold over 1 / HOT_LABELS of all rows of labels are met apart; so there are no more than this.
+HOT_LABELS = 1000
+#: Items that the sketch of frequent labels tracks: it misses none that holds over 4 / TRACKED of the rows.
+TRACKED = 16_384
+
+
+def hot_labels(rows: DataFrame) -> DataFrame:
+    """(label) of at most ``HOT_LABELS`` labels: all that over a thousandth of ``rows``, and over ``BLOCK`` of them, hold.
+    Found by one sketch of frequent items, summed up before the shuffle, and then counted."""
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(label, {2 * HOT_LABELS}, {TRACKED})").alias("top")).first()
+    least = max(BLOCK, got["n"] // HOT_LABELS)
+    near = [(x["item"],) for x in got["top"] or () if x["count"] > least]
+    return rows.sparkSession.createDataFrame(near, "label long").coalesce(1)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Blocks of ``rows`` (label, node, group, n, place, bits) of labels that over ``BLOCK`` nodes hold and that join groups.
+
+    A label's rows fall into bands of sizes and these into parts of about ``BLOCK`` rows. Each part meets those of its own band
+    and of the two bands beside it, in blocks of two parts. So a block is bounded, and every pair whose sizes
+    allow a similarity of 0.8 meets.
+    """
+    banded = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
+    bands = banded.groupBy("label", "band").agg(F.count(F.lit(1)).alias("in_band"), F.min("group").alias("low"), F.max("group").alias("high"))
+    sizes = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("in_band") / BLOCK).cast("int").alias("parts")))).alias("parts")
+    labels = bands.groupBy("label").agg(F.sum("in_band").alias("of_label"), F.min("low").alias("low"), F.max("high").alias("high"), sizes)
+    labels = written(labels.filter("low < high").drop("low", "high"), "labels")
+    met = spread_join(banded, labels, ["label"], "of_label")
+    met = met.withColumn("own", F.pmod(F.xxhash64("node", "label"), F.element_at("parts", F.col("band"))).cast("int"))
+
+    def meet(step: int):
+        """(low band, low part, high part, part) of the row's meetings with the band ``step`` away."""
+        others = F.coalesce(F.try_element_at("parts", F.col("band") + step), F.lit(0))
+        numbers = F.filter(F.sequence(F.lit(0), others), lambda q: q < others)
+        low, high = {0: (F.least, F.greatest), 1: (lambda p, q: p, lambda p, q: q), -1: (lambda p, q: q, lambda p, q: p)}[step]
+        part = (lambda q: F.when(q == F.col("own"), -1).otherwise(F.col("own"))) if step == 0 else lambda q: F.lit(step + 1)
+        return F.transform(numbers, lambda q: F.struct((F.col("band") + min(step, 0)).alias("base"), F.lit(abs(step)).alias("step"), low(F.col("own"), q).alias("x"), high(F.col("own"), q).alias("y"), part(q).cast("int").alias("part")))
+
+    met = met.withColumn("meeting", F.explode(F.concat(meet(0), meet(1), meet(-1))))
+    return met.select(F.xxhash64("label", "meeting.base", "meeting.step", "meeting.x", "meeting.y").alias("block"), "node", "group", "n", "place", "meeting.part", *BITS)
+
+
+#: Parity bits that rows of labels carry: the four words folded to two, as a bit of two parities' sum is a parity too.
+BITS = ["q0", "q1"]
+
+
+def rest_of_pairs(nodes: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ``nodes`` (node, group, n, prefix, parities) of different groups: all
     that may have a similarity of 0.8, as they share one of their rare labels and differ in few parity bits.
 
-    Labels of ``hot`` (label) that over ``BLOCK`` nodes hold are dealt into parts of about that many, and each
-    two parts meet in a block, so that no task has to hold all nodes of a label and every pair still meets. Rows of
-    labels carry no more than pairs are made by; parity bits are looked at once for each pair.
+    Nodes meet by label. How many nodes hold a label, and whether they are of several groups, is counted exactly, in the shuffle
+    that brings them together; labels that hold over a thousandth of all rows don't go through it. Labels of one
+    group, those of one node among them, end there. Those of up to ``BLOCK`` nodes are a block, larger ones are ``dealt``.
+    Pairs are made after sizes, places and 128 parity bits are compared; 256 bits are then looked at once for each pair.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: pa.Table) -> pa.RecordBatch:
-            block, node, group, n, place, part = (rows[c].to_numpy() for c in ("block", "node", "group", "n", "place", "part"))
-            both = rare_pairs(block, node, group, n.astype(np.int64), place.astype(np.int64), part)
+            block, node, group, n, place, part = (rows[c].to_numpy().astype(np.int64) for c in ("block", "node", "group", "n", "place", "part"))
+            both = rare_pairs(block, node, group, n, place, part, np.stack([rows[c].to_numpy().view(_U) for c in BITS], 1))
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
         return by_blocks(batches, found)
 
-    rows = nodes.select("node", "group", "n", F.posexplode("prefix").alias("place", "label"))
-    counts = rows.join(F.broadcast(hot), "label").groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > BLOCK)
-    rows = rows.join(F.broadcast(counts), "label", "left")
-    cold = rows.filter("members IS NULL").select(F.col("label").alias("block"), "node", "group", "n", "place", F.lit(-1).alias("part"))
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = rows.filter("members IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("node", "label"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    warm = dealt.select(
-        F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "group", "n", "place", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("part")
-    )
-    met = cold.unionByName(warm).repartition("block").sortWithinPartitions("block")
-    return few_bits_apart(met.mapInArrow(pair, "a long, b long").distinct(), nodes)
+    bits = [F.col(f"p{k}").bitwiseXOR(F.col(f"p{k + 2}")).alias(b) for k, b in enumerate(BITS)]
+    rows = nodes.select("node", "group", "n", F.posexplode("prefix").alias("place", "label"), *bits)
+    hot = F.broadcast(hot_labels(rows))
+    own = Window.partitionBy("label")
+    # The window's shuffle leaves each label in one task, sorted; blocks of small labels are read as they lie.
+    met = rows.join(hot, "label", "left_anti").select("*", F.count(F.lit(1)).over(own).alias("members"), F.min("group").over(own).alias("low"), F.max("group").over(own).alias("high")).filter("low < high")
+    columns = ["label", "node", "group", "n", "place", *BITS]
+    cold = met.filter(F.col("members") <= BLOCK).sortWithinPartitions("label").withColumnRenamed("label", "block").withColumn("part", F.lit(-1))
+    large = written(met.filter(F.col("members") > BLOCK).select(columns).unionByName(rows.join(hot, "label", "left_semi").select(columns)), "large")
+    found = cold.mapInArrow(pair, "a long, b long")
+    if not large.isEmpty():
+        blocks = dealt(large).repartition("block").sortWithinPartitions("block")
+        found = found.unionByName(blocks.mapInArrow(pair, "a long, b long"))
+    return few_bits_apart(found.distinct(), nodes)
 
 
 def few_bits_apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -494,7 +565,7 @@ def near_duplicate_classes(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFra
 def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
     """(k1, k2, doc_id, class_id, representative, worded) for each row; see ``near_duplicate_classes``."""
     docs = keyed(docs)
-    common, counts_of, each = common_labels(docs)
+    common, counts_of = common_labels(docs)
     all_rows = written(features(docs, common, counts_of), "features")
     worded = all_rows.filter("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("rep")
@@ -517,7 +588,7 @@ def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
         part = F.pmod(F.xxhash64("node", "sketch", F.lit(number)), F.ceil(F.col("members") / BLOCK).cast("long"))
         return rows.withColumn("block", F.xxhash64("sketch", "key", part))
 
-    links, classes = None, None
+    links, classes, tested = None, None, docs.sparkSession.createDataFrame([], "a long, b long")
     for number in range(max_rounds):
         if classes is None:
             rows = members.withColumn("group", F.col("node")).withColumn("tested", F.lit(None).cast("array<long>"))
@@ -527,7 +598,7 @@ def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
             both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             rows = grouped.join(open_, ["sketch", "key"]).join(both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tested")), "node", "left")
         pairs = written(proposals(blocks(rows, number), number), "pairs")
-        tested = pairs if links is None else tested.unionByName(pairs)
+        tested = tested.unionByName(pairs)
         new = written(verified(pairs, texts), "links")
         links = new if links is None else links.unionByName(new)
         if new.isEmpty():
@@ -537,9 +608,7 @@ def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
     # All pairs of different classes that may still link: every one is tested, so that no link crosses classes.
     rest = nodes.select("node", F.col("n_shingles").alias("n"), "prefix", *PARITIES)
     rest = rest.withColumn("group", F.col("node")) if classes is None else rest.join(classes, "node", "left").withColumn("group", F.coalesce("class", "node"))
-    frequent = common[counts_of * each > BLOCK // 2].view(np.int64)
-    hot = docs.sparkSession.createDataFrame([(x,) for x in frequent.tolist()], "label long")
-    pairs = written(rest_of_pairs(rest, hot).join(tested, ["a", "b"], "left_anti"), "pairs")
+    pairs = written(rest_of_pairs(written(rest, "rest")).join(tested, ["a", "b"], "left_anti"), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     more = written(holders.join(ids.join(meeting, "node", "left_anti"), "node", "left_semi"), "more")
     if n_more := more.count():
@@ -547,7 +616,7 @@ def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
         texts = texts.unionByName(texts_of(F.broadcast(more) if n_more <= BROADCAST_ROWS else more))
     new = written(verified(pairs, texts), "links")
     if not new.isEmpty():
-        classes = components(links.unionByName(new))
+        classes = components(new if links is None else links.unionByName(new))
     return membership(all_rows, contents, classes)
 
 

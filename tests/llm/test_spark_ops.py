@@ -294,12 +294,37 @@ def test_no_pair_of_a_hot_label_is_missed(spark, monkeypatch):
     rows, labels, _ = family(120)
     monkeypatch.setattr(order_minhash, "BLOCK", 16)
     docs = order_minhash.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
-    common, counts, each = order_minhash.common_labels(docs)
-    hot = spark.createDataFrame([(x,) for x in common.view("int64").tolist()], "label long")
+    common, counts = order_minhash.common_labels(docs)
     nodes = order_minhash.features(docs, common, counts).withColumnsRenamed({"doc_id": "node", "n_shingles": "n"}).withColumn("group", F.col("node"))
-    got = {tuple(r) for r in order_minhash.rest_of_pairs(nodes, hot).collect()}
+    hot = order_minhash.hot_labels(nodes.select(F.explode("prefix").alias("label")))
+    assert hot.count() > 3
+    got = {tuple(r) for r in order_minhash.rest_of_pairs(nodes).collect()}
     want = {(b, a) for a in range(120) for b in range(a) if order_minhash.aligned_similarity(labels[a], labels[b]) >= 0.8 - 1e-12}
-    assert want and want <= got and each == 1
+    assert want and want <= got
+    # Labels that the sketch of frequent ones doesn't name are dealt as well.
+    monkeypatch.setattr(order_minhash, "hot_labels", lambda rows: spark.createDataFrame([], "label long"))
+    assert {tuple(r) for r in order_minhash.rest_of_pairs(nodes).collect()} == got
+    # Texts of one class don't meet.
+    assert order_minhash.rest_of_pairs(nodes.withColumn("group", F.lit(1))).isEmpty()
+
+
+def test_sizes_of_neighbouring_bands_meet(spark, monkeypatch):
+    """One word more for each text: all share their labels, and those of up to 1.25 times the size link."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 8)
+    texts = [" ".join(f"w{j}" for j in range(5 + 2 * i)) for i in range(60)]
+    labels = [order_minhash.shingle_labels(*order_minhash.word_hashes([t]))[0] for t in texts]
+    docs = order_minhash.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    nodes = order_minhash.features(docs, *order_minhash.common_labels(docs)).withColumnsRenamed({"doc_id": "node", "n_shingles": "n"}).withColumn("group", F.col("node"))
+    got = {tuple(r) for r in order_minhash.rest_of_pairs(nodes).collect()}
+    want = {(b, a) for a in range(60) for b in range(a) if order_minhash.aligned_similarity(labels[a], labels[b]) >= 0.8 - 1e-12}
+    assert want and want <= got
+
+
+def test_classes_without_sketch_rounds(spark):
+    rows, _, want = family(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicate_classes(docs, max_rounds=0).collect()}
+    assert [got[i] for i in range(60)] == want
 
 
 def test_near_duplicates_go_by_text_not_by_id(spark):

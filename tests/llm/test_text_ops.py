@@ -406,3 +406,36 @@ def test_deep_and_unclosed_markup_takes_linear_time():
             text = html_text.main_text(html)
             took.append(time.perf_counter() - began)
         assert text and took[1] < 40 * max(took[0], 0.02)  # eight times the page; 64 times if it grew with the square
+
+
+def test_pairs_of_a_block_are_those_that_bounds_leave():
+    import time
+
+    import numpy as np
+
+    from oriel.llm import order_minhash as m
+
+    rng = np.random.default_rng(3)
+
+    def rows(n, blocks):
+        size = rng.integers(5, 40, n)
+        return rng.integers(0, blocks, n), np.arange(n), rng.integers(0, n // 2, n), size, rng.integers(0, 8, n), rng.integers(-1, 3, n), rng.integers(0, 4, (n, 2)).astype(np.uint64)
+
+    for _ in range(20):
+        block, node, group, size, place, part, bits = rows(60, 4)
+        want = set()
+        for i in range(60):
+            for j in range(i):
+                near = 9 * min(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j])
+                apart = sum(bin(int(x)).count("1") for x in bits[i] ^ bits[j])
+                meet = block[i] == block[j] and group[i] != group[j] and (part[i] != part[j] or part[i] < 0)
+                if meet and near and 9 * apart <= size[i] + size[j]:
+                    want.add((j, i))
+        assert {tuple(x) for x in m.rare_pairs(block, node, group, size, place, part, bits).tolist()} == want
+    n = 8000
+    random = rng.integers(0, 1 << 63, (n, 2)).astype(np.uint64)
+    start = time.time()
+    got = m.rare_pairs(np.zeros(n, np.int64), np.arange(n), np.arange(n), rng.integers(80, 120, n), np.zeros(n, np.int64), np.full(n, -1), random)
+    assert len(got) < 0.05 * n * (n - 1) / 2 and time.time() - start < 10
+    none = np.empty(0, np.int64)
+    assert not len(m.rare_pairs(none, none, none, none, none, none, np.empty((0, 2), np.uint64)))
