@@ -6,6 +6,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -74,8 +75,8 @@ def _reviews(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY s_suppkey) AS set_index, s_name AS filename, s_name || ' title' AS title, 'https://example.org/' || s_suppkey AS source, 'CC0' AS license, CAST(s_nationkey AS varchar) AS artist FROM supplier")
 def source_table_csv(spark, sf_dir):
-    """Without a JSON file the CSV is read, and its rows are numbered in their order."""
-    s = table(spark, sf_dir, "supplier").orderBy("s_suppkey").coalesce(1)
+    """Without a JSON file the CSV is read, and its rows are numbered in their order. Each range is a file of its own."""
+    s = table(spark, sf_dir, "supplier").repartitionByRange(8, "s_suppkey").sortWithinPartitions("s_suppkey")
     folder = shared_path(spark, "sources")
     rows = s.select(F.col("s_name").alias("filename"), F.concat("s_name", F.lit(" title")).alias("title"), F.concat(F.lit("https://example.org/"), F.col("s_suppkey").cast("string")).alias("source_url"), F.lit("CC0").alias("license"), F.col("s_nationkey").cast("string").alias("artist"))
     sinks.create_once(rows, f"{folder}/sources.csv")
@@ -84,10 +85,12 @@ def source_table_csv(spark, sf_dir):
 
 @query("SELECT CAST(s_suppkey * 2 AS bigint) AS set_index, s_name AS filename, CAST(NULL AS varchar) AS title, 'https://example.org/' || s_suppkey AS source, 'CC0' AS license, CAST(s_nationkey AS varchar) AS artist FROM supplier")
 def source_table_json(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
+    """Lists of up to a hundred suppliers, each a file of its own."""
+    s = S.ranked(table(spark, sf_dir, "supplier"), ["s_suppkey"]).withColumn("list", F.floor(F.col("rank") / 100))
     folder = shared_path(spark, "sources")
     fields = F.struct((F.col("s_suppkey") * 2).alias("set_index"), F.col("s_name").alias("filename"), F.concat(F.lit("https://example.org/"), F.col("s_suppkey").cast("string")).alias("source"), F.lit("CC0").alias("license"), F.col("s_nationkey").cast("string").alias("artist"))
-    s.groupBy().agg(F.to_json(F.collect_list(fields)).alias("value")).write.text(f"{folder}/sources.json")
+    lists = s.groupBy("list").agg(F.to_json(F.collect_list(fields)).alias("value")).select("value")
+    lists.write.option("maxRecordsPerFile", 1).text(f"{folder}/sources.json")
     return readers.read_sources(spark, folder)
 
 
@@ -125,23 +128,31 @@ def file_scan(spark, sf_dir):
     return files.join(readers.file_hashes(spark, folder).select("path", "sha256"), "path").select("stem", "length", "sha256", "suffix")
 
 
-@query("SELECT 'd/' || n_name || '.txt' AS name, CAST(octet_length(encode(n_name)) AS bigint) AS size, sha256(n_name) AS sha256 FROM nation")
+@query("SELECT 'parts' || p_size || '.zip' AS archive, 'd/' || p_partkey || '.txt' AS name, CAST(octet_length(encode(p_name)) AS bigint) AS size, sha256(p_name) AS sha256 FROM part WHERE p_size IS NOT NULL")
 def zip_members(spark, sf_dir):
-    """Nations as members of one archive, of which 25 are expected."""
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for r in table(spark, sf_dir, "nation").collect():  # 25 rows
-            z.writestr(f"d/{r['n_name']}.txt", r["n_name"])
-    path = f"{shared_path(spark, 'zip')}/a.zip"
-    sinks._write_bytes(spark, path, buffer.getvalue())
-    return readers.read_zip(spark, path, 25).select("name", "size", "sha256")
+    """Parts as members of archives, one for each size, packed by the tasks that hold them."""
+    folder = shared_path(spark, "zip")
 
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            for key, name in zip(rows["p_partkey"], rows["p_name"], strict=True):
+                z.writestr(f"d/{key}.txt", name)
+        return pd.DataFrame({"path": [f"{folder}/parts{rows['p_size'].iloc[0]}.zip"], "content": [buffer.getvalue()]})
 
-@query("SELECT 'f' || n_nationkey AS stem FROM nation")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").filter("p_size IS NOT NULL")
+    p.groupBy("p_size").applyInPandas(packed, "path string, content binary").transform(written_files).count()
+    found = readers.read_zip(spark, folder, p.count())
+    return found.select(F.substring_index("archive", "/", -1).alias("archive"), "name", "size", "sha256")
+
+
+@query("SELECT 'f' || p_partkey AS stem, 'images/f' || p_partkey || '.JPG' AS image, 'labels/f' || p_partkey || '.txt' AS label FROM part WHERE p_size < 30")
 def image_label_files(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("a/f"), F.col("n_nationkey").cast("string")).alias("p"))
-    named = lambda end: n.select(X.stem(F.concat("p", F.lit(end))).alias("stem"), F.concat("p", F.lit(end)).alias("path"))
-    return readers.image_label_pairs(named(".jpg"), named(".txt")).select("stem")
+    """Images of small parts, label files of all parts and suppliers: labels without an image are left out."""
+    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    named = lambda df, first, key, end: df.select(F.concat(F.lit(first), F.col(key).cast("string"), F.lit(end)).alias("path")).select(X.stem("path").alias("stem"), "path")
+    labels = named(p, "labels/f", "p_partkey", ".txt").unionByName(named(s, "labels/s", "s_suppkey", ".txt"))
+    return readers.image_label_pairs(named(p.filter("p_size < 30"), "images/f", "p_partkey", ".JPG"), labels)
 
 
 @query("SELECT p_name AS path, CAST(p_size AS bigint) AS size, 'https://example.org/' || p_partkey AS url FROM part")
@@ -213,7 +224,7 @@ def merged_sets(spark, sf_dir):
     k = F.col("c_custkey")
     a = _customers(spark, sf_dir).select(k.alias("key"), F.when(k % 10 < 7, "train").when(k % 10 == 7, "validation").otherwise("test").alias("split"))
     b = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 100_000_000).alias("key"), F.lit("train").alias("split"))
-    protected = spark.range(0).select(F.col("id").alias("key"))
+    protected = table(spark, sf_dir, "orders").select((-1 - F.col("o_orderkey")).alias("key"))
     return M.value_counts(C.merged_sets([a, b], [True, True], "key", "split", protected), "split")
 
 
@@ -271,9 +282,11 @@ def report_rows(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def committed_version(spark, sf_dir):
-    """A table committed as a version, read through the pointer."""
+    """Two versions of a table, read through the pointer, which names the second one."""
     root = shared_path(spark, "versions")
-    sinks.commit_versions({"nation": table(spark, sf_dir, "nation")}, root)
+    n = table(spark, sf_dir, "nation")
+    sinks.commit_versions({"nation": n.withColumn("n_name", F.lower("n_name")).filter("n_regionkey > 1")}, root)
+    sinks.commit_versions({"nation": n}, root)
     version = spark.read.schema("version string").json(f"{root}/CURRENT").first()["version"]
     return spark.read.parquet(f"{root}/{version}/nation")
 
@@ -372,10 +385,12 @@ def fail_fast(spark, sf_dir):
     return V.require(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice") >= 0, "a price is negative")
 
 
-@query("SELECT vec_id, CASE WHEN isnan(v) OR isinf(v) THEN 'not_finite' WHEN v < -1 OR v > 1 THEN 'out_of_range' END AS error FROM (SELECT vec_id, CAST(embedding[1] AS double) * 4 AS v FROM embeddings)")
+@query("SELECT vec_id, CASE WHEN len(list_filter(v, lambda x: NOT isfinite(x))) > 0 THEN 'not_finite' WHEN len(list_filter(v, lambda x: x < -1 OR x > 1)) > 0 THEN 'out_of_range' END AS error FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS double) * 4) AS v FROM embeddings)")
 def value_ranges(spark, sf_dir):
-    v = F.element_at("embedding", 1).cast("double") * 4
-    return table(spark, sf_dir, "embeddings").select("vec_id", V.first_error([("not_finite", ~X.finite(v)), ("out_of_range", (v < -1) | (v > 1))]).alias("error"))
+    """First fault of a whole vector: a value that isn't finite, then one that is out of range."""
+    v = F.transform("embedding", lambda x: x.cast("double") * 4)
+    far = F.exists(v, lambda x: (x < -1) | (x > 1))
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.first_error([("not_finite", ~F.forall(v, X.finite)), ("out_of_range", far)]).alias("error"))
 
 
 @query("SELECT vec_id, p.place, x, y FROM (SELECT vec_id, unnest(range(len(embedding) // 2)) AS place, embedding FROM embeddings) AS p, LATERAL (SELECT CAST(embedding[place + 1] AS double) AS x, CAST(embedding[place + 1 + len(embedding) // 2] AS double) AS y)")
@@ -478,9 +493,11 @@ def polygon_overlaps(spark, sf_dir):
     return e.select("vec_id", MK.pixels("a").alias("n_a"), MK.pixels("b").alias("n_b"), MK.covered_pixels(["a", "b"], 2).alias("n_both"), MK.pixels(MK.union_runs(F.array("a", "b"))).alias("n_either"), MK.run_iou("a", "b").alias("iou"), MK.run_coverage("a", F.lit(768)).alias("coverage"))
 
 
-@query("SELECT vec_id, list_filter(range(8), lambda k: embedding[k + 1] >= 0.1) AS kept FROM embeddings")
+@query("SELECT vec_id, list_filter(range(len(embedding)), lambda k: embedding[k + 1] >= 0.1) AS kept FROM embeddings")
 def score_filter(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")).alias("polygons"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("scores"))
+    """Every value of a vector is the score of the polygon of its number."""
+    numbers = F.sequence(F.lit(0).cast("long"), F.size("embedding").cast("long") - 1)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", numbers.alias("polygons"), F.transform("embedding", lambda v: v.cast("double")).alias("scores"))
     return e.select("vec_id", G.polygons_above("polygons", "scores", F.lit(0.1).cast("float").cast("double")).alias("kept"))
 
 
@@ -495,15 +512,17 @@ def filled_rectangles(spark, sf_dir):
     return s.select("s_suppkey", F.aggregate("m", F.lit(0).cast("long"), lambda a, v: a + v).alias("pixels"))
 
 
-@query("SELECT vec_id, CAST(sum(CASE WHEN r > l THEN 1 ELSE 0 END) AS bigint) AS ones FROM (SELECT vec_id, unnest(range(64)) AS k, embedding FROM embeddings) AS a, LATERAL (SELECT round_even(CAST(embedding[(k // 8) * 8 + least(k % 8 + 1, 7) + 1] AS double) * 100, 0) AS r, round_even(CAST(embedding[(k // 8) * 8 + k % 8 + 1 - CASE WHEN k % 8 = 7 THEN 0 ELSE 0 END] AS double) * 100, 0) AS l) WHERE k % 8 < 7 GROUP BY vec_id")
+@query("""SELECT vec_id, CAST(count(*) FILTER (r > l) AS bigint) AS ones, string_agg(CASE WHEN r > l THEN '1' ELSE '0' END, '' ORDER BY k) AS bits
+FROM (SELECT vec_id, k, round_even(CAST(embedding[(k // 8 * 9 + k % 8 + 1) % 64 + 1] AS double) * 100, 0) AS r, round_even(CAST(embedding[(k // 8 * 9 + k % 8) % 64 + 1] AS double) * 100, 0) AS l
+FROM (SELECT vec_id, unnest(range(64)) AS k, embedding FROM embeddings)) GROUP BY vec_id""")
 def image_hash_ones(spark, sf_dir):
-    """Vectors as images of 8 rows, each pixel nine wide, so that area means give the pixels back; bits set in the hash.
-
-    Nine equal parts of a row of 8 pixels blur neighbours, so pixels are repeated to 9 columns: the last one twice."""
-    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.concat(F.slice("embedding", r * 8 + 1, F.lit(8)), F.slice("embedding", r * 8 + 8, F.lit(1)))))
-    pixels = F.transform(rows, lambda v: v.cast("double") * 100)
-    e = table(spark, sf_dir, "embeddings").select("vec_id", image_difference_hash(pixels, F.lit(8), F.lit(9)).alias("hash"))
-    return e.select("vec_id", F.bit_count("hash").cast("long").alias("ones"))
+    """Vectors as images of 16 by 27 pixels, whose areas of 2 by 3 have the vector's values as their means: all bits of the hash."""
+    cell = lambda r, c: F.element_at("embedding", ((r / 2).cast("int") * 9 + (c / 3).cast("int")) % 64 + 1).cast("double") * 100
+    # Pixels of an area are as much above as below of its value.
+    pixel = lambda i: cell((i / 27).cast("int"), i % 27) + (i % 3 - 1) * 8
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(16 * 27 - 1)), pixel).alias("pixels"))
+    e = e.select("vec_id", image_difference_hash("pixels", F.lit(16), F.lit(27)).alias("hash"))
+    return e.select("vec_id", F.bit_count("hash").cast("long").alias("ones"), F.lpad(F.bin("hash"), 64, "0").alias("bits"))
 
 
 @query("SELECT label, avg(c) AS mean_coverage, max(c) AS max_coverage, count(*) FILTER (c > 0) AS frames_with_mask FROM (SELECT label, len(list_filter(embedding, lambda v: v > 0.2)) / len(embedding) AS c FROM embeddings) GROUP BY label")

@@ -19,12 +19,12 @@ NEAR = 5
 _SPLIT = f"CASE WHEN b < 70 THEN 'train' WHEN b < 85 THEN 'validation' ELSE 'test' END"
 
 
-@query("""SELECT k AS custkey, n_left, n_right, CASE WHEN n_left > 1 OR n_right > 1 THEN 'duplicate' WHEN n_right = 0 THEN 'unmatched_left' WHEN n_left = 0 THEN 'unmatched_right' ELSE 'matched' END AS verdict
-FROM (SELECT k, CAST(count(*) FILTER (s = 1) AS bigint) AS n_left, CAST(count(*) FILTER (s = 2) AS bigint) AS n_right FROM (SELECT c_custkey AS k, 1 AS s FROM customer UNION ALL SELECT o_custkey, 2 FROM orders WHERE o_orderpriority LIKE '1%') GROUP BY k)""")
+@query("""SELECT k AS orderkey, n_left, n_right, CASE WHEN n_left > 1 OR n_right > 1 THEN 'duplicate' WHEN n_right = 0 THEN 'unmatched_left' WHEN n_left = 0 THEN 'unmatched_right' ELSE 'matched' END AS verdict
+FROM (SELECT k, CAST(count(*) FILTER (s = 1) AS bigint) AS n_left, CAST(count(*) FILTER (s = 2) AS bigint) AS n_right FROM (SELECT o_orderkey AS k, 1 AS s FROM orders UNION ALL SELECT l_orderkey, 2 FROM lineitem) GROUP BY k)""")
 def strict_one_to_one(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
-    o = table(spark, sf_dir, "orders").filter("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("custkey"))
-    return P.strict_one_to_one(c, o, "custkey")
+    """Orders against all of their lines: those of one line match."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"))
+    return P.strict_one_to_one(o, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey")), "orderkey")
 
 
 @query("""SELECT coalesce(a.k, b.k) AS key, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'extra' END AS side FROM (SELECT DISTINCT s_suppkey AS k FROM supplier) AS a

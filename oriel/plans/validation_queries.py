@@ -106,17 +106,16 @@ def mask_rules(spark, sf_dir):
     return e.select("vec_id", V.all_errors(rules).alias("errors"))
 
 
-_XY = ", ".join(f"CAST(embedding[{2 * k + 1}] AS double) * 50 + 40 AS x{k}, CAST(embedding[{2 * k + 2}] AS double) * 50 + 40 AS y{k}" for k in range(3))
-
-
-@query(f"""SELECT vec_id, CASE WHEN least(x0, x1, x2, y0, y1, y2) < 25 OR greatest(x0, x1, x2) > 60 OR greatest(y0, y1, y2) > 60 THEN 'outside' WHEN area <= 0 THEN 'no_area' END AS error, area
-FROM (SELECT *, abs(x0 * y1 - x1 * y0 + x1 * y2 - x2 * y1 + x2 * y0 - x0 * y2) / 2 AS area FROM (SELECT vec_id, {_XY} FROM embeddings))""")
+@query("""SELECT vec_id, CASE WHEN list_min(v) < 10 OR list_max(v) > 70 THEN 'outside' WHEN area <= 0 THEN 'no_area' END AS error, area
+FROM (SELECT vec_id, v, abs(list_sum(list_transform(range(n), lambda i: v[2 * i + 1] * v[2 * ((i + 1) % n) + 2] - v[2 * ((i + 1) % n) + 1] * v[2 * i + 2]))) / 2 AS area
+FROM (SELECT vec_id, len(embedding) // 2 AS n, list_transform(embedding, lambda x: CAST(x AS double) * 50 + 40) AS v FROM embeddings))""")
 def geometry_validation(spark, sf_dir):
+    """All values of a vector as the corners of one polygon."""
     v = lambda k: F.element_at("embedding", k).cast("double") * 50 + 40
-    points = F.array(*(F.struct(v(2 * k + 1).alias("x"), v(2 * k + 2).alias("y")) for k in range(3)))
-    e = table(spark, sf_dir, "embeddings").select("vec_id", points.alias("points"))
-    shifted = F.transform("points", lambda q: F.struct((q["x"] - 25).alias("x"), (q["y"] - 25).alias("y")))
-    return e.select("vec_id", G.polygon_error(shifted, F.lit(35.0), F.lit(35.0)).alias("error"), G.shoelace_area("points").alias("area"))
+    corners = F.sequence(F.lit(0), (F.size("embedding") / 2).cast("int") - 1)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(corners, lambda k: F.struct(v(2 * k + 1).alias("x"), v(2 * k + 2).alias("y"))).alias("points"))
+    shifted = F.transform("points", lambda q: F.struct((q["x"] - 10).alias("x"), (q["y"] - 10).alias("y")))
+    return e.select("vec_id", G.polygon_error(shifted, F.lit(60.0), F.lit(60.0)).alias("error"), G.shoelace_area("points").alias("area"))
 
 
 @query("""SELECT doc_id, list_filter([CASE WHEN s = 'human_reviewed' AND who = '' THEN 'reviewer_required' END, CASE WHEN s = 'human_reviewed' AND NOT regexp_matches(at_, '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN 'zoned_time_required' END,
