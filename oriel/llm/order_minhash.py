@@ -206,9 +206,16 @@ def common_labels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     each = max(1, docs.count() // SAMPLED_TEXTS)
     some = docs.filter(F.pmod("k1", F.lit(each)) == 0).select("text").distinct()
-    counts = some.mapInArrow(label, "label long").groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = counts.orderBy(F.col("n").desc(), "label").limit(COMMON_LABELS).toPandas()
-    labels, n = rows["label"].to_numpy(np.int64).view(_U), rows["n"].to_numpy(np.int64)
+    counts = written(some.mapInArrow(label, "label long").groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "common")
+    # The commonest ones, whole levels of n at a time; there are no more levels than sampled texts.
+    least, held = 2, 0
+    for level in counts.groupBy("n").agg(F.count(F.lit(1)).alias("labels")).orderBy(F.col("n").desc()).collect():
+        held += level["labels"]
+        if held > COMMON_LABELS:
+            least = level["n"] + 1
+            break
+    rows = counts.filter(F.col("n") >= least).toArrow()
+    labels, n = rows["label"].to_numpy().view(_U), rows["n"].to_numpy()
     order = np.argsort(labels)
     return labels[order], n[order]
 
