@@ -108,14 +108,14 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def scanned(machine: WindowMachine, text) -> tuple[int, list[tuple[int, int]], list[str]]:
+def scanned(machine: WindowMachine, text) -> tuple[int, list[tuple[int, int]], list[str | None]]:
     """Words of a text, the runs of words that windows hit, and the items found."""
     words = folded_words(text)
     hits, found = [], set()
     for first, last, own in machine.find(words):
         hits.append((first, last))
         found.update(own)
-    return len(words), merged(hits), sorted(found)
+    return len(words), merged(hits), sorted(found, key=lambda x: (x is None, x or ""))
 
 
 FOUND = pa.schema(
@@ -145,9 +145,24 @@ def scan(batches: Iterator[pa.RecordBatch], machine: WindowMachine, every: bool
         yield out if every else out.filter(pa.array([bool(r["hits"]) for r in rows], pa.bool_()))
 
 
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits and spans of several blocks as one automaton would give them: runs of words that touch are one, from the
+    start of its first word to the end of its last."""
+    for batch in batches:
+        hits, spans = [], []
+        for h, s in zip(batch.column("hits").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            starts = {x["first"]: y["start"] for x, y in zip(h, s, strict=True)}
+            stops = {x["last"]: y["stop"] for x, y in zip(h, s, strict=True)}
+            runs = merged([(x["first"], x["last"]) for x in h])
+            hits.append([{"first": x, "last": y} for x, y in runs])
+            spans.append([{"start": starts[x], "stop": stops[y]} for x, y in runs])
+        columns = {c: batch.column(c) for c in batch.schema.names} | {"hits": pa.array(hits, FOUND.field("hits").type), "spans": pa.array(spans, FOUND.field("spans").type)}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[str, int]:
     """The benchmark's items written by blocks to the shared folder: the folder and the number of blocks."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     words = F.regexp_extract_all(F.translate("text", UPPER, UPPER.lower()), F.lit(f"({WORD.pattern})"), F.lit(1))
     cut = items.withColumn("words", words).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(PIECE_WORDS))
@@ -155,7 +170,7 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> tup
     total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(1.25 * total / block_words)) if total > block_words else 1
     folder = shared_path(benchmark.sparkSession, "benchmark")
-    pieces.select("item_id", "text", F.pmod(F.xxhash64("item_id", "at"), F.lit(blocks)).cast("int").alias("block")).repartition("block").write.partitionBy("block").parquet(folder)
+    pieces.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text", "at"), F.lit(blocks)).cast("int").alias("block")).repartition("block").write.partitionBy("block").parquet(folder)
     return folder, blocks
 
 
@@ -164,7 +179,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
 
     ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` ``item_id`` and ``text``; other columns are
     left alone. Null and empty texts have no words; an item without words matches nothing, an item
-    shorter than the window is one window. Repeated rows give a row each; an empty benchmark gives
+    shorter than the window is one window. Items without an id hit words like others; they count as
+    one item together, a null in ``items`` that the digest leaves out. Repeated rows give a row each; an empty benchmark gives
     rows without hits, an empty table no rows. Very long texts are scanned whole, one at a time. Spans are code
     point offsets ``[start, stop)`` of the original text.
 
@@ -187,7 +203,8 @@ def judged(keyed: DataFrame, a: str, b: str, folder: str, blocks: int, window: i
             found = found.unionByName(p)
         together = lambda c: F.flatten(F.collect_list(c)).alias(c)
         found = found.groupBy("row_a", "row_b").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), together("hits"), together("spans"), F.array_distinct(together("items")).alias("items"))
-    # Ranges are sorted and united, so that words hit by several blocks count once.
+        found = found.mapInArrow(united, SCAN_SCHEMA)
+    # Ranges are apart and in order; their lengths are summed.
     hit = F.aggregate(
         F.array_sort("hits"),
         F.struct(F.lit(-1).alias("end"), F.lit(0).cast("long").alias("n")),
@@ -250,7 +267,7 @@ def brute_force(docs: list[tuple], items: list[tuple], size: int = 13) -> list[t
                 for j in range(len(w) - len(x) + 1):
                     if w[j : j + len(x)] == x:
                         hit |= set(range(j, j + len(x)))
-                        own.add(str(item))
-        sha = hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
+                        own.add(None if item is None else str(item))
+        sha = hashlib.sha256(",".join(sorted(own - {None})).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(own), sha, bool(hit) and 20 * len(hit) >= len(w)))
     return out
