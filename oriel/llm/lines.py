@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oriel.llm.common import written
+from oriel.llm.common import with_row_key, written
 
 #: A window hash is hot if it has over this share of all windows; so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 1000
@@ -53,17 +53,30 @@ def line_dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     doc_id, then by row hash, then by line; the same document included) is removed; overlapping removed
     runs merge. Windows are judged on the input, not on what is left. Documents of fewer lines have no
     window and stay whole. A null text has no lines and stays null; an empty one has one empty line.
-    Rows with the same doc_id and text count as one place each, the first of them is kept if it is
-    told apart by its number; repeated rows that can't be told apart share one decision. Null doc_ids
+    Of rows with the same doc_id and text the first by file and place stays as it would alone; the others lose every line,
+    if they have a window, as all of theirs occur earlier. Null doc_ids
     come first. Other columns are left alone; an empty table gives no rows.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
+    docs, a, b = with_row_key(docs)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.col(a).alias("file"), F.col(b).alias("at")).alias("place")).withColumn("row", F.xxhash64("text"))
     windows = written(line_windows(own, size), "windows")
     repeated = written(repeated_windows(windows), "repeated")
-    later = later_places(windows, repeated)
-    starts = later.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("starts"))
-    out = own.alias("d").join(starts.alias("s"), F.expr("d.doc_id <=> s.doc_id AND d.row = s.row"), "left").select("d.doc_id", "d.text", F.coalesce("s.starts", F.array().cast("array<int>")).alias("starts"))
+    copies = written(own.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_copy")).filter("n > 1"), "copies")
+    decided = later_places(windows, repeated).withColumn("first_copy", F.lit(None).cast(copies.schema["first_copy"].dataType))
+    decided = decided.unionByName(copies.select("doc_id", "row", F.lit(None).cast("int").alias("pos"), "first_copy"))
+    decided = decided.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("starts"), F.max("first_copy").alias("first_copy"))
+    # Later copies of a frequent row are told by a broadcast table of at most 1 / HOT_SHARE rows; all others meet by key.
+    total = copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.broadcast(copies.filter(F.col("n") > max(1000.0, total * HOT_SHARE))).alias("s")
+    same = "d.doc_id <=> s.doc_id AND d.row = s.row"
+    again = own.alias("d").join(hot, F.expr(f"{same} AND d.place <> s.first_copy"))
+    rest = own.alias("d").join(hot, F.expr(f"{same} AND d.place <> s.first_copy"), "left_anti").alias("d").join(decided.alias("s"), F.expr(same), "left")
+    none = F.array().cast("array<int>")
+    out = again.select("d.doc_id", "d.text", none.alias("starts"), F.lit(True).alias("copy")).unionByName(
+        rest.select("d.doc_id", "d.text", F.coalesce("s.starts", none).alias("starts"), F.coalesce(F.expr("d.place <> s.first_copy"), F.lit(False)).alias("copy"))
+    )
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (size - 1)))))
+    covered = F.when(F.col("copy") & (F.size("lines") >= size), F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(covered)
     out = out.withColumn("lines", F.split("text", "\n")).withColumn("removed", covered)
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
     # A run starts at a removed line whose predecessor stays.

@@ -72,13 +72,28 @@ def test_wide_anchors_are_cut_anew(spark):
 
 
 def test_decontamination_in_blocks(docs, bench):
-    one = decontaminate.decontaminate(docs, bench).drop("spans")
-    many = decontaminate.decontaminate(docs, bench, block_words=20).drop("spans")
+    one = decontaminate.decontaminate(docs, bench)
+    many = decontaminate.decontaminate(docs, bench, block_words=20)
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
     items = [(1, LONG), (2, "short")]
     assert {(r["doc_id"], r["n_hit"]) for r in one.collect()} == {x[:1] + x[2:3] for x in decontaminate.brute_force(ROWS, items)}
 
 
+def test_items_without_an_id_hit_and_spans_of_blocks_are_one(spark):
+    items = [(None, LONG), (None, "short"), (4, "short"), (None, None), (5, NEAR)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = Counter(decontaminate.brute_force(ROWS, items))
+    spans = []
+    for words in (decontaminate.BLOCK_WORDS, 20):
+        got = decontaminate.decontaminate(frame(spark), bench, block_words=words).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == want
+        spans.append(Counter((r["doc_id"], tuple((x["start"], x["stop"]) for x in r["spans"])) for r in got))
+        assert {r["doc_id"]: r["items"] for r in got}[7] == ["4", None]
+    assert spans[0] == spans[1] and spans[0][1, ((0, len(LONG)),)] == 1
+    kept = [r["doc_id"] for r in decontaminate.keep_clean(frame(spark), bench.filter("item_id IS NULL")).collect()]
+    assert 7 not in kept and 1 not in kept and 8 in kept
+
+
 def test_mix_meets_its_targets(spark):
     r = random.Random(1)
     rows = [(i, " ".join(["w"] * r.randint(0, 40)), "en", None if i % 9 == 0 else f"s{i % 5}", *[None] * 12) for i in range(300)]
@@ -144,6 +159,17 @@ def test_lines(spark):
     assert got == {1: (4, 0, 0, "a\nb\nc\nd"), 2: (6, 4, 1, "x\ny"), 3: (2, 0, 0, "a\nb"), 4: (0, 0, 0, None), 5: (1, 0, 0, "")}
 
 
+def test_later_copies_lose_their_lines(spark):
+    text, two = "a\nb\nc\nd", "a\nb"
+    rows = [(None, text)] * 3000 + [(None, "q\nb\nc\nd")] + [(1, text)] * 3 + [(2, two)] * 2 + [(3, None)] * 2 + [(4, "z\nz\nz\nz")] * 2
+    got = Counter((r["doc_id"], r["n_removed"], r["n_spans"], r["text"]) for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    tail = {k: got.pop(k) for k in list(got) if k[0] is None}
+    # Of the two texts without an id the one of the lower hash comes first and stays whole.
+    assert sum(tail.values()) == 3001 and tail[None, 4, 1, ""] == 2999
+    assert tail in ({(None, 4, 1, ""): 2999, (None, 0, 0, text): 1, (None, 3, 1, "q"): 1}, {(None, 4, 1, ""): 2999, (None, 3, 1, "a"): 1, (None, 0, 0, "q\nb\nc\nd"): 1})
+    assert got == {(1, 4, 1, ""): 3, (2, 0, 0, two): 2, (3, 0, 0, None): 2, (4, 3, 1, "z"): 1, (4, 4, 1, ""): 1}
+
+
 def test_pages(spark):
     p = spark.createDataFrame([(1, "http://a.net/x", "<p>Hi"), (2, None, None), (2, None, None), (None, "", "")], "page_id long, url string, html string")
     assert [r["text"] for r in html_text.extract_main_text(p).orderBy("page_id").collect()] == ["", "Hi", "", ""]
