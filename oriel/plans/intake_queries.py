@@ -22,9 +22,9 @@ from oriel.operators import review as R
 from oriel.operators import select as S
 from oriel.operators import validate as V
 from oriel.plans.registry import query, table
-from oriel.plans.tables import shared_path
-from oriel.sources import commits, readers, schemas, sinks
-from oriel.sources.files import written_files
+from oriel.plans.tables import shared_path, written
+from oriel.sources import commits, logs, readers, schemas, sinks
+from oriel.sources.files import hashed, materialised, written_files
 
 
 def _customers(spark, sf_dir):
@@ -155,6 +155,34 @@ def image_label_files(spark, sf_dir):
     return readers.image_label_pairs(named(p.filter("p_size < 30"), "images/f", "p_partkey", ".JPG"), labels)
 
 
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def log_lines(spark, sf_dir):
+    """Events as logs of up to a thousand lines, written by tasks and read by ranges of bytes."""
+    folder = shared_path(spark, "logs")
+    line = F.to_json(F.struct("event_id", "user_id", "event_type", "value"), {"ignoreNullFields": "false"})
+    e = S.ranked(table(spark, sf_dir, "events"), ["event_id"]).select(F.floor(F.col("rank") / 1000).alias("log"), F.concat(line, F.lit("\n")).alias("line"))
+    files = e.groupBy("log").agg(F.concat_ws("", F.collect_list("line")).cast("binary").alias("content"))
+    files.select(F.concat(F.lit(f"{folder}/"), F.col("log").cast("string"), F.lit(".log")).alias("path"), "content").transform(written_files).count()
+    event = F.from_json("line", "event_id long, user_id long, event_type string, value double", {"mode": "FAILFAST"})
+    return logs.log_lines(spark, folder, task_bytes=1 << 16).select(event.alias("e")).select("e.*")
+
+
+@query("SELECT 'd/' || p_partkey || '.txt' AS path, CAST(octet_length(encode(p_name)) AS bigint) AS length, CASE WHEN p_partkey % 3 = 0 THEN 'reused' ELSE 'fetched' END AS status, sha256(p_name) AS sha256 FROM part")
+def materialised_files(spark, sf_dir):
+    """Parts brought from one folder into another, which has a third of them already, and of another third a shorter file."""
+    origin, cache = shared_path(spark, "origin"), shared_path(spark, "cache")
+    name, key = F.concat(F.lit("d/"), F.col("p_partkey").cast("string"), F.lit(".txt")), F.col("p_partkey") % 3
+    p = table(spark, sf_dir, "part").select(name.alias("name"), F.col("p_name").cast("binary").alias("content"), key.alias("k"))
+    at = lambda folder: F.concat(F.lit(f"{folder}/"), F.col("name")).alias("path")
+    written_files(p.select(at(origin), "content")).count()
+    written_files(p.filter("k < 2").select(at(cache), F.when(F.col("k") == 1, F.substring("content", 2, 1 << 30)).otherwise(F.col("content")).alias("content"))).count()
+    rows = p.select(F.col("name").alias("path"), F.octet_length("content").cast("long").alias("size"), at(origin).alias("url"))
+    # What tasks did is written before it is read twice: a second run would reuse everything.
+    done = written(materialised(rows, cache), "done")
+    hashes = hashed(done.select(F.concat(F.lit(f"{cache}/"), F.col("path")).alias("path"), "length")).select("path", "sha256")
+    return done.join(hashes.select(F.substring("path", len(cache) + 2, 1 << 20).alias("path"), "sha256"), "path")
+
+
 @query("SELECT p_name AS path, CAST(p_size AS bigint) AS size, 'https://example.org/' || p_partkey AS url FROM part")
 def paged_inventory(spark, sf_dir):
     """Parts as pages of a fetched inventory, a hundred to a page, each naming the next."""
