@@ -45,21 +45,25 @@ def whole_lines(system: fs.FileSystem, name: str, size: int, known: int = 0) ->
 
 
 def ends(folder: str, known: dict[str, int]) -> dict[str, int]:
-    """For each log of a folder where its last whole line ends. A log that was longer before is an error."""
+    """For each log of a folder where its last whole line ends; ``known`` are such ends of before."""
     system, root = located(folder)
     out = {}
     for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
         if f.type != fs.FileType.File or f.base_name.startswith((".", "_")):
             continue
         before = known.get(f.base_name, 0)
-        if f.size < before:
-            raise ValueError(f"{f.base_name} had {before} bytes and has {f.size}: a log must only grow")
-        out[f.base_name] = whole_lines(system, f.path, f.size, before)
-    if gone := known.keys() - out.keys():
-        raise ValueError(f"logs are gone: {', '.join(sorted(gone))}")
+        # Of a log that became shorter no end is known; ``grown`` tells it.
+        out[f.base_name] = whole_lines(system, f.path, f.size, before if before <= f.size else 0)
     return out
 
 
+def grown(start: dict[str, int], end: dict[str, int]) -> None:
+    """An error if a log is gone or has less than it had at the checkpoint, from which a restart goes on."""
+    for name, before in start.items():
+        if end.get(name, -1) < before:
+            raise ValueError(f"{name} had {before} bytes in whole lines and has {end.get(name, 'none')}: a log must only grow")
+
+
 def lines_of(part: Lines) -> Iterator[tuple[int, bytes]]:
     """(first byte, line) of each line that begins in the partition, without its end."""
     system, name = located(part.path)
@@ -118,10 +122,13 @@ class LogStreamReader(LogReader, DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        self.known = ends(self.folder, self.known)
-        return self.known
+        now = ends(self.folder, self.known)
+        grown(self.known, now)
+        self.known = now
+        return now
 
     def partitions(self, start: dict, end: dict) -> list[Lines]:
+        grown(start, end)
         return self.ranges(start, end)
 
     def commit(self, end: dict) -> None:
