@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oriel.llm.common import written
+from oriel.llm.common import drop_table, written
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, edges = edges, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop_table(last)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if (now["n"], now["h"]) == state:
             break

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oriel.llm.common import free_name, mix64, spread_join, written
+from oriel.llm.common import drop_table, free_name, mix64, spread_join, written
 from oriel.llm.graph import components
 
 SHINGLE_WORDS = 5
@@ -215,6 +215,7 @@ def common_labels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             least = level["n"] + 1
             break
     rows = counts.filter(F.col("n") >= least).toArrow()
+    drop_table(counts)
     labels, n = rows["label"].to_numpy().view(_U), rows["n"].to_numpy()
     order = np.argsort(labels)
     return labels[order], n[order]
@@ -589,13 +590,13 @@ def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
 
     # Whole texts are shuffled once, and only those that meet others are kept for all rounds.
     meeting = members.select("node").distinct()
-    texts = written(texts_of(holders.join(meeting, "node", "left_semi")), "texts")
+    texts = few_texts = written(texts_of(holders.join(meeting, "node", "left_semi")), "texts")
 
     def blocks(rows: DataFrame, number: int) -> DataFrame:
         part = F.pmod(F.xxhash64("node", "sketch", F.lit(number)), F.ceil(F.col("members") / BLOCK).cast("long"))
         return rows.withColumn("block", F.xxhash64("sketch", "key", part))
 
-    links, classes, tested = None, None, docs.sparkSession.createDataFrame([], "a long, b long")
+    links, classes, tested, scratch = None, None, docs.sparkSession.createDataFrame([], "a long, b long"), []
     for number in range(max_rounds):
         if classes is None:
             rows = members.withColumn("group", F.col("node")).withColumn("tested", F.lit(None).cast("array<long>"))
@@ -605,17 +606,22 @@ def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
             both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             rows = grouped.join(open_, ["sketch", "key"]).join(both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tested")), "node", "left")
         pairs = written(proposals(blocks(rows, number), number), "pairs")
+        scratch.append(pairs)
         tested = tested.unionByName(pairs)
         new = written(verified(pairs, texts), "links")
+        scratch.append(new)
         links = new if links is None else links.unionByName(new)
         if new.isEmpty():
             break
         classes = components(links)
+        scratch.append(classes)
 
     # All pairs of different classes that may still link: every one is tested, so that no link crosses classes.
     rest = nodes.select("node", F.col("n_shingles").alias("n"), "prefix", *PARITIES)
     rest = rest.withColumn("group", F.col("node")) if classes is None else rest.join(classes, "node", "left").withColumn("group", F.coalesce("class", "node"))
-    pairs = written(rest_of_pairs(written(rest, "rest")).join(tested, ["a", "b"], "left_anti"), "pairs")
+    rest = written(rest, "rest")
+    pairs = written(rest_of_pairs(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
+    drop_table(rest)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     more = written(holders.join(ids.join(meeting, "node", "left_anti"), "node", "left_semi"), "more")
     if n_more := more.count():
@@ -624,7 +630,11 @@ def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
     new = written(verified(pairs, texts), "links")
     if not new.isEmpty():
         classes = components(new if links is None else links.unionByName(new))
-    return membership(all_rows, contents, classes)
+        scratch.append(classes)
+    out = membership(all_rows, contents, classes)
+    for done in (*scratch, contents, members, few_texts, more, pairs, new):
+        drop_table(done)
+    return out
 
 
 def membership(all_rows: DataFrame, contents: DataFrame, classes: DataFrame | None) -> DataFrame:
