@@ -87,19 +87,24 @@ FIRST_RANGE, GROWTH = 64, 16
 HEAD = FIRST_RANGE * GROWTH
 #: Up to so many hashes one cut is enough, as each range costs a written table.
 ONE_CUT = HEAD * GROWTH
+#: About so many values, picked by hash and at most twice as many, tell the later cuts.
+CUT_VALUES = 20_000
 
 
 def index_cuts(hashes: DataFrame, order: str, first: int) -> list:
     """Values of ``order`` that end rising ranges of ``first`` hashes, ``GROWTH`` times as many, and so on: exact as far as ``HEAD``, about
-    right beyond it."""
+    right beyond it. ``order`` may be of any type that can be sorted; cuts only divide the work, any are exact."""
     n, sizes = hashes.count(), []
     while first < n:
         sizes.append(first)
         first *= GROWTH
     head = [r[0] for r in hashes.select(order).orderBy(order).limit(HEAD).collect()] if sizes and sizes[0] <= HEAD else []
     shares = [k / n for k in sizes if k > HEAD]
-    far = hashes.agg(F.percentile_approx(order, shares, 100_000)).first()[0] if shares else []
-    return sorted({*(head[k - 1] for k in sizes if k <= HEAD), *far})
+    if not shares:
+        return sorted({head[k - 1] for k in sizes if k <= HEAD})
+    some = hashes.select(order).filter(F.pmod(F.xxhash64(order), F.lit(max(1, n // CUT_VALUES))) == 0)
+    values = some.agg(F.sort_array(F.collect_list(order)).alias("v")).select(F.transform(F.array(*map(F.lit, shares)), lambda s: F.get("v", F.floor(s * F.size("v")).cast("int"))).alias("v"))
+    return sorted({*(head[k - 1] for k in sizes if k <= HEAD), *(v for v in values.first()["v"] if v is not None)})
 
 
 def earliest_near(x: DataFrame, y: DataFrame, threshold: int, agree: int | None = None, where: str = "true") -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oriel.llm import order_minhash
+from oriel.operators import dedup
 from oriel.plans import tables
 
 
@@ -34,3 +35,14 @@ def test_classes_keep_only_the_tables_that_they_read(spark):
     standing = [p for _, p in tables._FOLDERS[mark:] if Path(p.removeprefix("file://")).exists()]
     assert {p.rsplit("oriel-", 1)[1].split("-")[0] for p in standing} <= {"features", "named", "large", "labels"}
     assert {r["class_id"] for r in out.collect()} == {0}
+
+
+def test_greedy_order_of_texts_beyond_the_first_ranges(spark):
+    draw = random.Random(3)
+    hashes = [draw.getrandbits(64) - (1 << 63) for _ in range(17_000)]
+    hashes += [h ^ 5 for h in hashes[:200]]
+    ranks = draw.sample(range(10**6), len(hashes))
+    rows = spark.createDataFrame([(f"{r:064x}", h) for r, h in zip(ranks, hashes, strict=True)], "rank string, hash long")
+    kept = {r["rank"] for r in dedup.greedy_keep(rows, 5).filter("kept").collect()}
+    lost = {f"{max(ranks[k], ranks[17_000 + k]):064x}" for k in range(200)}
+    assert len(kept) == 17_000 and not kept & lost
