@@ -64,8 +64,9 @@ def half_keys(column: str, threshold: int) -> F.Column:
 
 
 def keyed(hashes: DataFrame, threshold: int, agree: int | None) -> DataFrame:
-    """``hashes`` once for each of their keys, as ``band``."""
-    return hashes.withColumn("band", F.explode(band_keys("hash", threshold, agree) if agree else half_keys("hash", threshold)))
+    """``hashes`` once for each of their keys, as ``band``. Spark takes this for no larger than ``hashes`` and would broadcast it, so
+    joins of it are told to shuffle; an explicit broadcast still holds."""
+    return hashes.withColumn("band", F.explode(band_keys("hash", threshold, agree) if agree else half_keys("hash", threshold))).hint("merge")
 
 
 def near_hashes(left: DataFrame, right: DataFrame, threshold: int, agree: int | None = None) -> DataFrame:

@@ -46,3 +46,26 @@ def test_greedy_order_of_texts_beyond_the_first_ranges(spark):
     kept = {r["rank"] for r in dedup.greedy_keep(rows, 5).filter("kept").collect()}
     lost = {f"{max(ranks[k], ranks[17_000 + k]):064x}" for k in range(200)}
     assert len(kept) == 17_000 and not kept & lost
+
+
+def test_keys_of_hashes_are_not_broadcast(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rows = tables.written(spark.range(2000).select("id", F.xxhash64("id").alias("hash")), "rows")
+    for df in (dedup.near_hashes(rows, rows, 5), dedup.near_any(rows.filter("id < 9"), rows, 5), dedup.near_hashes(rows, rows, 5, agree=2)):
+        band = [x for x in plan(df).splitlines() if "Join" in x and "band" in x]
+        assert band and all("SortMergeJoin" in x for x in band)
+
+
+def test_keys_agree_with_all_pairs(spark):
+    draw = random.Random(4)
+    hashes = [draw.getrandbits(63) for _ in range(300)]
+    hashes += [h ^ sum(1 << b for b in draw.sample(range(63), draw.randrange(1, 8))) for h in hashes[:200]]
+    rows = spark.createDataFrame(list(enumerate(hashes)), "idx long, hash long").withColumn("split", F.when(F.col("idx") % 3 == 0, "a").otherwise("b"))
+    near = [[i for i in range(k) if (hashes[i] ^ hashes[k]).bit_count() <= 5] for k in range(len(hashes))]
+    got = {r["idx"]: r["match_idx"] for r in dedup.first_near(rows, 5).collect()}
+    assert got == {k: min(x, default=None) for k, x in enumerate(near)}
+    got = {r["idx"]: r["match_idx"] for r in dedup.split_leaks(rows, 5, "all_pairs").collect()}
+    other = {k: [i for i in x if (i % 3 == 0) != (k % 3 == 0)] for k, x in enumerate(near)}
+    assert got == {k: x[0] for k, x in other.items() if x}
