@@ -1,5 +1,6 @@
 """What queries leave on disk on their way, and what near-duplicate retention hands to the driver."""
 
+import hashlib
 import random
 import time
 from pathlib import Path
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from oriel.llm import order_minhash
 from oriel.operators import dedup
 from oriel.plans import tables
+from oriel.sources import files, readers
 
 
 def shuffle_files(spark):
@@ -69,3 +71,20 @@ def test_keys_agree_with_all_pairs(spark):
     got = {r["idx"]: r["match_idx"] for r in dedup.split_leaks(rows, 5, "all_pairs").collect()}
     other = {k: [i for i in x if (i % 3 == 0) != (k % 3 == 0)] for k, x in enumerate(near)}
     assert got == {k: x[0] for k, x in other.items() if x}
+
+
+def test_files_of_small_rows_are_dealt_to_many_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{tmp_path}/a/{k % 3}/{k}", bytes([k])) for k in range(200)], "path string, content binary").coalesce(1)
+    done = files.written_files(rows).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in done}) >= spark.sparkContext.defaultParallelism and {r["length"] for r in done} == {1}
+    tasks = files.hashed(spark.createDataFrame(done).select("path", "length").coalesce(1)).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in tasks}) >= spark.sparkContext.defaultParallelism
+    assert {r["path"]: r["sha256"] for r in tasks} == {f"{tmp_path}/a/{k % 3}/{k}": hashlib.sha256(bytes([k])).hexdigest() for k in range(200)}
+
+
+def test_archives_are_streamed_and_read_in_parts(spark, tmp_path):
+    want = {(f"{k % 3}.zip", f"d/{k}"): b"x" * (k % 50) for k in range(14_000)}
+    rows = spark.createDataFrame([(f"{tmp_path}/{a}", n, c) for (a, n), c in want.items()], "path string, name string, content binary")
+    assert {r["path"]: r["length"] for r in files.written_zips(rows).collect()} == {str(p): p.stat().st_size for p in tmp_path.iterdir()}
+    got = readers.read_zip(spark, f"file://{tmp_path}", len(want)).collect()
+    assert {(r["archive"].rsplit("/", 1)[1], r["name"]): (r["size"], r["sha256"]) for r in got} == {k: (len(c), hashlib.sha256(c).hexdigest()) for k, c in want.items()}
