@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -221,11 +222,24 @@ def common_labels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return labels[order], n[order]
 
 
+#: Labels up to which parities tell texts apart, and labels beyond it for each further one that two texts must share.
+SHORT, FURTHER = 256, 64
+
+
+def least_shared(n):
+    """How many of their rare labels two texts of a similarity of 0.8 share at least, if the smaller one has ``n`` labels (an array or a column).
+
+    One alone is no sign in long texts: each has a fifth of its labels among its rare ones, and so most of them share one by chance.
+    """
+    over = np.maximum(n - SHORT, 0) if isinstance(n, np.ndarray) else F.greatest(n - SHORT, F.lit(0))
+    return over // FURTHER + 1 if isinstance(n, np.ndarray) else F.floor(over / FURTHER) + 1
+
+
 def rare_prefixes(labels: np.ndarray, n_shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The labels of each text that come first when rare ones lead, and how many of them each text has.
 
-    Two texts of a similarity of 0.8 share at least 4/5 of the labels of either. So the first label that they
-    share is among the first n - ceil(4n / 5) + 1 of both, in any order that is the same for all texts.
+    Two texts of a similarity of 0.8 share at least 4/5 of the labels of either. So the first k labels that they
+    share are among the first n - ceil(4n / 5) + k of both, in any order that is the same for all texts; k is ``least_shared``.
     """
     text_of = np.repeat(np.arange(len(n_shingles)), n_shingles)
     count = np.zeros(len(labels), np.int64)
@@ -233,7 +247,7 @@ def rare_prefixes(labels: np.ndarray, n_shingles: np.ndarray, common: np.ndarray
         at = np.minimum(np.searchsorted(common, labels), len(common) - 1)
         count = np.where(common[at] == labels, counts[at], 0)
     order = np.lexsort((labels, count, text_of))
-    size = np.where(n_shingles > 0, n_shingles - (4 * n_shingles + 4) // 5 + 1, 0)
+    size = np.where(n_shingles > 0, np.minimum(n_shingles, n_shingles - (4 * n_shingles + 4) // 5 + least_shared(n_shingles)), 0)
     place = np.arange(len(labels)) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles)
     return labels[order][place < size[text_of]], size
 
@@ -399,16 +413,17 @@ def proposals(members: DataFrame, number: int) -> DataFrame:
 LOOKED_AT = 1 << 20
 
 
-def rare_pairs(block: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, part: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def rare_pairs(block: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, part: np.ndarray, bits: np.ndarray, counted: bool = False) -> np.ndarray:
     """Pairs (low, high) of one block and of different groups that may have a similarity of 0.8, by sizes, by
-    the places of the shared label and by the parities ``bits`` (rows x words). Rows come in any order; a ``part`` of
-    -1 meets its like. What fails is never listed: a row looks only at those of its block whose sizes its
+    the places of the shared label and by the parities ``bits`` (rows x words); if ``counted``, with the number of blocks that they meet in.
+    Rows come in any order; a ``part`` of -1 meets its like. What fails is never listed: a row looks only at those of its block whose sizes its
     place allows, ``LOOKED_AT`` pairs at a time.
     """
     order = np.lexsort((size, block))
     block, node, group, size, place, part, bits = (x[order] for x in (block, node, group, size, place, part, bits))
-    # At least 4/9 of the labels of both are shared, and no more than follow the first shared one: 9 (n - place) >= 4 (n + m).
-    most = (5 * size - 9 * place) // 4
+    # At least 4/9 of the labels of both are shared, and no more than follow the first shared one: 9 (n - place) >= 4 (n + m). The last
+    # of those that must be shared has all but one of them before it.
+    most = np.minimum(5 * size - 9 * (place - least_shared(size) + 1), 5 * size) // 4
     span = int(size.max(initial=0)) + 2
     number = np.cumsum(np.append(0, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
     stop = np.searchsorted(number * span + size, number * span + np.clip(most, -1, span - 1), side="right")
@@ -428,8 +443,16 @@ def rare_pairs(block: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.
         good = 9 * apart <= size[i] + size[j]
         i, j = i[good], j[good]
         if len(i):
-            out.append(np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0))
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+            out.append(summed(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.ones(len(i), np.int64)], 1)))
+    both = summed(np.concatenate(out)) if out else np.empty((0, 3), np.int64)
+    return both if counted else both[:, :2]
+
+
+def summed(pairs: np.ndarray) -> np.ndarray:
+    """Distinct pairs of ``pairs`` (rows of low, high, number) with the sums of their numbers."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    first = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1)))
+    return np.column_stack([pairs[first, :2], np.add.reduceat(pairs[:, 2], first)])
 
 
 #: Sizes of one band differ by this factor at most, so texts of a similarity of 0.8 lie in one band or in neighbours.
@@ -480,45 +503,63 @@ def dealt(rows: DataFrame) -> DataFrame:
 BITS = ["q0", "q1"]
 
 
-def rest_of_pairs(nodes: DataFrame) -> DataFrame:
+#: Rows of labels that are shuffled at once, and parts of all of them at most: no more of them lies on disk together.
+LABEL_ROWS, LABEL_SLICES = 4_000_000, 8
+
+
+def rest_of_pairs(nodes: DataFrame, scratch: list[DataFrame] | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ``nodes`` (node, group, n, prefix, parities) of different groups: all
-    that may have a similarity of 0.8, as they share one of their rare labels and differ in few parity bits.
+    that may have a similarity of 0.8, as they share enough of their rare labels and differ in few parity bits.
 
     Nodes meet by label. How many nodes hold a label, and whether they are of several groups, is counted exactly, in the shuffle
-    that brings them together; labels that hold over a thousandth of all rows don't go through it. Labels of one
+    that brings them together, a slice of all labels at a time; labels that hold over a thousandth of all rows don't go through it. Labels of one
     group, those of one node among them, end there. Those of up to ``BLOCK`` nodes are a block, larger ones are ``dealt``.
-    Pairs are made after sizes, places and 128 parity bits are compared; 256 bits are then looked at once for each pair.
+    Pairs are made after sizes, places and 128 parity bits are compared; the labels that each shares are counted, and 256 bits are then looked at once.
+    Tables that the pairs are read from are added to ``scratch``.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: pa.Table) -> pa.RecordBatch:
             block, node, group, n, place, part = (rows[c].to_numpy().astype(np.int64) for c in ("block", "node", "group", "n", "place", "part"))
-            both = rare_pairs(block, node, group, n, place, part, np.stack([rows[c].to_numpy().view(_U) for c in BITS], 1))
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+            both = rare_pairs(block, node, group, n, place, part, np.stack([rows[c].to_numpy().view(_U) for c in BITS], 1), counted=True)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy()) for k in range(3)], names=["a", "b", "shared"])
 
         return by_blocks(batches, found)
 
+    scratch = [] if scratch is None else scratch
     bits = [F.col(f"p{k}").bitwiseXOR(F.col(f"p{k + 2}")).alias(b) for k, b in enumerate(BITS)]
     rows = nodes.select("node", "group", "n", F.posexplode("prefix").alias("place", "label"), *bits)
     hot = F.broadcast(hot_labels(rows))
     own = Window.partitionBy("label")
-    # The window's shuffle leaves each label in one task, sorted; blocks of small labels are read as they lie.
-    met = rows.join(hot, "label", "left_anti").select("*", F.count(F.lit(1)).over(own).alias("members"), F.min("group").over(own).alias("low"), F.max("group").over(own).alias("high")).filter("low < high")
     columns = ["label", "node", "group", "n", "place", *BITS]
-    cold = met.filter(F.col("members") <= BLOCK).sortWithinPartitions("label").withColumnRenamed("label", "block").withColumn("part", F.lit(-1))
+    total = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("n")).first()["n"]
+    parts = min(LABEL_SLICES, 1 + total // LABEL_ROWS)
+    met = None
+    for number in range(parts):
+        some = rows.filter(F.pmod("label", F.lit(parts)) == number).join(hot, "label", "left_anti")
+        counted = some.select("*", F.count(F.lit(1)).over(own).alias("members"), F.min("group").over(own).alias("low"), F.max("group").over(own).alias("high"))
+        shared = written(counted.filter("low < high").select(*columns, "members"), "met")
+        scratch.append(shared)
+        met = shared if met is None else met.unionByName(shared)
+    cold = met.filter(F.col("members") <= BLOCK).select(F.col("label").alias("block"), *columns[1:], F.lit(-1).alias("part"))
+    found = cold.repartition("block").sortWithinPartitions("block").mapInArrow(pair, PAIRS)
     large = written(met.filter(F.col("members") > BLOCK).select(columns).unionByName(rows.join(hot, "label", "left_semi").select(columns)), "large")
-    found = cold.mapInArrow(pair, "a long, b long")
+    scratch.append(large)
     if not large.isEmpty():
         blocks = dealt(large).repartition("block").sortWithinPartitions("block")
-        found = found.unionByName(blocks.mapInArrow(pair, "a long, b long"))
-    return few_bits_apart(found.distinct(), nodes)
+        found = found.unionByName(blocks.mapInArrow(pair, PAIRS))
+    return enough_shared(found.groupBy("a", "b").agg(F.sum("shared").alias("shared")), nodes)
+
+
+PAIRS = "a long, b long, shared long"
 
 
-def few_bits_apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose parities differ in no more bits than a similarity of 0.8 allows."""
+def enough_shared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that share as many rare labels as a similarity of 0.8 needs, and whose parities differ in no more bits than it allows."""
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(p).alias(f"{p}_{side}") for p in PARITIES))
     bits = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES[1:]), F.bit_count(F.col(f"{PARITIES[0]}_a").bitwiseXOR(F.col(f"{PARITIES[0]}_b"))))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(9 * bits <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.filter(F.col("shared") >= least_shared(F.least("n_a", "n_b"))).filter(9 * bits <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -544,6 +585,20 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return both.select("a", "b", "ta", "tb").mapInArrow(align, "a long, b long")
 
 
+#: Bytes of text that the pairs of one part carry through a shuffle, if the texts have no more themselves; and parts at most.
+CARRIED, MOST_PARTS = 1 << 28, 64
+
+
+def verified_parts(pairs: DataFrame, texts: DataFrame) -> list[DataFrame]:
+    """Written tables of the ``verified`` pairs. A text goes with each pair that it is in, and families of near copies have far more pairs
+    than texts: so pairs are tested in parts that carry about as much as all ``texts`` hold, and the shuffle files of one end before the next."""
+    bytes_of = texts.select(F.col("node").alias("a"), F.octet_length("text").cast("long").alias("bytes"))
+    held = bytes_of.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    carried = pairs.join(bytes_of, "a").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    parts = min(MOST_PARTS, 1 + carried // max(CARRIED, held))
+    return [written(verified(pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k), texts), "links") for k in range(parts)]
+
+
 #: Rounds of proposals before the exact pass. Any number gives the same classes; after one round the exact pass
 #: tests what is left for less than a second round costs.
 ROUNDS = 1
@@ -574,15 +629,17 @@ def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
     """(k1, k2, doc_id, class_id, representative, worded) for each row; see ``near_duplicate_classes``."""
     docs = keyed(docs)
     common, counts_of = common_labels(docs)
-    all_rows = written(features(docs, common, counts_of), "features")
+    made = written(features(docs, common, counts_of), "made")
+    all_rows = written(made.select("k1", "k2", "doc_id", "h1", "h2", "n_shingles"), "features")
     worded = all_rows.filter("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("rep")
     contents = written(worded.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("count"), first).withColumn("node", F.monotonically_increasing_id()), "contents")
     holders = contents.select("node", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"))
-    nodes = worded.join(holders, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    keys = nodes.select("node", F.col("n_shingles").alias("n"), "lanes", F.posexplode("keys").alias("sketch", "key"))
+    nodes = made.filter("n_shingles > 0").join(holders, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    keys = nodes.select("node", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("sketch", "key"))
     counts = keys.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = written(keys.join(counts, ["sketch", "key"]), "members")
+    # Lanes are as large as five keys: only those that meet others get them.
+    members = written(keys.join(counts, ["sketch", "key"]).join(nodes.select("node", "lanes"), "node"), "members")
 
     def texts_of(chosen: DataFrame) -> DataFrame:
         """(node, text) of the ``chosen`` holders."""
@@ -590,7 +647,7 @@ def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
 
     # Whole texts are shuffled once, and only those that meet others are kept for all rounds.
     meeting = members.select("node").distinct()
-    texts = few_texts = written(texts_of(holders.join(meeting, "node", "left_semi")), "texts")
+    few_texts = written(texts_of(holders.join(meeting, "node", "left_semi")), "texts")
 
     def blocks(rows: DataFrame, number: int) -> DataFrame:
         part = F.pmod(F.xxhash64("node", "sketch", F.lit(number)), F.ceil(F.col("members") / BLOCK).cast("long"))
@@ -608,8 +665,9 @@ def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
         pairs = written(proposals(blocks(rows, number), number), "pairs")
         scratch.append(pairs)
         tested = tested.unionByName(pairs)
-        new = written(verified(pairs, texts), "links")
-        scratch.append(new)
+        found = verified_parts(pairs, few_texts)
+        scratch += found
+        new = reduce(DataFrame.unionByName, found)
         links = new if links is None else links.unionByName(new)
         if new.isEmpty():
             break
@@ -619,20 +677,28 @@ def classified(docs: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
     # All pairs of different classes that may still link: every one is tested, so that no link crosses classes.
     rest = nodes.select("node", F.col("n_shingles").alias("n"), "prefix", *PARITIES)
     rest = rest.withColumn("group", F.col("node")) if classes is None else rest.join(classes, "node", "left").withColumn("group", F.coalesce("class", "node"))
-    rest = written(rest, "rest")
-    pairs = written(rest_of_pairs(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
-    drop_table(rest)
+    rest, passing = written(rest, "rest"), []
+    for done in (made, members):
+        drop_table(done)
+    pairs = written(rest_of_pairs(rest, passing).join(tested, ["a", "b"], "left_anti"), "pairs")
+    for done in (rest, *passing):
+        drop_table(done)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    more = written(holders.join(ids.join(meeting, "node", "left_anti"), "node", "left_semi"), "more")
+    more = written(holders.join(ids.join(few_texts.select("node"), "node", "left_anti"), "node", "left_semi"), "more")
+    texts = few_texts
     if n_more := more.count():
         # Few texts are picked out of the scan; more are worth a shuffle of all.
-        texts = texts.unionByName(texts_of(F.broadcast(more) if n_more <= BROADCAST_ROWS else more))
-    new = written(verified(pairs, texts), "links")
+        texts = written(texts_of(F.broadcast(more) if n_more <= BROADCAST_ROWS else more), "texts")
+        scratch.append(texts)
+        texts = few_texts.unionByName(texts)
+    found = verified_parts(pairs, texts)
+    scratch += found
+    new = reduce(DataFrame.unionByName, found)
     if not new.isEmpty():
         classes = components(new if links is None else links.unionByName(new))
         scratch.append(classes)
     out = membership(all_rows, contents, classes)
-    for done in (*scratch, contents, members, few_texts, more, pairs, new):
+    for done in (*scratch, contents, few_texts, more, pairs):
         drop_table(done)
     return out
 

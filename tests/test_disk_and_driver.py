@@ -5,6 +5,7 @@ import random
 import time
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,47 @@ def test_archives_are_streamed_and_read_in_parts(spark, tmp_path):
     assert {r["path"]: r["length"] for r in files.written_zips(rows).collect()} == {str(p): p.stat().st_size for p in tmp_path.iterdir()}
     got = readers.read_zip(spark, f"file://{tmp_path}", len(want)).collect()
     assert {(r["archive"].rsplit("/", 1)[1], r["name"]): (r["size"], r["sha256"]) for r in got} == {k: (len(c), hashlib.sha256(c).hexdigest()) for k, c in want.items()}
+
+
+def test_long_texts_that_share_a_passage_are_no_pairs(spark):
+    """In long texts the rare labels of a passage meet by chance; only pairs that share enough of them are made."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"w{k}x{i}" for i in range(1500)) + f" {passage}" for k in range(30)]
+    texts.append(texts[0].replace("w0x7 ", "other "))
+    docs = order_minhash.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    made = order_minhash.features(docs, np.empty(0, np.uint64), np.empty(0, np.int64))
+    nodes = made.withColumnsRenamed({"doc_id": "node", "n_shingles": "n"}).withColumn("group", F.col("node"))
+    assert [tuple(r) for r in order_minhash.rest_of_pairs(nodes).collect()] == [(0, 30)]
+
+
+def test_alike_texts_share_enough_rare_labels():
+    rng = np.random.default_rng(5)
+    none, tested = (np.empty(0, np.uint64), np.empty(0, np.int64)), 0
+    for n in (5, 9, 60, 255, 256, 257, 330, 900, 4000):
+        for share in (0.8, 0.81, 0.85, 0.95, 1):
+            m = int(n * rng.choice([share, 1, 1 / share]))
+            kept = min(n, m, -int(-4 * (n + m) // 9))  # the fewest labels that a similarity of 0.8 shares
+            own = rng.integers(0, 1 << 63, n + m).astype(np.uint64)
+            a, b = own[:n], np.append(own[:kept], own[n : n + m - kept])
+            if 9 * kept < 4 * (n + m):
+                continue
+            sizes = np.array([n, m])
+            rare, size = order_minhash.rare_prefixes(np.append(a, b), sizes, *none)
+            node, place = np.repeat([0, 1], size), np.append(np.arange(size[0]), np.arange(size[1]))
+            got = order_minhash.rare_pairs(rare.view(np.int64), node, node, sizes[node], place, np.full(len(node), -1), np.zeros((len(node), 2), np.uint64), counted=True)
+            assert got.shape == (1, 3) and got[0, 2] >= order_minhash.least_shared(sizes).min()
+            tested += 1
+    assert tested > 30
+
+
+def test_pairs_are_verified_in_parts(spark, monkeypatch):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(k, " ".join(words[:40] + [f"x{k}"] + words[40:])) for k in range(12)] + [(12, "quite another text of some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = tables.written(spark.createDataFrame([(a, b) for b in range(13) for a in range(b)], "a long, b long"), "pairs")
+    texts = tables.written(docs.select(F.col("doc_id").alias("node"), "text"), "texts")
+    monkeypatch.setattr(order_minhash, "CARRIED", 1)
+    parts = order_minhash.verified_parts(pairs, texts)
+    got = [tuple(r) for p in parts for r in p.collect()]
+    assert len(parts) > 3 and sorted(got) == sorted((a, b) for b in range(12) for a in range(b))
+    assert {r["class_id"] for r in order_minhash.near_duplicate_classes(docs).collect()} == {0, 12}
